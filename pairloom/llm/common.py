@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +61,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def row_keyed(df: DataFrame, key: str) -> DataFrame:
     """Number the rows of a table in files; scans of the same files split alike, so keys agree between branches of a plan."""
     return df.withColumn(key, F.monotonically_increasing_id())
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, so that workers import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_pairloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="ship")) / "pairloom_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._pairloom_shipped = True
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def map_pandas(df: DataFrame, function, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInPandas(function, schema)

@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, order_minhash, source_mix
+from . import exact_dedup, order_minhash, packing, simhash, source_mix, token_files
 from .common import LOWER, UPPER, table
 
 
+def tokenizer_path() -> str:
+    """Where the public vocabulary file lies; every operator takes it as a parameter."""
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_counts(table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "n_tokens")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -21,7 +42,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op3_simhash": op3_simhash,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_packing": op6_packing,
     "op7_order_minhash": op7_order_minhash,
     "op8_source_mix": op8_source_mix,
 }
