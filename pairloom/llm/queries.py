@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, order_minhash, packing, simhash, source_mix, token_files
+from . import exact_dedup, license_scan, order_minhash, packing, simhash, source_mix, token_files
 from .common import LOWER, UPPER, table
 
 
@@ -24,6 +24,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("rid")
 
@@ -44,6 +48,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_simhash": op3_simhash,
+    "op4_license_scan": op4_license_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op7_order_minhash": op7_order_minhash,
@@ -52,7 +57,29 @@ QUERIES = {
 
 _NORMAL = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
+_TEMPLATES = ", ".join(f"({i}, '{label}', {base}, {k}, '{' '.join(words)}')" for i, label, base, k, words in license_scan.templates())
+
 ORACLE_SQL = {
+    "op4_license_scan": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_NORMAL}, '{license_scan.WORD}') AS w FROM documents),
+        g AS (SELECT r, p, w[p + 1 : p + 2] AS g2, w[p + 1 : p + 5] AS g5 FROM (SELECT r, w, unnest(range(len(w))) AS p FROM d)),
+        t AS (SELECT tpl, label, base, k, string_split(txt, ' ') AS tw FROM (VALUES {_TEMPLATES}) v(tpl, label, base, k, txt)),
+        tg AS (SELECT tpl, label, base, k, len(tw) - k + 1 AS grams, len(tw) AS size, a, tw[a + 1 : a + k] AS gram
+               FROM (SELECT *, unnest(range(len(tw) - k + 1)) AS a FROM t)),
+        v AS (SELECT r, tpl, label, base, grams, size, p - a AS diagonal, p FROM g JOIN tg ON tg.k = 2 AND gram = g2
+              UNION ALL SELECT r, tpl, label, base, grams, size, p - a, p FROM g JOIN tg ON tg.k = 5 AND gram = g5),
+        s AS (SELECT r, tpl, label, base, grams, size, diagonal, count(*) AS n, min(p) AS lo, max(p) AS hi FROM v GROUP BY ALL),
+        q AS (SELECT *, sum(apart) OVER (PARTITION BY r, tpl ORDER BY diagonal) AS run
+              FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, tpl ORDER BY diagonal) <= {license_scan.GAP} THEN 0 ELSE 1 END AS apart
+                    FROM s WHERE NOT base)),
+        m AS (SELECT r, label, least(1.0, sum(n) / any_value(grams)) AS coverage, min(lo) AS lo, max(hi) AS hi, any_value(size) AS size FROM q GROUP BY r, tpl, label, run),
+        f AS (SELECT r, label, true AS base, diagonal AS start, 1.0 AS coverage FROM s WHERE base AND n = grams
+              UNION ALL SELECT r, label, false, lo, coverage FROM m WHERE coverage >= {license_scan.COVERAGE} AND hi + 5 - lo <= size * {license_scan.STRETCH})
+        SELECT any_value(doc_id) AS doc_id, CAST(any_value(len(w)) AS BIGINT) AS n_words, count(*) FILTER (base) AS n_base,
+               CAST(min(start) FILTER (base) AS BIGINT) AS first_word, CAST(max(start) FILTER (base) AS BIGINT) AS last_word,
+               coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+               coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, CAST(coalesce(max(coverage), 0) AS DOUBLE) AS score
+        FROM d LEFT JOIN f USING (r) GROUP BY d.r""",
     "op5_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_NORMAL} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
