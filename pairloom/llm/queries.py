@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, order_minhash, packing, simhash, source_mix, token_files
+from . import exact_dedup, license_scan, order_minhash, packing, simhash, source_mix, token_files, warc
 from .common import LOWER, UPPER, table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages")).drop("file", "start", "stop")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_counts(table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "n_tokens")
 
@@ -46,6 +50,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
     "op3_simhash": op3_simhash,
     "op4_license_scan": op4_license_scan,

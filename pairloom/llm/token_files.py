@@ -54,7 +54,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: i
                     if out is not None:
                         out.close()
                     name, written, number = f"{task.partitionId():06d}-{task.taskAttemptId()}-{at if out is None else written}-{number}.u16", 0, 0
-                    out = store.open_output_stream(f"{path}/{name}")
+                    out = store.open_output_stream(f"{path}/{name}", compression=None)
                 out.write(flat.tobytes())
                 written += len(flat)
                 rows = len(n)
