@@ -158,11 +158,15 @@ def checked(data: bytes, whole: bool) -> tuple[dict[str, str], bytes, int]:
         raise Broken("no version line and headers")
     lines = data[:end].decode("utf-8", "replace").split("\r\n")
     headers = {}
+    if not re.fullmatch(r"WARC/1\.[0-9]", lines[0]):
+        raise Broken("no version line and headers")
     for line in lines[1:]:
         name, colon, value = line.partition(":")
-        if not colon:
-            raise Broken("a header line has no colon")
+        if not colon or not re.fullmatch(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+", name):
+            raise Broken("a header line has no name")
         headers[name.strip().lower()] = value.strip()
+    if not {"warc-type", "warc-record-id"} <= headers.keys():
+        raise Broken("a header that must be there is missing")
     length = headers.get("content-length", "")
     if not re.fullmatch(r"[0-9]+", length):
         raise Broken("no content length")
