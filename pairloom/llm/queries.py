@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, order_minhash, packing, simhash, source_mix, token_files, warc
+from . import exact_dedup, html_text, license_scan, order_minhash, packing, quality, simhash, source_mix, token_files, warc
 from .common import LOWER, UPPER, table
 
 
@@ -49,6 +49,14 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
@@ -58,6 +66,8 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_order_minhash": op7_order_minhash,
     "op8_source_mix": op8_source_mix,
+    "op9_html_text": op9_html_text,
+    "op10_quality": op10_quality,
 }
 
 _NORMAL = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
