@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 from pairloom.functions.stats import safe_beta, safe_corr
 
 PAIR = ("sym_y", "sym_x")
-BY_PAIR = Window.partitionBy(*PAIR).orderBy("bar_ts")
 #: Published asymptotic critical values (5 %) of the two-variable cointegration test with a constant,
 #: and of the Johansen trace test for two series with a constant, for no and for one relation.
 ENGLE_GRANGER_5 = -3.34
 JOHANSEN_TRACE_5 = (15.41, 3.76)
 
 
+def by_pair():
+    return Window.partitionBy(*PAIR).orderBy("bar_ts")
+
+
 def candidate_pairs(bars: DataFrame, x: str = "close") -> DataFrame:
     """sym_y < sym_x on common bars, with y and x. Quadratic in symbols by definition; time splits the work."""
     a = bars.select("bar_ts", F.col("symbol").alias("sym_y"), F.col(x).alias("y"))
@@ -38,7 +41,7 @@ def top_pairs(pairs: DataFrame, k: int) -> DataFrame:
 
 def distances(pairs: DataFrame) -> DataFrame:
     """Sum of squared differences of prices divided by their first."""
-    scaled = lambda c: F.col(c) / F.nullif(F.first(c).over(BY_PAIR), F.lit(0.0))
+    scaled = lambda c: F.col(c) / F.nullif(F.first(c).over(by_pair()), F.lit(0.0))
     return pairs.withColumns({"ny": scaled("y"), "nx": scaled("x")}).groupBy(*PAIR).agg(F.sum(F.pow(F.col("ny") - F.col("nx"), 2)).alias("ssd"))
 
 
@@ -54,7 +57,7 @@ def spreads(pairs: DataFrame, ratios: DataFrame) -> DataFrame:
 
 
 def spread_zscores(spread: DataFrame, n: int) -> DataFrame:
-    w = BY_PAIR.rowsBetween(-(n - 1), 0)
+    w = by_pair().rowsBetween(-(n - 1), 0)
     s = F.col("spread")
     z = F.when(F.count(s).over(w) == n, (s - F.avg(s).over(w)) / F.nullif(F.stddev_samp(s).over(w), F.lit(0.0)))
     return spread.withColumn("z", z)
@@ -62,7 +65,7 @@ def spread_zscores(spread: DataFrame, n: int) -> DataFrame:
 
 def dickey_fuller(spread: DataFrame) -> DataFrame:
     """Regression of d(s) on s[-1] with a constant: lam, its t statistic (n - 2 degrees of freedom) and the half-life."""
-    lagged = spread.select(*PAIR, F.lag("spread").over(BY_PAIR).alias("l"), F.col("spread").alias("s")).where("l is not null").withColumn("d", F.col("s") - F.col("l"))
+    lagged = spread.select(*PAIR, F.lag("spread").over(by_pair()).alias("l"), F.col("spread").alias("s")).where("l is not null").withColumn("d", F.col("s") - F.col("l"))
     n, vl, vd = F.count("*"), F.var_pop("l"), F.var_pop("d")
     fit = lagged.groupBy(*PAIR).agg(n.alias("n"), safe_beta(F.col("d"), F.col("l")).alias("lam"), vl.alias("vl"), vd.alias("vd"))
     rss = F.col("n") * (F.col("vd") - F.col("lam") * F.col("lam") * F.col("vl"))

@@ -9,22 +9,24 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.stats import decay, full, safe_beta, safe_corr, zscore
 
-BY_TIME = Window.partitionBy("symbol").orderBy("bar_ts")
+
+def by_time():
+    return Window.partitionBy("symbol").orderBy("bar_ts")
 
 
 def last(n: int):
-    return BY_TIME.rowsBetween(-(n - 1), 0)
+    return by_time().rowsBetween(-(n - 1), 0)
 
 
 def with_returns(bars: DataFrame, x: str = "close") -> DataFrame:
     """ret (simple) and log_ret; null at the start and where a price is not positive."""
-    before = F.lag(x).over(BY_TIME)
+    before = F.lag(x).over(by_time())
     log = lambda c: F.when(c > 0, F.ln(c))
     return bars.withColumn("ret", F.try_divide(F.col(x), before) - 1).withColumn("log_ret", log(F.col(x)) - log(before))
 
 
 def with_cumulative(returns: DataFrame) -> DataFrame:
-    return returns.withColumn("cum_ret", F.exp(F.sum("log_ret").over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))) - 1)
+    return returns.withColumn("cum_ret", F.exp(F.sum("log_ret").over(by_time().rowsBetween(Window.unboundedPreceding, 0))) - 1)
 
 
 def rolling_stats(bars: DataFrame, n: int, x: str = "x") -> DataFrame:
@@ -68,19 +70,19 @@ def exponential_mean(bars: DataFrame, alpha: float, x: str = "x") -> DataFrame:
 
 
 def autocorrelation(bars: DataFrame, k: int, x: str = "x") -> DataFrame:
-    lagged = bars.select("symbol", F.col(x).alias("y"), F.lag(x, k).over(BY_TIME).alias("x")).where("x is not null and y is not null")
+    lagged = bars.select("symbol", F.col(x).alias("y"), F.lag(x, k).over(by_time()).alias("x")).where("x is not null and y is not null")
     return lagged.groupBy("symbol").agg(safe_corr(F.col("y"), F.col("x")).alias("autocorr"))
 
 
 def variance_ratio(returns: DataFrame, q: int, x: str = "x") -> DataFrame:
     """Variance of q-period changes over q times the variance of one-period changes."""
-    d = returns.select("symbol", (F.col(x) - F.lag(x, 1).over(BY_TIME)).alias("d1"), (F.col(x) - F.lag(x, q).over(BY_TIME)).alias("dq"))
+    d = returns.select("symbol", (F.col(x) - F.lag(x, 1).over(by_time())).alias("d1"), (F.col(x) - F.lag(x, q).over(by_time())).alias("dq"))
     return d.groupBy("symbol").agg((F.var_samp("dq") / F.nullif(q * F.var_samp("d1"), F.lit(0.0))).alias("vr"))
 
 
 def hurst(bars: DataFrame, lags: tuple[int, ...], x: str = "x") -> DataFrame:
     """Slope of the log spread of k-lag differences on log k."""
-    apart = bars.select("symbol", F.array(*(F.struct(F.lit(k).alias("k"), (F.col(x) - F.lag(x, k).over(BY_TIME)).alias("d")) for k in lags)).alias("e"))
+    apart = bars.select("symbol", F.array(*(F.struct(F.lit(k).alias("k"), (F.col(x) - F.lag(x, k).over(by_time())).alias("d")) for k in lags)).alias("e"))
     each = apart.select("symbol", F.explode("e").alias("e"))
     sds = each.groupBy("symbol", F.col("e.k").alias("k")).agg(F.stddev_samp("e.d").alias("sd")).where("sd > 0")
     return sds.groupBy("symbol").agg(safe_beta(F.ln("sd"), F.ln("k")).alias("hurst"))

@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairs import BY_PAIR, PAIR, hedge_ratios, spreads
+from .pairs import PAIR, by_pair, hedge_ratios, spreads
 
-SO_FAR = BY_PAIR.rowsBetween(Window.unboundedPreceding, 0)
+
+def so_far():
+    return by_pair().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def split_at(pairs: DataFrame, ts: str) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +48,7 @@ def held(z: Column, entry: float | Column, leave: float | Column) -> Column:
 
 def positions(scored: DataFrame, entry: float = 1.0, leave: float = 0.5) -> DataFrame:
     """pos with hysteresis: the last decision carried on, in one window."""
-    return scored.withColumn("pos", F.coalesce(F.last(held(F.col("z"), entry, leave), ignorenulls=True).over(SO_FAR), F.lit(0)).cast("int"))
+    return scored.withColumn("pos", F.coalesce(F.last(held(F.col("z"), entry, leave), ignorenulls=True).over(so_far()), F.lit(0)).cast("int"))
 
 
 def guarded_positions(scored: DataFrame, entry: float = 1.0, leave: float = 0.5, stop: float = 2.0, most_bars: int = 5) -> DataFrame:
@@ -87,27 +89,27 @@ def guarded_reference(z: list[float | None], entry: float, leave: float, stop: f
 
 def pnl(traded: DataFrame, cost: float = 0.0) -> DataFrame:
     """Profit of the position held before, less cost for each change of it."""
-    before = F.coalesce(F.lag("pos").over(BY_PAIR), F.lit(0))
-    move = (F.col("y") - F.lag("y").over(BY_PAIR)) - F.col("beta") * (F.col("x") - F.lag("x").over(BY_PAIR))
+    before = F.coalesce(F.lag("pos").over(by_pair()), F.lit(0))
+    move = (F.col("y") - F.lag("y").over(by_pair())) - F.col("beta") * (F.col("x") - F.lag("x").over(by_pair()))
     return traded.withColumn("pnl", before * F.coalesce(move, F.lit(0.0)) - cost * F.abs(F.col("pos") - before))
 
 
 def trades(earned: DataFrame) -> DataFrame:
     """One row per spell of one position: side, entry, exit (its last bar), bars held and profit up to the bar after."""
-    changed = (F.col("pos") != F.coalesce(F.lag("pos").over(BY_PAIR), F.lit(0))).cast("int")
-    next_pnl = F.coalesce(F.lead("pnl").over(BY_PAIR), F.lit(0.0))
-    runs = earned.withColumns({"_c": changed, "_next": next_pnl}).withColumn("spell", F.sum("_c").over(SO_FAR))
+    changed = (F.col("pos") != F.coalesce(F.lag("pos").over(by_pair()), F.lit(0))).cast("int")
+    next_pnl = F.coalesce(F.lead("pnl").over(by_pair()), F.lit(0.0))
+    runs = earned.withColumns({"_c": changed, "_next": next_pnl}).withColumn("spell", F.sum("_c").over(so_far()))
     return runs.where("pos <> 0").groupBy(*PAIR, "spell").agg(F.min("bar_ts").alias("entry_ts"), F.max("bar_ts").alias("exit_ts"), F.max("pos").alias("side"), F.count("*").alias("bars"), F.sum("_next").alias("pnl"))
 
 
 def equity(earned: DataFrame) -> DataFrame:
-    cum = earned.withColumn("cum_pnl", F.sum("pnl").over(SO_FAR))
-    return cum.withColumn("drawdown", F.col("cum_pnl") - F.greatest(F.max("cum_pnl").over(SO_FAR), F.lit(0.0)))
+    cum = earned.withColumn("cum_pnl", F.sum("pnl").over(so_far()))
+    return cum.withColumn("drawdown", F.col("cum_pnl") - F.greatest(F.max("cum_pnl").over(so_far()), F.lit(0.0)))
 
 
 def performance(earned: DataFrame, per_year: int) -> DataFrame:
     """Per pair: sharpe, sortino, hit rate, turnover, exposure."""
-    before = F.coalesce(F.lag("pos").over(BY_PAIR), F.lit(0))
+    before = F.coalesce(F.lag("pos").over(by_pair()), F.lit(0))
     root, mean = math.sqrt(per_year), F.avg("pnl")
     down = F.sqrt(F.avg(F.pow(F.least("pnl", F.lit(0.0)), 2)))
     return earned.withColumn("_t", F.abs(F.col("pos") - before)).groupBy(*PAIR).agg(
