@@ -77,11 +77,11 @@ def ship(spark: SparkSession) -> None:
     context._pairloom_shipped = True
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
-def map_pandas(df: DataFrame, function, schema: str) -> DataFrame:
+def map_pandas(df: DataFrame, function, schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInPandas(function, schema)

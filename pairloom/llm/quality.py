@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_arrow, materialize
 
@@ -184,6 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
         yield pa.RecordBatch.from_arrays([pa.array([m.scaled.tobytes()]), pa.array([m.ratio.tobytes()]), pa.array([[m.bias, m.slope, m.offset]], pa.list_(pa.float64()))], ["scaled", "ratio", "numbers"])
 
     model = map_arrow(rows.repartition(1), run, "scaled binary, ratio binary, numbers array<double>").first()
+    if model is None:  # no labelled row at all
+        return trained([], [])
     return Model(np.frombuffer(model["scaled"], np.float32), np.frombuffer(model["ratio"], np.float32), *model["numbers"])
 
 
@@ -197,8 +200,8 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, folds: i
             scores = np.array([model.score(t.as_py()) for t in batch.column(at)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_arrow(docs, run, f"{fields}, score double, predicted int")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return map_arrow(docs, run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, folds: int = FOLDS) -> DataFrame:
