@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from compare import connect, same
+from .compare import connect, same
 from pairloom.plans import relational, research
 
 FOLDER = "/root/testdata/sf0.001"
