@@ -3,7 +3,7 @@
 A page is cut into tags and text by one expression and put into a tree of its block elements; text between block
 boundaries is a paragraph. Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are taken out by element, role or the words of class and id. Every paragraph passes points for its length and
-commas to its container, half as many to the one above, a third to the next and so on; a container's points are
+commas to its container, half as many to the one above, a third to the next and so on for LEVELS of them; a container's points are
 discounted by the share of its text inside links. The best container and the siblings that score beside it are kept.
 
 Defined results: null or empty html, and pages without text, give the empty string; markup cut off anywhere is read as
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,6 +52,8 @@ OUT_WORDS = re.compile(
 )
 IN_WORDS = frozenset("article content main post entry story body text page".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: So many containers above a paragraph get points of it.
+LEVELS = 6
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 CONTAINERS = BLOCKS - HEADINGS - frozenset(["p", "pre", "li", "dt", "dd", "td", "th", "tr", "thead", "tbody", "tfoot", "figcaption", "caption", "summary", "legend", "address", "ul", "ol", "dl", "dir", "table", "head", "html"])
 
@@ -63,9 +66,9 @@ class Node:
         self.points, self.size, self.links, self.out = 0.0, 0, 0, ""
 
 
-def unwanted(tag: str, attributes: str, above: list[Node]) -> str:
-    """Why an element is no part of an article: 'tag', 'comment', 'word', or '' if it may be one."""
-    inside = any(n.tag in ("article", "main") for n in above)
+def unwanted(tag: str, attributes: str, inside: bool) -> str:
+    """Why an element is no part of an article: 'tag', 'comment', 'word', or '' if it may be one. inside: it stands in
+    an article or main element."""
     if tag in OUT_TAGS or tag == "header" and not inside:
         return "tag"
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -91,6 +94,7 @@ def parsed(page: str) -> Node:
     """The tree of block elements; paragraphs are (text, characters inside links) among the children."""
     root = Node("body", None)
     stack, texts, linked, in_link = [root], [], 0, 0
+    opened: Counter[str] = Counter()  # elements on the stack by name, so that stray end tags cost nothing
     at, n = 0, len(page)
 
     def flush() -> None:
@@ -103,6 +107,7 @@ def parsed(page: str) -> Node:
 
     def close(upto: int) -> None:
         flush()
+        opened.subtract(s.tag for s in stack[upto:])
         del stack[upto:]
 
     while at < n:
@@ -126,7 +131,7 @@ def parsed(page: str) -> Node:
                 flush()
             elif tag in BLOCKS:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if stack[k].tag == tag:
                         close(k)
                         break
@@ -149,7 +154,7 @@ def parsed(page: str) -> Node:
             flush()
             if tag in ("html", "body"):
                 continue
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and opened["p"]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == "p":
                         close(k)
@@ -164,12 +169,13 @@ def parsed(page: str) -> Node:
                         break
                     if stack[k].tag in limit:
                         break
-            if "head" in (s.tag for s in stack) and tag not in ("head",):
+            if opened["head"] and tag != "head":
                 close(next(k for k, s in enumerate(stack) if s.tag == "head"))
             node = Node(tag, stack[-1])
-            node.out = unwanted(tag, m[3], stack)
+            node.out = unwanted(tag, m[3], opened["article"] + opened["main"] > 0)
             stack[-1].children.append(node)
             stack.append(node)
+            opened[tag] += 1
             if m[3].endswith("/") and tag == "svg":
                 close(len(stack) - 1)
     flush()
@@ -225,10 +231,8 @@ def main_text(page: str | None) -> str:
     measured_once(root)
     marked = any(n.tag in ("article", "main") and n.size for n in every(root))
     for n in [] if marked else list(every_named(root)):
-        reason, n.out = n.out, ""
-        measured_once(root)
-        if not (root.size and n.size > 0.6 * root.size and density(n) < 0.3):
-            n.out = reason
+        if n.size > 0.6 * (root.size + n.size) and density(n) < 0.3:
+            n.out = ""
     measured_once(root)
     if not root.size:
         return ""
@@ -245,7 +249,7 @@ def main_text(page: str | None) -> str:
             holder, share = node, 1
             while holder is not None and holder.tag not in CONTAINERS:
                 holder = holder.parent
-            while holder is not None:
+            while holder is not None and share <= LEVELS:
                 holder.points += points / share
                 scored[id(holder)] = holder
                 holder, share = holder.parent, share + 1
