@@ -21,7 +21,7 @@ from .common import WORD, materialize
 CAP = 3
 WEIGHTS = (1, 2, 3)
 TOLERANCE, MAX_STEPS = 1e-9, 60
-SLOTS = 8
+SLOTS, SALTS = 8, 64
 
 
 def word_count(text: Column) -> Column:
@@ -93,18 +93,25 @@ def tilts(sizes: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
     return state
 
 
+def met(rows: DataFrame, facts: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Rows with the facts of their source. A source is split into SALTS parts and its row of facts is repeated for each,
+    so that a source with a third of all rows spreads over as many tasks."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)))
+    each = facts.select(F.col("source").alias("__s"), *columns, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("__t"))
+    return salted.join(each, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__salt") == F.col("__t"))).drop("__s", "__salt", "__t")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 8) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, rate, copies, taken (size * copies)."""
     counted = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     sizes = materialize(counted.groupBy("source", "size").agg(F.count("*").alias("n")))
-    state = tilts(sizes, materialize(source_targets(sizes, weights, cap)), cap).select(F.col("source").alias("s"), "source_size", "target", "lam", "mean", "full")
+    state = tilts(sizes, materialize(source_targets(sizes, weights, cap)), cap)
     tilted = F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)))
     rate = F.when(F.col("full") | (F.col("size") == 0), F.lit(float(cap))).otherwise(F.least(tilted, F.lit(float(cap))))
     rate = F.when(F.col("source_size") == 0, F.lit(1.0)).when(F.col("size") == 0, F.lit(1.0)).otherwise(rate)
     shot = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.lit(1 << 30)) / float(1 << 30)
     rounded = (
-        counted.join(state, F.col("source").eqNullSafe(F.col("s")))
-        .drop("s")
+        met(counted, state, ("source_size", "target", "lam", "mean", "full"))
         .withColumn("rate", rate)
         .withColumn("copies", F.least(F.floor("rate") + F.when(shot < F.col("rate") - F.floor("rate"), 1).otherwise(0), F.lit(cap)).cast("int"))
     )
@@ -123,10 +130,10 @@ def single_moves(rounded: DataFrame, cap: int, seed: int) -> DataFrame:
     Candidates are one document for each source, power of two of the size, and slot of a hash: a bounded number a source.
     """
     rest = materialize(
-        rounded.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("rest")).select(F.col("source").alias("r"), F.round("rest").cast("long").alias("rest"))
+        rounded.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("rest")).select("source", F.round("rest").cast("long").alias("rest"))
     )
     room = F.when(F.col("rest") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
-    able = rounded.join(rest, F.col("source").eqNullSafe(F.col("r"))).where((F.col("size") > 0) & (F.abs("rest") >= F.col("size")) & room)
+    able = met(rounded, rest, ("rest",)).where((F.col("size") > 0) & (F.abs("rest") >= F.col("size")) & room)
     shuffled = F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("size"))
     picked = (
         able.withColumn("octave", F.floor(F.log2("size")).cast("int")).withColumn("slot", F.pmod(shuffled, F.lit(SLOTS)))
