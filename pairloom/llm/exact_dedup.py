@@ -42,7 +42,8 @@ def recipes(docs: DataFrame, hash_of=F.xxhash64) -> DataFrame:
     listed = materialize(
         cut.select("rid", "doc_id", F.sha2("text", 256).alias("text_sha256"), F.transform("chunks", lambda c: hash_of(c)).alias("hashes"))
     )
-    pieces = cut.select("rid", F.posexplode("chunks").alias("at", "chunk")).withColumn("h", hash_of(F.col("chunk")))
+    # Outer, as the plain form puts a filter on the array's size below it and so cuts every text twice.
+    pieces = cut.select("rid", F.posexplode_outer("chunks").alias("at", "chunk")).where("chunk is not null").withColumn("h", hash_of(F.col("chunk")))
     clashes = materialize(clashing_identifiers(pieces.select("h", "chunk")))
     if clashes.isEmpty():  # every hash stands for one chunk: hashes are verified identifiers
         return listed.withColumnRenamed("hashes", "recipe")
