@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import lower_az, materialize, row_keyed
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
+HOT_SHARE = 0.001
 
 
 def chunk_pattern(least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> str:
@@ -64,12 +65,17 @@ def recipes(docs: DataFrame, hash_of=F.xxhash64) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, hash_of=F.xxhash64) -> DataFrame:
-    """One row per document: rid, doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the largest doc_id stays."""
+    """One row per document: rid, doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the largest doc_id stays.
+
+    Groups above a HOT_SHARE of all rows are fewer than its inverse, so that many rows at most are broadcast; their
+    documents, however many, are never dealt by recipe. The others meet their group in a shuffle."""
     listed = recipes(docs, hash_of)
-    groups = listed.groupBy("recipe").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size"))
-    return listed.join(groups, "recipe").select(
-        "rid", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "text_sha256"
-    )
+    groups = materialize(listed.groupBy("recipe").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size")))
+    total = listed.count()
+    is_hot = F.col("group_size") > total * HOT_SHARE
+    hot = F.broadcast(groups.where(is_hot))
+    met = listed.join(hot, "recipe").unionByName(listed.join(hot, "recipe", "left_anti").join(groups.where(~is_hot), "recipe"))
+    return met.select("rid", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
