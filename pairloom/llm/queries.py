@@ -74,7 +74,15 @@ _NORMAL = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
 _TEMPLATES = ", ".join(f"({i}, '{label}', {base}, {k}, '{' '.join(words)}')" for i, label, base, k, words in license_scan.templates())
 
+# Five hex digits of a SHA-1 are 20 bits, which are four characters of base32.
+_BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(sha1(h), 5 * (i // 4) + 1, 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31) + 1 AS INTEGER), 1)), '')"""
+
 ORACLE_SQL = {
+    "op1_warc": f"""
+        SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = k THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> k THEN k END AS refers_to
+        FROM (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS k FROM pages)""",
     "op4_license_scan": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_NORMAL}, '{license_scan.WORD}') AS w FROM documents),
         g AS (SELECT r, p, w[p + 1 : p + 2] AS g2, w[p + 1 : p + 5] AS g5 FROM (SELECT r, w, unnest(range(len(w))) AS p FROM d)),
