@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, map_arrow, materialize, row_keyed
 
 SHINGLE, SEED, RADIUS, SEGMENTS = 3, 42, 3, 2
+HOT_SHARE = 0.001
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -151,23 +152,40 @@ def links(distinct: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -
     return map_arrow(met.select("segment", "key", "own", "fp"), meet, "a long, b long").distinct()
 
 
+def join_spread(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """Rows with the facts of their key; facts has one row a key, with n rows of that key among the total.
+
+    Keys above HOT_SHARE of all rows are fewer than its inverse: that many facts at most are broadcast, and their rows are
+    not dealt by key. The others meet in a shuffle."""
+    is_hot = F.col("n") > total * HOT_SHARE
+    hot, rest = F.broadcast(facts.where(is_hot).drop("n")), facts.where(~is_hot).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(rest, key))
+
+
+def jumped(trees: DataFrame, nodes: int) -> DataFrame:
+    """node, label with each label replaced by its own label."""
+    ups = trees.groupBy("label").agg(F.count("*").alias("n")).join(trees.select(F.col("node").alias("label"), F.col("label").alias("up")), "label")
+    return materialize(join_spread(trees, materialize(ups), "label", nodes).select("node", F.col("up").alias("label")))
+
+
 def classes(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """node, label (a node of the same component) for all nodes of a, b edges.
 
     A round hangs each node's tree under the least label beside it and then jumps pointers; the depth of trees, not the
-    length of chains, sets the number of rounds. All in tables: no node's neighbours meet in one row."""
+    length of chains, sets the number of rounds. All in tables: no node's neighbours meet in one row, and neither a node
+    with many neighbours nor a label with many nodes is dealt to one task."""
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = materialize(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+    degrees = materialize(both.groupBy("b").agg(F.count("*").alias("n")))
+    label = materialize(degrees.select(F.col("b").alias("node"), F.col("b").alias("label")))
+    ends, nodes = both.count(), label.count()
     for _ in range(most_rounds):
-        beside = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        named = degrees.join(label.withColumnRenamed("node", "b"), "b")
+        beside = join_spread(both, named, "b", ends).groupBy("a").agg(F.min("label").alias("near"))
         asked = label.join(beside.withColumnRenamed("a", "node"), "node")
         # The least label beside a tree is offered to the tree's root; roots take the least offer below their own label.
         offers = asked.groupBy("label").agg(F.min("near").alias("offer")).where("offer < label")
         hung = materialize(label.join(offers.withColumnRenamed("label", "node").withColumnRenamed("offer", "to"), "node", "left").select("node", F.least(F.coalesce("to", "label"), F.col("label")).alias("label")))
-        for _ in range(2):
-            up = hung.select(F.col("node").alias("label"), F.col("label").alias("up"))
-            hung = hung.join(up, "label").select("node", F.col("up").alias("label"))
-        hung = materialize(hung)
+        hung = jumped(jumped(hung, nodes), nodes)
         changed = hung.join(label.withColumnRenamed("label", "old"), "node").where("label <> old")
         done = changed.isEmpty()
         label = hung
@@ -179,13 +197,13 @@ def classes(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 def near_groups(docs: DataFrame, words: int = SHINGLE, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
     """row, doc_id, fp, component_id (smallest doc_id reachable) and first (the row that stands for the component)."""
     rows = materialize(fingerprints(docs, words))
-    distinct = materialize(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("least")))
+    distinct = materialize(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count("*").alias("copies")))
     edges = materialize(links(distinct.select("fp"), segments, radius))
     label = classes(edges)
-    linked = distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    heads = linked.groupBy("label").agg(F.min("least").alias("head"))
-    of_fp = linked.join(heads, "label").select("fp", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("first_row"))
-    return rows.join(of_fp, "fp").select("row", "doc_id", "fp", "component_id", (F.col("row") == F.col("first_row")).alias("first"))
+    linked = materialize(distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    heads = materialize(linked.groupBy("label").agg(F.min("least").alias("head"), F.count("*").alias("n")))
+    of_fp = materialize(join_spread(linked, heads, "label", linked.count()).select("fp", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("first_row"), F.col("copies").alias("n")))
+    return join_spread(rows, of_fp, "fp", rows.count()).select("row", "doc_id", "fp", "component_id", (F.col("row") == F.col("first_row")).alias("first"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
