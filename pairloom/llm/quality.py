@@ -16,7 +16,6 @@ training rows of both classes every score is the share of label 1, or 0.5; other
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
