@@ -115,6 +115,19 @@ def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_paragraphs_in_many_wrappers_stay_together():
+    words = [f"Paragraph {k}, with words, and more words, enough of them to count as running text." for k in range(12)]
+    page = "<body><div>" + "".join("<div>" * 7 + f"<p>{w}</p>" + "</div>" * 7 for w in words) + "</div></body>"
+    assert html_text.main_text(page) == " ".join(words)
+
+
+def test_points_fall_by_levels():
+    root = html_text.parsed("<div>" * 40 + "text of some length, in here")
+    html_text.measured_once(root)
+    by_level = [n.points for n in html_text.score(root).values()]
+    assert len(by_level) == 41 and all(abs(p * (k + 1) - by_level[0]) < 1e-6 for k, p in enumerate(by_level))
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article><p>é x</p></article>"), (2, None, None), (2, None, None), (3, "v", "<p>" + "word, " * 50_000)]
     got = sorted((r.page_id, r.url, len(r.text), r.n_chars) for r in html_text.extract(pages(spark, rows)).collect())
