@@ -42,7 +42,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: i
         bpe, task = word_bpe(tokenizer), TaskContext.get()
         store, path = opened(folder)
         store.create_dir(path)
-        out, name, written, number = None, "", 0, 0
+        out, name, files, written, number = None, "", 0, 0, 0
         for batch in batches:
             for at, texts in text_slices(batch.column(1)):
                 ids, n = bpe.encode(texts)
@@ -53,7 +53,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: i
                 if out is None or written >= file_ids:
                     if out is not None:
                         out.close()
-                    name, written, number = f"{task.partitionId():06d}-{task.taskAttemptId()}-{at if out is None else written}-{number}.u16", 0, 0
+                    name, files, written, number = f"{task.partitionId():06d}-{task.taskAttemptId()}-{files:06d}.u16", files + 1, 0, 0
                     out = store.open_output_stream(f"{path}/{name}", compression=None)
                 out.write(flat.tobytes())
                 written += len(flat)
@@ -117,4 +117,7 @@ def token_counts(docs: DataFrame, tokenizer: str, block_ids: int = BLOCK_IDS) ->
     folder = scratch(spark, "tokens")
     manifest = write_token_files(docs, folder, tokenizer)
     blocks = scan_blocks(spark, folder, manifest.select("file").distinct(), block_ids=block_ids)
-    return manifest.join(document_lengths(blocks), ["file", "number"]).select("doc_id", "file", "number", "n_tokens")
+    counted = materialize(manifest.join(document_lengths(blocks), ["file", "number"]).select("doc_id", "file", "number", "n_tokens"))
+    if counted.count() != manifest.count():
+        raise RuntimeError("the token files do not hold the documents of the manifest")
+    return counted

@@ -113,6 +113,22 @@ def test_near_copies_go(spark, hard, none):
     assert simhash.drop_near_copies(none).count() == 0
 
 
+# --- token files of equal batches
+
+
+def test_files_of_equal_batches_keep_apart(spark, tmp_path):
+    docs = few(spark, [(i, "alpha beta gamma", "a") for i in range(20)]).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        folder = f"file://{tmp_path}/t"
+        manifest = token_files.write_token_files(docs, folder, PATH, file_ids=1)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len({(r.file, r.number) for r in manifest.collect()}) == 20
+    blocks = token_files.scan_blocks(spark, folder, manifest.select("file").distinct())
+    assert manifest.join(token_files.document_lengths(blocks), ["file", "number"]).count() == 20
+
+
 # --- license scan
 
 
