@@ -2,8 +2,8 @@
 
 A text's features are indicators of n-grams of two kinds: of its bytes, and of the forms of its words (case, digits,
 the marks around it, and whether it repeats the word before it). Indicators are scaled by the log-count ratio of their
-n-gram between the two classes, counted over all labelled training rows; a linear hinge loss on the scaled indicators
-is minimised by dual coordinate descent on a bounded sample of those rows; scores are a logistic of the margin, fitted
+n-gram between the two classes; a linear hinge loss on the scaled indicators is minimised by dual coordinate descent.
+Both come from one bounded sample of the labelled training rows; scores are a logistic of the margin, fitted
 on the same rows.
 
 Rows whose crc32(doc_id as text) mod `folds` is 0 are held out: their labels are never read. The score of a text uses
