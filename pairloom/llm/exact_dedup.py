@@ -5,24 +5,33 @@ and texts are equal when their ordered lists of identifiers (recipes) are. A chu
 combining equal chunks within each map task; whole documents are never shuffled.
 
 Defined results: null texts count as empty, and all empty texts are equal (their recipe is the empty list); of rows that
-repeat a doc_id and its text, one stays; null doc_ids count as the smallest; other columns are not looked at.
+repeat a doc_id and its text, one stays; null doc_ids count as the smallest; empty tables give empty results; other columns
+are kept as they are and not looked at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_az, materialize, row_keyed
+from .common import fresh, lower_az, materialize, named, row_keyed, stable
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 HOT_SHARE = 0.001
 
 
+def every(first: int, last: int, step: int, share: int) -> str:
+    """A class of characters: of each `step` code points the first step / share."""
+    return "".join(rf"\x{{{c:X}}}-\x{{{min(c + step // share - 1, last):X}}}" for c in range(first, last, step))
+
+
 def chunk_pattern(least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> str:
-    """A chunk ends at the first place after `least` characters where the local content triggers a cut:
-    after a line or sentence end, or after a space that follows certain letter pairs. None longer than `most`."""
-    trigger = r"(?:(?<=\n)|(?<=[.!?] )|(?<=[。！？])|(?<=[aeiou][lmnr] )|\z)"
+    """A chunk ends at the first place after `least` characters where the local content triggers a cut: after a line or
+    sentence end, a space that follows certain letter pairs, a mark that ends a statement or tag in code, or two
+    characters of certain code points where a script has no spaces. None longer than `most`: only content without any of
+    these is cut by length."""
+    wide = every(0x3040, 0x30FF, 16, 4) + every(0x4E00, 0x9FFF, 512, 4) + every(0xAC00, 0xD7A3, 512, 4)
+    trigger = rf"(?:(?<=\n)|(?<=[.!?] )|(?<=[。！？;}}>])|(?<=[aeiou][lmnr] )|(?<=[{wide}]{{2}})|\z)"
     return rf"(?s).{{{least},{most}}}?{trigger}|.{{1,{most}}}"
 
 
@@ -37,7 +46,7 @@ def clashing_identifiers(pieces: DataFrame) -> DataFrame:
 
 
 def recipes(docs: DataFrame, hash_of=F.xxhash64) -> DataFrame:
-    """doc_id, rid, text_sha256 and recipe (ordered verified identifiers: hash, and rank among chunks of that hash)."""
+    """doc_id, rid, text_sha256 and recipe (ordered verified identifiers: hashes, then ranks of the chunks whose hash is not theirs alone)."""
     keyed = row_keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "rid")
     cut = keyed.withColumn("text", lower_az(F.col("text"))).withColumn("chunks", chunks(F.col("text")))
     listed = materialize(
@@ -48,24 +57,18 @@ def recipes(docs: DataFrame, hash_of=F.xxhash64) -> DataFrame:
     clashes = materialize(clashing_identifiers(pieces.select("h", "chunk")))
     if clashes.isEmpty():  # every hash stands for one chunk: hashes are verified identifiers
         return listed.withColumnRenamed("hashes", "recipe")
-    # Exact way for the rest: chunks of a clashing hash are told apart by their bytes.
+    # Exact way for the rest: chunks of a clashing hash are told apart by their bytes. Recipes without such a chunk stay as
+    # they are; to the others, ranks of those chunks among the ones of their hash are appended in text order. A clashing
+    # hash stands for few chunks, so one window partition is small.
     touched = pieces.join(clashes, "h", "left_semi")
-    first = touched.groupBy("h", "chunk").agg(F.lit(1).alias("n"))
-    ranked = first.select("h", "chunk", F.sha2("chunk", 256).alias("proof"))
-    marks = (
-        touched.join(ranked, ["h", "chunk"])
-        .groupBy("rid")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "proof"))).alias("marks"))
-    )
-    return (
-        listed.join(marks, "rid", "left")
-        .withColumn("recipe", F.concat(F.transform("hashes", lambda h: h.cast("string")), F.coalesce(F.transform("marks", lambda m: F.concat_ws(":", m["at"].cast("string"), m["proof"])), F.array())))
-        .drop("hashes", "marks")
-    )
+    rank = F.dense_rank().over(Window.partitionBy("h").orderBy("chunk")).cast("long")
+    ranks = materialize(touched.select("h", "chunk").distinct().withColumn("rank", rank))
+    marks = touched.join(ranks, ["h", "chunk"]).groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "rank"))), lambda m: m["rank"]).alias("ranks"))
+    return listed.join(marks, "rid", "left").select("rid", "doc_id", "text_sha256", F.concat("hashes", F.coalesce("ranks", F.array().cast("array<bigint>"))).alias("recipe"))
 
 
 def exact_groups(docs: DataFrame, hash_of=F.xxhash64) -> DataFrame:
-    """One row per document: rid, doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the largest doc_id stays.
+    """One row per document of a `stable` table: rid, doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the largest doc_id stays.
 
     Groups above a HOT_SHARE of all rows are fewer than its inverse, so that many rows at most are broadcast; their
     documents, however many, are never dealt by recipe. The others meet their group in a shuffle."""
@@ -80,8 +83,7 @@ def exact_groups(docs: DataFrame, hash_of=F.xxhash64) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    kept = exact_groups(docs).where("kept").select("rid")
-    key = "rid"
-    while key in docs.columns:
-        key += "_"
-    return row_keyed(docs, key).join(kept.withColumnRenamed("rid", key), key, "left_semi").select(docs.columns)
+    docs = stable(docs)
+    key = fresh(docs, "rid")
+    kept = exact_groups(docs).where("kept").select(F.col("rid").alias(key))
+    return row_keyed(docs, key).join(kept, key, "left_semi").select(*map(named, docs.columns))

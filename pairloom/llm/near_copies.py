@@ -1,35 +1,56 @@
-"""Near copies by an exact similarity join of word shingles.
+"""SimHash near copies at a similarity: multi-index hashing of wide fingerprints.
 
-Two texts link if their sets of five-word shingles have a Jaccard similarity of at least 4/5. No such pair is missed:
-shingles are put in one order for all texts, common ones last, and two sets that similar share one of the first
-n - ceil(4n/5) + 1 of each. Texts that share one of those and whose sizes allow the similarity are candidates; a parity
-sketch of each set bounds the pair's symmetric difference from below and drops most of the others; the similarity of
-the rest is counted on their whole sets.
+Two texts link if their sets of five-word shingles have a Jaccard similarity of at least 4/5. A fingerprint of 64 bits
+cannot tell such pairs (they differ in some 10 bits), so fingerprints here are wide: SEGMENTS segments of WIDTH bits, a
+bit set where over half of the shingles have it set in their hash. Within each segment a small Hamming ball around the
+value is enumerated: all flips of the UNCERTAIN bits whose counts are nearest to a half, as those are the bits in which
+similar texts differ. Fingerprints that meet under a key of a segment's table are candidates; their first 64 bits, then
+their complete distances are verified, and the similarity of what is left is counted on the whole sets.
 
-Texts that meet under one shingle in great number are first paired with their neighbours by size alone. What that links
-needs no other link inside: a second pass pairs only those of them that are still in different classes.
+Two texts of similarity 4/5 meet in a segment with the probability MEET[width], so with all segments they are missed in
+at most 3 of 1000 cases, more similar ones far more seldom; the tests measure it against all pairs. The width follows the
+number of distinct sets, so that a key holds less than one stranger on average, and the number of segments the width.
+
+Texts that meet under one key in great number are first paired with the next in row order. What that links needs no other
+link inside: a second pass compares, in pieces, only those that are not in the key's main class with the others.
 
 Defined results: null texts count as empty; texts without words have the one set {0} and link among each other; texts
-with fewer words than a shingle are one shingle; repeated rows are rows of one class; other columns are not looked at.
+with fewer words than a shingle are one shingle; repeated rows are rows of one class, as are texts with equal sets; of a
+class the row with the smallest doc_id stays, null doc_ids count as the smallest, ties go to the first row; empty tables
+give empty results; other columns are kept as they are and not looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, row_keyed
+from .common import fresh, map_arrow, materialize, named, row_keyed, stable
 from .simhash import SEED, classes, join_spread, shingle_hashes
 
-#: Words of a shingle; the similarity is TOP / BELOW at least; longs of a sketch; texts that pair fully under one
-#: shingle, and the neighbours of each beyond that; shingles known as common, and the share of texts that makes one.
-WORDS, TOP, BELOW = 5, 4, 5
-SKETCH, SMALL, BESIDE = 8, 32, 16
-COMMON, COMMON_SHARE, AT_ONCE = 50_000, 0.002, 1 << 20
+#: Words of a shingle; the similarity is TOP / BELOW at least; bits of a ball.
+WORDS, TOP, BELOW, UNCERTAIN = 5, 4, 5, 3
+#: Width of a segment in bits: the share of pairs of similarity 4/5 that meet in one segment (of normally distributed counts).
+MEET = {24: 0.24, 28: 0.145, 32: 0.086, 36: 0.052, 40: 0.031}
+MISSED = 0.003
+#: Most bits of the first 64, and most of 512, in which similar sets differ: five standard deviations above what the
+#: smallest sets of similarity 4/5 have; others differ in half of all bits.
+NEAR_64, NEAR_512 = 24, 130
+#: Texts that pair fully under one key; neighbours of each beyond that; least rows, and share of all, of a key in pieces.
+SMALL, BESIDE, PIECE, PIECE_SHARE = 32, 2, 4096, 1e-6
+AT_ONCE = 1 << 20
+
+
+def plan(sets: int) -> tuple[int, int]:
+    """Width and number of segments for so many distinct sets."""
+    width = next((w for w in MEET if sets << UNCERTAIN <= 1 << w - 1), max(MEET))
+    return width, math.ceil(math.log(MISSED) / math.log(1 - MEET[width]))
 
 
 def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -44,162 +65,205 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return (TOP + BELOW) * both >= TOP * (len(a) + len(b))
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
-    """The parity of the number of shingles in each of 64 * SKETCH bins: sketches differ in no more bits than sets in shingles."""
-    bins = ((found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH)
-    return np.packbits(np.bincount(bins, minlength=64 * SKETCH) & 1, bitorder="little").view("<i8")
+def counts(found: np.ndarray, longs: int) -> np.ndarray:
+    """For each of 64 * longs bits: shingles that have it set, less those that have not."""
+    total = np.zeros(64 * longs, np.int64)
+    turn = np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(found), 1 << 13):
+        z = found[at : at + (1 << 13), None] + turn  # one stream of mixed hashes for each long
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = (z ^ (z >> np.uint64(31))).astype("<u8")
+        bits = np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").view("<u8")
+        for part in range(0, len(bits), 255):  # eight counters of a byte in each long
+            total += bits[part : part + 255].sum(0).view(np.uint8)
+    return 2 * total - len(found)
 
 
-def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The shingles of a set that come first in the order of all, as many as a similar set cannot all lack."""
-    most = len(found) - -(-TOP * len(found) // BELOW) + 1
-    place = np.zeros(len(found), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        place = np.where(common[at] == found, rank[at], 0)
-    return found[np.argsort(place, kind="stable")[:most]]
+def probed(balance: np.ndarray, width: int, segments: int) -> np.ndarray:
+    """Of rows of counts: each segment's value, and above it the places of its least certain bits, 6 bits each."""
+    cut = balance[:, : width * segments].reshape(len(balance), segments, width)
+    value = (cut > 0) @ (np.int64(1) << np.arange(width, dtype=np.int64))
+    # Ties go to the lower place, so that similar texts choose alike.
+    least = np.argsort(np.abs(cut) * width + np.arange(width), axis=2)[:, :, :UNCERTAIN]
+    return value | (least << (width + 6 * np.arange(UNCERTAIN))).sum(2)
 
 
-def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts share, sorted, and the rank of each by its number. Any order gives the same links; this one
-    keeps texts apart that share nothing else."""
+def fingerprints(texts: DataFrame, width: int, segments: int) -> DataFrame:
+    """row, digest (of the set), size, wide (the fingerprint's bits), probes (value and ball of each segment)."""
+    longs = -(-width * segments // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(sets), return_counts=True)
-            many = n >= max(3, COMMON_SHARE * len(sets))
-            return pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(n[many])], ["shingle", "n"])
-
-        sets, held = [], 0
         for batch in batches:
-            for t in batch.column(0).cast(pa.binary()):
-                sets.append(shingle_set(t.as_py()))
-                held += len(sets[-1])
-                if held >= AT_ONCE:
-                    yield counted(sets)
-                    sets, held = [], 0
-        if sets:
-            yield counted(sets)
-
-    found = map_arrow(texts.select("text"), run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
-    shingles = np.array([r.shingle for r in rows], np.int64).view(np.uint64)
-    rank = np.arange(len(rows), 0, -1)
-    order = np.argsort(shingles)
-    return shingles[order], rank[order]
-
-
-def signatures(texts: DataFrame) -> DataFrame:
-    """row, size (of the set), sketch and keys (the set's prefix)."""
-    common, rank = common_shingles(texts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                size, drawn, keys = [], [], []
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                size, digest, balance = [], [], []
                 for t in part.column(1).cast(pa.binary()):
                     found = shingle_set(t.as_py())
                     size.append(len(found))
-                    drawn.append(sketch(found))
-                    keys.append(prefix(found, common, rank).view(np.int64))
-                lists = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(drawn, lists), pa.array(keys, lists)], ["row", "size", "sketch", "keys"])
-
-    return map_arrow(texts.select("row", "text"), run, "row long, size long, sketch array<long>, keys array<long>")
+                    digest.append(xxhash.xxh3_128_digest(found.tobytes()))
+                    balance.append(counts(found, longs))
+                stacked = np.stack(balance)
+                wide = np.packbits(stacked > 0, axis=1, bitorder="little").view("<i8")
+                lists = lambda v: pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), lists(wide), lists(probed(stacked, width, segments))], ["row", "digest", "size", "wide", "probes"]
+                )
+
+    return map_arrow(texts.select("row", "text"), run, "row long, digest binary, size long, wide array<long>, probes array<long>")
+
+
+def entries(signed: DataFrame, width: int) -> DataFrame:
+    """key (segment and value), flips (those made to reach it), row, code: the whole ball of each segment."""
+    each = signed.select("row", F.col("wide")[0].alias("code"), F.posexplode("probes").alias("segment", "probe"))
+    place = lambda i: F.shiftright("probe", width + 6 * i).bitwiseAND(F.lit(63)).cast("int")
+    bit = [F.call_function("shiftleft", F.lit(1).cast("long"), place(i)) for i in range(UNCERTAIN)]
+    masks = [F.lit(0).cast("long")]
+    for b in bit:
+        masks += [m.bitwiseXOR(b) for m in masks]
+    value = F.shiftleft(F.col("segment").cast("long"), width).bitwiseOR(F.col("probe").bitwiseAND(F.lit((1 << width) - 1)))
+    return each.select("row", "code", value.alias("value"), F.explode(F.array(*masks)).alias("flips")).select(F.col("value").bitwiseXOR(F.col("flips")).alias("key"), "flips", "row", "code")
+
+
+def pieces(keyed: DataFrame, total: int) -> DataFrame:
+    """The entries with `piece`: 0, but for keys with very many rows, which are cut into pieces of about PIECE rows.
+
+    Buckets of keys are counted first, so only keys of crowded buckets are counted one by one; keys above the share of all
+    are fewer than its inverse, so their table is bounded and broadcast."""
+    least = max(PIECE, int(total * PIECE_SHARE))
+    buckets = 1 << 16
+    if total < 2 * least:
+        return keyed.withColumn("piece", F.lit(0))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets))
+    crowded = keyed.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > least)
+    crowded = [r.bucket for r in crowded.collect()]  # at most 65536 numbers
+    if not crowded:
+        return keyed.withColumn("piece", F.lit(0))
+    chosen = keyed.sparkSession.createDataFrame([(b,) for b in crowded], "bucket long")
+    hot = materialize(keyed.select("key", bucket.alias("bucket")).join(F.broadcast(chosen), "bucket", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > least))
+    if hot.isEmpty():
+        return keyed.withColumn("piece", F.lit(0))
+    number = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / least)).cast("int")
+    return keyed.join(F.broadcast(hot), "key", "left").withColumn("piece", F.coalesce(number, F.lit(0))).drop("n")
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """Rows that come sorted by key, with the starts and ends of the keys' runs; a run can go over batches."""
+    """Rows that come sorted by key and piece, with the starts and ends of their runs; a run can go over batches."""
     kept: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        kept.append(batch)
-        key = batch["key"].to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut or len(kept) > 1 and kept[0]["key"][0].as_py() != key[-1]:
-            whole = pa.Table.from_batches([*kept[:-1], batch.slice(0, cut)])
-            yield bounded(whole)
-            kept = [batch.slice(cut)]
+        key, piece = batch["key"].to_numpy(), batch["piece"].to_numpy()
+        end = (int(key[-1]), int(piece[-1]))
+        same = (key == end[0]) & (piece == end[1])
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut or last is not None and last != end:
+            yield bounded(pa.Table.from_batches([*kept, batch.slice(0, cut)]))
+            kept = []
+        kept.append(batch.slice(cut))
+        last = end
     if kept:
         yield bounded(pa.Table.from_batches(kept))
 
 
 def bounded(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    change = np.flatnonzero(np.diff(t["key"].to_numpy())) + 1
+    change = np.flatnonzero(np.diff(t["key"].to_numpy()) | np.diff(t["piece"].to_numpy())) + 1
     return t, np.concatenate([[0], change]), np.concatenate([change, [t.num_rows]])
 
 
+def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= NEAR_64  # of signed numbers it would count the absolute value's
+
+
 def paired(keyed: DataFrame) -> DataFrame:
-    """a, b, key, size: pairs that meet under a key (key is null), and the rows (a) of keys with over SMALL rows."""
+    """a, b, key: pairs that meet under a key (key is null), and the rows (a) of keys with over SMALL rows.
+
+    A pair meets under as many keys as both can flip a bit in common; it counts under the one where they flip none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
         for t, starts, ends in runs(batches):
-            rows, size, key = (t[c].to_numpy() for c in ("row", "size", "key"))
+            row, code, flips, key = (t[c].to_numpy() for c in ("row", "code", "flips", "key"))
             n = ends - starts
             end, many = np.repeat(ends, n), np.repeat(n > SMALL, n)
-            at = np.arange(len(rows))
-            for step in range(1, min(SMALL, int(n.max()))):
-                i = at[(at + step < end) & ~(many & (step > BESIDE))]
-                i = i[TOP * size[i + step] <= BELOW * size[i]]
+            few = np.flatnonzero(~many & (end - np.arange(len(row)) > 1))
+            for step in range(1, SMALL):
+                few = few[few + step < end[few]]
+                if not len(few):
+                    break
+                i = few[(flips[few] & flips[few + step]) == 0]
+                i = i[near(code[i], code[i + step])]
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[i]), pa.array(rows[i + step]), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64())], ["a", "b", "key", "size"])
+                    yield pair(row[i], row[i + step])
             if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(rows[many]), pa.nulls(int(many.sum()), pa.int64()), pa.array(key[many]), pa.array(size[many])], ["a", "b", "key", "size"])
+                own = np.flatnonzero(many & (flips == 0))
+                for step in range(1, BESIDE + 1):
+                    i, j = own[:-step], own[step:]
+                    ok = (j < end[i]) & near(code[i], code[j])
+                    yield pair(row[i[ok]], row[j[ok]])
+                yield pa.RecordBatch.from_arrays([pa.array(row[many]), pa.nulls(int(many.sum()), pa.int64()), pa.array(key[many])], ["a", "b", "key"])
+
+    return map_arrow(sorted_runs(keyed, "row").select("key", "piece", "flips", "row", "code"), run, "a long, b long, key long")
+
+
+def sorted_runs(rows: DataFrame, *after: str) -> DataFrame:
+    return rows.repartition("key", "piece").sortWithinPartitions("key", "piece", *after)
 
-    return map_arrow(keyed.select("key", "size", "row"), run, "a long, b long, key long, size long")
 
+def apart(crowded: DataFrame) -> DataFrame:
+    """a, b: pairs of different classes under a crowded key; crowded has key, row, code, label.
 
-def apart(keyed: DataFrame) -> DataFrame:
-    """a, b: all pairs that meet under a key, have sizes and sketches that allow the similarity, and different labels."""
+    The rows outside of a key's largest class go to every piece of it and meet all its rows there; where a key is of one
+    class, as groups of near copies are after the first pass, nothing is compared."""
+    of_label = materialize(crowded.groupBy("key", "label").agg(F.count("*").alias("k")))
+    facts = materialize(of_label.groupBy("key").agg(F.sum("k").alias("n"), F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1"))
+    rows = join_spread(crowded, facts.select("key", "n", F.struct("main", F.col("n").alias("rows")).alias("of")), "key", crowded.count())
+    number = F.ceil(F.col("of.rows") / PIECE).cast("int")
+    rows = rows.select("key", "row", "code", "label", (F.col("label") != F.col("of.main")).alias("asks"), number.alias("n"))
+    whole = rows.select("key", F.pmod(F.xxhash64("row"), F.col("n")).cast("int").alias("piece"), "row", "code", "label", F.lit(False).alias("asks"))
+    asking = rows.where("asks").select("key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("piece"), "row", "code", "label", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts, ends in runs(batches):
-            rows, size, label = (t[c].to_numpy() for c in ("row", "size", "label"))
+            row, code, label = (t[c].to_numpy() for c in ("row", "code", "label"))
+            asks = t["asks"].to_numpy(zero_copy_only=False)
             for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
-                if (label[start:end] == label[start]).all():
-                    continue
-                drawn = np.stack(t["sketch"][start:end].to_numpy()).view(np.uint64)
-                upto = start + np.searchsorted(TOP * size[start:end], BELOW * size[start:end], "right")
+                those = start + np.flatnonzero(~asks[start:end])
                 a, b, held = [], [], 0
-                for i in range(start, end):
-                    other = i + 1 + np.flatnonzero(label[i + 1 : upto[i - start]] != label[i])
-                    differ = np.bitwise_count(drawn[other - start] ^ drawn[i - start]).sum(1, dtype=np.int64)
-                    other = other[(TOP + BELOW) * differ <= (BELOW - TOP) * (size[other] + size[i])]
-                    a.append(np.full(len(other), rows[i]))
-                    b.append(rows[other])
+                for i in (start + np.flatnonzero(asks[start:end])).tolist():
+                    other = those[(label[those] != label[i]) & near(code[those], code[i])]
+                    a.append(np.full(len(other), row[i]))
+                    b.append(row[other])
                     held += len(other)
-                    if held >= AT_ONCE or i == end - 1:
+                    if held >= AT_ONCE:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
                         a, b, held = [], [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return map_arrow(keyed.select("key", "size", "row", "label", "sketch"), run, "a long, b long")
+    return map_arrow(sorted_runs(whole.unionByName(asking)).select("key", "piece", "row", "code", "label", "asks"), run, "a long, b long")
 
 
-def sorted_by_key(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", "size", "row")
-
-
-def met(pairs: DataFrame, facts: DataFrame, end: str) -> DataFrame:
-    """Pairs with the facts of the row at one end. A row in many pairs is not dealt to one task."""
-    many = pairs.groupBy(end).agg(F.count("*").alias("n"))
-    return join_spread(pairs, materialize(many.join(facts.withColumnRenamed("row", end), end)), end, pairs.count())
+def distance(a: Column, b: Column) -> Column:
+    """Differing bits of two fingerprints, scaled to 512."""
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    return differ * 8 / F.size(a)
 
 
 def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b: the pairs (a, b) that are similar."""
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    drawn = signed.select("row", "size", "sketch")
-    both = met(materialize(met(pairs, drawn.withColumnsRenamed({"size": "size_a", "sketch": "sketch_a"}), "a")), drawn.withColumnsRenamed({"size": "size_b", "sketch": "sketch_b"}), "b")
-    differ = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH)), F.lit(0))
-    pairs = materialize(both.where((TOP + BELOW) * differ <= (BELOW - TOP) * (F.col("size_a") + F.col("size_b"))).select("a", "b"))
+    """a, b: the pairs (a, b) that are similar: by the complete distance first, then by their whole sets."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    bits = signed.select("row", "size", "wide")
+    both = pairs.join(bits.withColumnsRenamed({"row": "a", "size": "size_a", "wide": "wide_a"}), "a").join(bits.withColumnsRenamed({"row": "b", "size": "size_b", "wide": "wide_b"}), "b")
+    sizes = (TOP * F.greatest("size_a", "size_b") <= BELOW * F.least("size_a", "size_b"))
+    pairs = materialize(both.where(sizes & (distance(F.col("wide_a"), F.col("wide_b")) <= NEAR_512)).select("a", "b"))
     rows = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 sets = [shingle_set(t.as_py()).tobytes() for t in part.column(1).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["row", "whole"])
 
@@ -209,31 +273,44 @@ def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     sets = materialize(map_arrow(texts.join(rows, "row", "left_semi").select("row", "text"), whole, "row long, whole binary"))
-    both = met(met(pairs, sets.withColumnRenamed("whole", "whole_a"), "a"), sets.withColumnRenamed("whole", "whole_b"), "b")
+    both = pairs.join(sets.withColumnsRenamed({"row": "a", "whole": "whole_a"}), "a").join(sets.withColumnsRenamed({"row": "b", "whole": "whole_b"}), "b")
     return materialize(map_arrow(both.select("a", "b", "whole_a", "whole_b"), count, "a long, b long"))
 
 
-def near_links(texts: DataFrame) -> DataFrame:
-    """a, b: similar pairs of rows that connect all rows (row, text) connected by similar pairs."""
-    signed = materialize(signatures(texts))
-    found = materialize(paired(sorted_by_key(signed.select(F.explode("keys").alias("key"), "size", "row"))))
-    links = verified(found.where("b IS NOT NULL"), signed, texts)
-    crowded = found.where("b IS NULL").select("key", "size", F.col("a").alias("row"))
+def near_links(texts: DataFrame, width: int | None = None, segments: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(row, first: the first row with the same set) and (a, b: similar pairs of first rows that connect all rows of
+    (row, text) connected by similar pairs)."""
+    found = plan(texts.count())
+    width, segments = width or found[0], segments or found[1]
+    signed = materialize(fingerprints(texts, width, segments))
+    groups = materialize(signed.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("n")))
+    same = materialize(join_spread(signed.select("row", "digest"), groups, "digest", signed.count()).select("row", "first"))
+    signed = materialize(signed.join(groups.select(F.col("first").alias("row")), "row", "left_semi").drop("digest"))
+    total = signed.count() * segments << UNCERTAIN
+    met = materialize(paired(pieces(entries(signed, width), total)))
+    links = verified(met.where("b IS NOT NULL"), signed, texts)
+    crowded = met.where("b IS NULL").select("key", F.col("a").alias("row"))
     if crowded.isEmpty():
-        return links
+        return same, links
     label = classes(links).withColumnRenamed("node", "row")
-    crowded = crowded.join(label, "row", "left").withColumn("label", F.coalesce("label", "row")).join(signed.select("row", "sketch"), "row")
-    return links.unionByName(verified(apart(sorted_by_key(crowded)), signed, texts))
+    crowded = materialize(crowded.join(label, "row", "left").withColumn("label", F.coalesce("label", "row")).join(signed.select("row", F.col("wide")[0].alias("code")), "row"))
+    return same, links.unionByName(verified(apart(crowded), signed, texts))
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """row, doc_id, component_id (smallest doc_id of the class) and first (the row that stands for the class), of a `stable` table."""
+    texts = row_keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row")
+    same, links = near_links(texts.select("row", "text"))
+    label = classes(links)
+    of_first = same.join(label.withColumnRenamed("node", "first"), "first", "left").select("row", F.coalesce("label", "first").alias("label"))
+    members = materialize(texts.select("row", "doc_id").join(of_first, "row"))
+    heads = materialize(members.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.count("*").alias("n")))
+    return join_spread(members, heads, "label", members.count()).select("row", "doc_id", F.col("head.doc_id").alias("component_id"), (F.col("row") == F.col("head.row")).alias("first"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """Of each class of near copies the row with the smallest doc_id, with all columns."""
-    texts = row_keyed(docs.select("doc_id", "text"), "row")
-    label = classes(near_links(texts.select("row", "text")))
-    members = materialize(texts.select("row", F.col("doc_id").cast("long").alias("doc_id")).join(label.withColumnRenamed("node", "row"), "row"))
-    heads = members.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("head"))
-    dropped = members.join(heads, "label").where("row <> head.row").select("row")
-    key = "row"
-    while key in docs.columns:
-        key += "_"
-    return row_keyed(docs, key).join(dropped.withColumnRenamed("row", key), key, "left_anti").select(docs.columns)
+    docs = stable(docs)
+    key = fresh(docs, "row")
+    dropped = near_groups(docs).where("not first").select(F.col("row").alias(key))
+    return row_keyed(docs, key).join(dropped, key, "left_anti").select(*map(named, docs.columns))

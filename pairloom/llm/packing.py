@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, map_pandas, materialize, row_keyed
+from .common import map_arrow, map_pandas, materialize, row_keyed, stable
 from .tokens import text_slices, word_bpe
 
 CAPACITY, END_ID = 2048, 0
@@ -57,8 +57,9 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
                 if with_ids:
                     out, names = [*out, pa.LargeListArray.from_arrays(pa.array(np.append(first, len(full))), pa.array(full)).cast(pa.list_(pa.int64()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(out, names)
+        bpe.reset()
 
-    keyed = row_keyed(docs.select("doc_id", "text"), "row").select(F.col("doc_id").cast("long"), "text", "row")
+    keyed = row_keyed(stable(docs.select("doc_id", "text")), "row").select(F.col("doc_id").cast("long"), "text", "row")
     return map_arrow(keyed, cut, PIECES + (", ids array<long>" if with_ids else ""))
 
 
@@ -210,6 +211,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
 
 def packed_ids(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The sequences themselves: sequence_id, ids, and the doc_ids in them. A sequence is at most `capacity` ids."""
+    docs = stable(docs.select("doc_id", "text"))
     places = pack_documents(docs, tokenizer, capacity, end_id).select("row", "piece", "sequence_id", "offset")
     parts = tokenised(docs, tokenizer, capacity, end_id, with_ids=True).join(places, ["row", "piece"])
     inside = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids")))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, html_text, license_scan, order_minhash, packing, quality, simhash, source_mix, token_files, warc
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, stable, table
 
 
 def tokenizer_path() -> str:
@@ -24,7 +24,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_groups(table(spark, sf_dir, "documents"))
+    found = simhash.near_groups(stable(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -33,7 +33,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("rid")
+    return exact_dedup.exact_groups(stable(table(spark, sf_dir, "documents"))).drop("rid")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+    return source_mix.mix(stable(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, map_arrow, materialize, row_keyed
+from .common import LOWER_BYTES, fresh, map_arrow, materialize, named, row_keyed, stable
 
 SHINGLE, SEED, RADIUS, SEGMENTS = 3, 42, 3, 2
 HOT_SHARE = 0.001
@@ -152,7 +152,7 @@ def links(distinct: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -
     return map_arrow(met.select("segment", "key", "own", "fp"), meet, "a long, b long").distinct()
 
 
-def join_spread(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+def join_spread(rows: DataFrame, facts: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """Rows with the facts of their key; facts has one row a key, with n rows of that key among the total.
 
     Keys above HOT_SHARE of all rows are fewer than its inverse: that many facts at most are broadcast, and their rows are
@@ -168,7 +168,7 @@ def jumped(trees: DataFrame, nodes: int) -> DataFrame:
     return materialize(join_spread(trees, materialize(ups), "label", nodes).select("node", F.col("up").alias("label")))
 
 
-def classes(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def classes(edges: DataFrame) -> DataFrame:
     """node, label (a node of the same component) for all nodes of a, b edges.
 
     A round hangs each node's tree under the least label beside it and then jumps pointers; the depth of trees, not the
@@ -178,9 +178,9 @@ def classes(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     degrees = materialize(both.groupBy("b").agg(F.count("*").alias("n")))
     label = materialize(degrees.select(F.col("b").alias("node"), F.col("b").alias("label")))
     ends, nodes = both.count(), label.count()
-    for _ in range(most_rounds):
-        named = degrees.join(label.withColumnRenamed("node", "b"), "b")
-        beside = join_spread(both, named, "b", ends).groupBy("a").agg(F.min("label").alias("near"))
+    while True:  # labels only fall, so it ends
+        of_end = degrees.join(label.withColumnRenamed("node", "b"), "b")
+        beside = join_spread(both, of_end, "b", ends).groupBy("a").agg(F.min("label").alias("near"))
         asked = label.join(beside.withColumnRenamed("a", "node"), "node")
         # The least label beside a tree is offered to the tree's root; roots take the least offer below their own label.
         offers = asked.groupBy("label").agg(F.min("near").alias("offer")).where("offer < label")
@@ -191,7 +191,6 @@ def classes(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         label = hung
         if done:
             return label
-    raise RuntimeError("components did not settle")
 
 
 def near_groups(docs: DataFrame, words: int = SHINGLE, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
@@ -208,8 +207,7 @@ def near_groups(docs: DataFrame, words: int = SHINGLE, segments: int = SEGMENTS,
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each group, with all columns."""
-    kept = near_groups(docs).where("first").select("row")
-    key = "row"
-    while key in docs.columns:
-        key += "_"
-    return row_keyed(docs, key).join(kept.withColumnRenamed("row", key), key, "left_semi").select(docs.columns)
+    docs = stable(docs)
+    key = fresh(docs, "row")
+    kept = near_groups(docs).where("first").select(F.col("row").alias(key))
+    return row_keyed(docs, key).join(kept, key, "left_semi").select(*map(named, docs.columns))

@@ -3,12 +3,14 @@
 Each source has a target of words. Document rates are the ones nearest to 1 (in relative entropy) that meet the targets
 and stay at or below the cap: rate = min(cap, exp(lambda_source * size / mean size)). The lambdas maximise a concave
 dual that separates by source; safeguarded Newton steps for all sources at once run over a histogram of sizes. Rates
-are then rounded to whole copies by a hash of the row, and a bounded greedy step moves single documents by one copy
-until what a source takes is as near to its target as those documents allow.
+are then rounded to whole copies systematically: documents of a part of a source stand in order of size, and one more
+copy is taken each time the running sum of the rates' fractions passes a whole number, so a part misses its sum of words
+by less than its longest document. Rounds of single moves by one copy then bring each source as near to its target as
+its documents allow.
 
 Defined results: null texts have size 0; a null source is a source of its own, ordered last; empty tables give empty
-results; sources whose texts are all empty take nothing; rows that repeat doc_id, source and size get equal copies;
-other columns are not looked at.
+results; sources whose texts are all empty take nothing; repeated rows, and rows without a doc_id, are rows of their own;
+other columns are kept as they are and not looked at.
 """
 
 from __future__ import annotations
@@ -16,39 +18,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, fresh, materialize, named, row_keyed, stable
+from .simhash import join_spread
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
-TOLERANCE, MAX_STEPS = 1e-9, 60
-SLOTS, SALTS = 8, 64
+#: Relative error of a source's sum; steps after which bisection alone has reached the precision of a double.
+TOLERANCE, MOST_STEPS = 1e-9, 200
+#: Documents of a part of a source; candidates of a round of moves for each source and power of two of the size; the unit
+#: of fractions is 2 ** -UNIT.
+PART, SLOTS, UNIT = 20_000, 8, 40
+#: A source: its name, and whether it has one, so that joins need no comparison of nulls.
+SOURCE = ["has_source", "source"]
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """source, has_source, source_size, n_docs, target. `sizes` has source, size and n (rows of that size).
+def with_source(source: Column) -> list[Column]:
+    return [source.isNotNull().alias("has_source"), F.coalesce(source, F.lit("")).alias("source")]
 
-    Water filling in closed form: a source is capped when cap * size / weight is at most the level that the sources not
-    capped before it would share; the level is the largest of those.
-    """
-    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (((F.row_number().over(by_name) - 1) % len(weights)) + 1).cast("int")))
-    by_room = Window.orderBy(F.col("room"), F.col("source").asc_nulls_last())
-    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_room.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(1))
-    capped = F.col("source_size") * cap
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum(capped).over(before), F.lit(0))) / F.sum("weight").over(rest)
-    return (
-        per.withColumn("room", capped / F.col("weight"))
-        .withColumn("level", level)
-        .withColumn("target", F.least(capped.cast("double"), F.max("level").over(everything) * F.col("weight")))
-        .select("source", "source_size", "n_docs", "target")
-    )
+
+def ranked(per: DataFrame) -> DataFrame:
+    """One row a source with `rank`, from 0 by code point, null last: sorted by ranges, then the ranges' counts are summed."""
+    at = materialize(per.orderBy(F.desc("has_source"), "source").withColumn("id", F.monotonically_increasing_id()))
+    part = F.shiftright("id", 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    starts = at.groupBy(part.alias("part")).agg(F.count("*").alias("k")).select("part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
+    return at.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).drop("id", "part", "start")
+
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """has_source, source, source_size, n_docs, target. `sizes` has the source, size and n (rows of that size).
+
+    Water filling: sources not capped share by weight what the capped ones leave, at one level of words a unit of weight;
+    sources above cap times their size at this level are capped, until none is. Only sums come to the driver."""
+    per = sizes.groupBy(*SOURCE).agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
+    per = materialize(ranked(per).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))))
+    room = F.col("source_size") * cap
+    total, level, before = per.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while True:
+        capped = room <= F.col("weight") * F.lit(level)
+        k, full, open_ = per.agg(F.count_if(capped), F.sum(F.when(capped, room)), F.sum(F.when(~capped, F.col("weight")))).first()
+        if k == before or not open_:
+            break
+        before, level = k, (total - (full or 0)) / open_
+    return per.select(*SOURCE, "source_size", "n_docs", F.least(room.cast("double"), F.col("weight") * F.lit(level)).alias("target"))
 
 
 def tilts(sizes: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
@@ -63,97 +79,88 @@ def tilts(sizes: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
         .withColumns({"lam": F.lit(0.0), "lo": F.lit(-1e3), "hi": F.lit(1e3), "done": (F.col("source_size") == 0) | F.col("full")})
     )
     sizes = sizes.where("size > 0")
-    for _ in range(MAX_STEPS):
+    for _ in range(MOST_STEPS):
+        if state.where(~F.col("done")).isEmpty():
+            return state
         open_ = state.where(~F.col("done"))
         x = F.col("size") / F.col("mean")
         tilted = F.exp(F.least(F.col("lam") * x, F.lit(50.0)))
         inside = tilted < cap
         sums = (
-            sizes.join(open_.select(F.col("source").alias("s"), "lam", "mean"), F.col("source").eqNullSafe(F.col("s")))
-            .groupBy("source")
+            sizes.join(open_.select(*SOURCE, "lam", "mean"), SOURCE)
+            .groupBy(*SOURCE)
             .agg(
                 F.sum(F.col("n") * F.col("size") * F.when(inside, tilted).otherwise(F.lit(float(cap)))).alias("taken"),
                 F.sum(F.when(inside, F.col("n") * F.col("size") * x * tilted).otherwise(0.0)).alias("slope"),
             )
-            .withColumnRenamed("source", "s")
         )
         off = F.col("taken") - F.col("target")
         lo, hi = F.when(off < 0, F.col("lam")).otherwise(F.col("lo")), F.when(off > 0, F.col("lam")).otherwise(F.col("hi"))
         newton = F.col("lam") - off / F.col("slope")
         after = F.when((F.col("slope") > 0) & (newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
         met = F.abs(off) <= F.col("target") * TOLERANCE
+        closed = hi - lo <= F.lit(1e-14) * (F.abs("lam") + 1)
         state = materialize(
-            state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").select(
-                "source", "source_size", "n_docs", "target", "mean", "full",
-                *(F.when(F.col("done") | F.col("taken").isNull(), F.col(c)).otherwise(v).alias(c) for c, v in (("lam", F.when(met, F.col("lam")).otherwise(after)), ("lo", lo), ("hi", hi), ("done", met | (hi - lo < 1e-15)))),
+            state.join(sums, SOURCE, "left").select(
+                *SOURCE, "source_size", "n_docs", "target", "mean", "full",
+                *(F.when(F.col("done") | F.col("taken").isNull(), F.col(c)).otherwise(v).alias(c) for c, v in (("lam", F.when(met, F.col("lam")).otherwise(after)), ("lo", lo), ("hi", hi), ("done", met | closed))),
             )
         )
-        if state.where(~F.col("done")).isEmpty():
-            break
-    return state
-
-
-def met(rows: DataFrame, facts: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Rows with the facts of their source. A source is split into SALTS parts and its row of facts is repeated for each,
-    so that a source with a third of all rows spreads over as many tasks."""
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)))
-    each = facts.select(F.col("source").alias("__s"), *columns, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("__t"))
-    return salted.join(each, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__salt") == F.col("__t"))).drop("__s", "__salt", "__t")
+    raise RuntimeError("the dual did not settle")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 8) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, rate, copies, taken (size * copies)."""
-    counted = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    sizes = materialize(counted.groupBy("source", "size").agg(F.count("*").alias("n")))
-    state = tilts(sizes, materialize(source_targets(sizes, weights, cap)), cap)
+    """One row per document of a `stable` table: row, doc_id, source, size, source_size, target, rate, copies, taken (size * copies)."""
+    counted = materialize(row_keyed(docs.select("doc_id", "source", "text"), "row").select("row", "doc_id", *with_source(F.col("source")), word_count(F.col("text")).alias("size")))
+    sizes = materialize(counted.groupBy(*SOURCE, "size").agg(F.count("*").alias("n")))
+    state = tilts(sizes, source_targets(sizes, weights, cap), cap)
+    total = counted.count()
+    of_source = join_spread(counted, state.withColumn("n", F.col("n_docs")), SOURCE, total)
     tilted = F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)))
-    rate = F.when(F.col("full") | (F.col("size") == 0), F.lit(float(cap))).otherwise(F.least(tilted, F.lit(float(cap))))
-    rate = F.when(F.col("source_size") == 0, F.lit(1.0)).when(F.col("size") == 0, F.lit(1.0)).otherwise(rate)
-    shot = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.lit(1 << 30)) / float(1 << 30)
+    rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("full"), F.lit(float(cap))).otherwise(F.least(tilted, F.lit(float(cap))))
+    shuffled = F.xxhash64(F.lit(seed), "doc_id", "size")
+    part = F.pmod(shuffled, F.ceil(F.col("n_docs") / PART))
+    in_order = Window.partitionBy(*SOURCE, "part").orderBy("size", "shuffled", "row")
+    past = F.sum("fraction").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) + F.pmod(F.xxhash64(F.lit(seed), *SOURCE, "part"), F.lit(1 << UNIT))
+    extra = F.shiftright(past, UNIT) - F.shiftright(past - F.col("fraction"), UNIT)
     rounded = (
-        met(counted, state, ("source_size", "target", "lam", "mean", "full"))
-        .withColumn("rate", rate)
-        .withColumn("copies", F.least(F.floor("rate") + F.when(shot < F.col("rate") - F.floor("rate"), 1).otherwise(0), F.lit(cap)).cast("int"))
-    )
-    moves = single_moves(rounded, cap, seed).select(*(F.col(c).alias("m_" + c) for c in ("doc_id", "source", "size", "move")))
-    same = F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size"))
-    return (
-        rounded.join(moves, same, "left")
-        .withColumn("copies", F.col("copies") + F.coalesce("m_move", F.lit(0)))
-        .select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-    )
-
-
-def single_moves(rounded: DataFrame, cap: int, seed: int) -> DataFrame:
-    """doc_id, source, size, move: documents to take once more (or less), chosen greedily by size until the source's rest is met.
-
-    Candidates are one document for each source, power of two of the size, and slot of a hash: a bounded number a source.
-    """
-    rest = materialize(
-        rounded.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("rest")).select("source", F.round("rest").cast("long").alias("rest"))
+        of_source.withColumns({"rate": rate, "shuffled": shuffled, "part": part})
+        .withColumn("fraction", F.floor((F.col("rate") - F.floor("rate")) * float(1 << UNIT)).cast("long"))
+        .withColumn("copies", (F.floor("rate") + extra).cast("int"))
     )
-    room = F.when(F.col("rest") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
-    able = met(rounded, rest, ("rest",)).where((F.col("size") > 0) & (F.abs("rest") >= F.col("size")) & room)
-    shuffled = F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("size"))
-    picked = (
-        able.withColumn("octave", F.floor(F.log2("size")).cast("int")).withColumn("slot", F.pmod(shuffled, F.lit(SLOTS)))
-        .groupBy("source", "octave", "slot")
-        .agg(F.min(F.struct(shuffled.alias("o"), F.col("size"), F.col("doc_id"))).alias("c"), F.first("rest").alias("rest"))
-        .groupBy("source")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("c.size").alias("size"), F.col("c.doc_id").alias("doc_id"))), asc=False).alias("cs"), F.first("rest").alias("rest"))
-    )
-    start = F.struct(F.abs("rest").alias("left"), F.filter("cs", lambda c: F.lit(False)).alias("chosen"))
-    step = lambda acc, c: F.when(c["size"] <= acc["left"], F.struct((acc["left"] - c["size"]).alias("left"), F.concat(acc["chosen"], F.array(c)).alias("chosen"))).otherwise(acc)
-    return picked.select("source", F.signum("rest").cast("int").alias("move"), F.explode(F.aggregate("cs", start, step)["chosen"]).alias("c")).select("source", "move", "c.size", "c.doc_id")
+    kept = ["row", "doc_id", *SOURCE, "size", "source_size", "target", "rate", "copies", "n_docs", "shuffled"]
+    rounded = moved(materialize(rounded.select(*kept)), cap, total)
+    return rounded.select("row", "doc_id", F.when(F.col("has_source"), F.col("source")).alias("source"), "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def moved(rounded: DataFrame, cap: int, total: int) -> DataFrame:
+    """Rows with single documents taken once more (or less) until no able document is as short as what its source still
+    lacks (or has too much). A round chooses greedily by size among one document for each source, power of two of the
+    size, and slot of a hash: a bounded number a source. Each round brings a source nearer to its target or ends."""
+    while True:
+        rest = rounded.groupBy(*SOURCE).agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("rest"), F.count("*").alias("n"))
+        rest = materialize(rest.select(*SOURCE, F.round("rest").cast("long").alias("rest"), "n").where("rest <> 0"))
+        room = F.when(F.col("rest") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
+        able = join_spread(rounded, rest, SOURCE, total).where((F.col("size") > 0) & (F.abs("rest") >= F.col("size")) & room)
+        picked = (
+            able.withColumn("octave", F.floor(F.log2("size")).cast("int")).withColumn("slot", F.pmod("shuffled", F.lit(SLOTS)))
+            .groupBy(*SOURCE, "octave", "slot")
+            .agg(F.min(F.struct("shuffled", "size", "row")).alias("c"), F.first("rest").alias("rest"))
+            .groupBy(*SOURCE)
+            .agg(F.sort_array(F.collect_list(F.struct(F.col("c.size").alias("size"), F.col("c.shuffled").alias("o"), F.col("c.row").alias("row"))), asc=False).alias("cs"), F.first("rest").alias("rest"))
+        )
+        start = F.struct(F.abs("rest").alias("left"), F.filter("cs", lambda c: F.lit(False)).alias("chosen"))
+        step = lambda acc, c: F.when(c["size"] <= acc["left"], F.struct((acc["left"] - c["size"]).alias("left"), F.concat(acc["chosen"], F.array(c)).alias("chosen"))).otherwise(acc)
+        moves = materialize(picked.select(F.signum("rest").cast("int").alias("move"), F.explode(F.aggregate("cs", start, step)["chosen"]).alias("c")).select("c.row", "move"))
+        if moves.isEmpty():
+            return rounded
+        rounded = materialize(rounded.join(moves, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0))).drop("move"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, with their columns; those with no copy are gone."""
-    plan = mix(docs)
-    keyed = docs.withColumns({"__size": word_count(F.col("text")), "__doc": F.col("doc_id"), "__source": F.col("source")})
-    copies = plan.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    names = {c: f"__p_{c}" for c in ("doc_id", "source", "size")}
-    copies = copies.withColumnsRenamed(names)
-    same = keyed["__doc"].eqNullSafe(copies["__p_doc_id"]) & keyed["__source"].eqNullSafe(copies["__p_source"]) & (keyed["__size"] == copies["__p_size"])
-    joined = keyed.join(copies, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return joined.select(docs.columns)
+    docs = stable(docs)
+    row = fresh(docs, "row")
+    times, copy = fresh(docs, "times"), fresh(docs, "copy")
+    copies = mix(docs).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(times))
+    return row_keyed(docs, row).join(copies, row).withColumn(copy, F.explode(F.sequence(F.lit(1), named(times)))).select(*map(named, docs.columns))

@@ -6,7 +6,8 @@ comparison, and keeps for each block the lengths between its separators and what
 over the blocks of a file (a few numbers a block) then joins the documents that cross blocks and numbers all documents.
 
 Defined results: null texts count as empty (0 tokens); tokens after a file's last separator are a document of their own,
-not closed; empty files have no documents; a file of odd length is an error; repeated rows are documents of their own.
+not closed; empty files have no documents; a file of odd length is an error; repeated rows are documents of their own; ids
+that are the separator or do not fit 16 bits (another vocabulary) are an error.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, map_pandas, materialize, scratch
 from .tokens import text_slices, word_bpe
 
-SEPARATOR, BLOCK_IDS, FILE_IDS = 49407, 1 << 20, 1 << 25
+#: The separator is no id of the vocabulary.
+SEPARATOR, BLOCK_IDS, FILE_IDS = 65535, 1 << 20, 1 << 25
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -33,6 +35,13 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(quote(unquote(uri), safe=":/"))
 
 
+def fitting(ids: np.ndarray, separator: int) -> np.ndarray:
+    """The ids, if each can be told from the separator in 16 bits."""
+    if len(ids) and (int(ids.max()) > 65535 or (ids == separator).any()):
+        raise ValueError("an id of this vocabulary is the separator or does not fit 16 bits")
+    return ids
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: int = SEPARATOR, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the files; the manifest that comes back has for each document its file and its number in it.
 
@@ -49,7 +58,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: i
                 flat = np.full(len(ids) + len(n), separator, "<u2")
                 inside = np.ones(len(flat), bool)
                 inside[np.cumsum(n + 1) - 1] = False
-                flat[inside] = ids
+                flat[inside] = fitting(ids, separator)
                 if out is None or written >= file_ids:
                     if out is not None:
                         out.close()
@@ -62,6 +71,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: i
                 number += rows
         if out is not None:
             out.close()
+        bpe.reset()
 
     return materialize(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), write, "doc_id long, file string, number long"))
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pairloom.llm import exact_dedup, license_scan, order_minhash, packing, quality, simhash, source_mix, token_files, tokens
+from pairloom.llm import exact_dedup, license_scan, near_copies, order_minhash, packing, quality, simhash, source_mix, token_files, tokens
 
 from .conftest import hard_texts, prose
 
@@ -157,9 +157,7 @@ def test_license_notices_with_edits(spark):
 
 
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("text", ["", "Hello, it's DON'T! 123 <|endoftext|> x", "ΑΣ Σ x", "日本語 テキスト don’t", "áé á É ÀÇ ²½", "x" * 200 + " " + "ab1" * 40, "\x00 \x1c\x1d a\u0085b　 c​d", "İstanbul ß ẞ ŉ ǆ", "́abc", "😀😀 👍🏽!!", " lead\n"])
@@ -169,6 +167,16 @@ def test_ids_are_the_librarys(text):
     assert ids.tolist() == want + want and n.tolist() == [len(want), 0, len(want)]
 
 
+def test_ids_of_long_texts_in_parts(monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 64)
+    monkeypatch.setattr(tokens, "TABLE_BYTES", 2000)
+    text = " ".join([prose(9, 300), "日本語 <|endoftext|> x<|startoftext|>y <|ENDOFTEXT|>", "z" * 300, prose(10, 50)])
+    slices = list(tokens.text_slices(pa.array([text, None, "a b", text])))
+    got = [tokens.WordBpe(PATH).encode(x) for _, x in slices]
+    want = [library().encode(t, add_special_tokens=False).ids for t in (text, "", "a b", text)]
+    assert sum((g.tolist() for g, _ in got), []) == sum(want, []) and [int(k) for _, n in got for k in n] == list(map(len, want))
+
+
 def test_ids_of_generated_words():
     rng = np.random.default_rng(1)
     letters = list("abcdefghijklmnopqrstuvwxyzABCéèñß0123456789'.,!#-")
@@ -182,6 +190,12 @@ def test_token_files_round_trip(spark, hard, none):
     assert token_files.token_counts(none, PATH).count() == 0
 
 
+def test_ids_that_do_not_fit_are_refused():
+    for bad in (65536, 65535):
+        with pytest.raises(ValueError):
+            token_files.fitting(np.array([1, bad], np.uint32), token_files.SEPARATOR)
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
 def test_separator_scan(spark, tmp_path, block):
     files = {"a": [9, 1, 2, 9, 9, 3, 3, 3, 3, 3, 3, 3, 9], "b": [1, 1, 1, 9, 2, 2], "c": [4] * 20, "d": [9] * 5, "e": []}
@@ -207,8 +221,11 @@ def test_packing_is_whole(spark, hard, none):
     for b in bins.values():
         assert [o for o, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 2048
     assert packing.pack_documents(none, PATH).count() == 0
-    for r in packing.packed_ids(hard.where("doc_id is not null and doc_id <> 8"), PATH).collect():
-        assert len(r.ids) <= 2048
+    sequences = packing.packed_ids(hard.where("doc_id is not null"), PATH).collect()
+    assert all(len(r.ids) <= 2048 for r in sequences)
+    got = collections.Counter(x for r in sequences for x in r.ids)
+    assert got == collections.Counter(x for i, t, _ in TEXTS if i is not None for x in [*library().encode(t, add_special_tokens=False).ids, 0])
+    assert sum(1 for r in sequences for x in r.ids if x == 0) == sum(i is not None for i, _, _ in TEXTS)
 
 
 def test_evolution_is_as_good_as_best_fit_decreasing():
@@ -321,6 +338,43 @@ def test_mix_meets_targets(spark, hard, none):
     mixed = source_mix.mixed_documents(hard)
     assert mixed.columns == hard.columns and source_mix.mix(hard).count() == len(TEXTS)
     assert source_mix.mix(none).count() == 0 and source_mix.mixed_documents(none).count() == 0
+    # No single document that is able is as short as what its source lacks or has too much.
+    for x in by.values():
+        rest = round(x[0].target - sum(r.taken for r in x))
+        assert not [r for r in x if 0 < r.size <= abs(rest) and (r.copies < 3 if rest > 0 else r.copies > 0)]
+
+
+def test_mix_of_rows_without_number_and_of_repeated_rows(spark):
+    rows = [(None, "a b c d", "s")] * 500 + [(7, "a b c", "s")] * 300 + [(8, "x " * 40, "t")]
+    got = source_mix.mix(few(spark, rows)).collect()
+    taken = collections.defaultdict(int)
+    for r in got:
+        taken[r.source] += r.taken
+        assert abs(r.copies - r.rate) < 2
+    assert len(got) == 801
+    for s in "st":
+        target = next(r.target for r in got if r.source == s)
+        assert abs(taken[s] - target) <= (4 if s == "s" else 40)
+
+
+def test_many_sources_are_ranked_by_code_point(spark):
+    names = ["b", "a", "é", "Z", "", "😀", "\uffff", None, *(f"h{k}" for k in range(300))]
+    order = [*sorted(n for n in names if n is not None), None]
+    got = {r.source: r.target for r in source_mix.mix(few(spark, [(i, "w " * 100, n) for i, n in enumerate(names)])).collect()}
+    unit = 100 * len(names) / sum(1 + k % 3 for k in range(len(names)))
+    assert all(got[n] == pytest.approx(unit * (1 + k % 3)) for k, n in enumerate(order))
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.drop_exact_copies, simhash.drop_near_copies, near_copies.drop_near_copies, source_mix.mixed_documents])
+def test_columns_of_any_name_are_kept(spark, stage):
+    extra = ["a.b", "__size", "row", "ROW_", "rid", "times", "copy", "__copies", "key`s", "label"]
+    docs = spark.createDataFrame([(i, prose(i, 40), "s", *(f"{i}{c}" for c in extra)) for i in range(30)], ["doc_id", "text", "source", *extra])
+    shuffled = docs.repartition(3)  # not stable: stored once
+    for df in (docs, shuffled):
+        kept = stage(df)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(tuple(r)[3:] == tuple(f"{r.doc_id}{c}" for c in extra) and r.text == prose(r.doc_id, 40) for r in rows)
 
 
 # --- quality

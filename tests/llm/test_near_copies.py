@@ -3,8 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
+from pairloom.llm import near_copies
 from pairloom.llm.common import LOWER_BYTES
 
 from .conftest import hard_texts, prose
@@ -53,3 +55,49 @@ def test_near_copies_of_the_stage(spark, texts):
         first.setdefault(r, i)
     kept = corpus_pipeline.no_near_copies(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(first.values())
+
+
+@pytest.mark.parametrize("width", [24, 32])
+def test_share_of_pairs_that_meet(width):
+    """Of pairs of similarity 4/5 no more than about MISSED are missed, at any width."""
+    rng, segments = np.random.default_rng(5), near_copies.plan(1 << (width - 5))[1]
+    assert near_copies.plan(1 << (width - 5))[0] == width
+    longs, missed, most = -(-width * segments // 64), 0, 0
+    for _ in range(300):
+        both = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+        a, b = np.unique(both[:180]), np.unique(both[20:])  # 160 of 200
+        assert near_copies.similar(a, b)
+        balance = np.stack([near_copies.counts(x, longs) for x in (a, b)])
+        most = max(most, ((balance[0] > 0) != (balance[1] > 0)).mean() * 512)
+        balls = []
+        for probes in near_copies.probed(balance, width, segments).tolist():
+            keys = set()
+            for s, p in enumerate(probes):
+                values = {p & (1 << width) - 1}
+                for i in range(near_copies.UNCERTAIN):
+                    values |= {v ^ 1 << (p >> width + 6 * i & 63) for v in values}
+                keys |= {(s, v) for v in values}
+            balls.append(keys)
+        missed += balls[0].isdisjoint(balls[1])
+    assert missed <= 5 and most <= near_copies.NEAR_512
+
+
+def test_counts_of_bits():
+    found = np.random.default_rng(6).integers(0, 1 << 63, 9000, dtype=np.uint64)
+    whole = near_copies.counts(found, 9)
+    assert len(whole) == 576 and (whole == near_copies.counts(found[:5000], 9) + near_copies.counts(found[5000:], 9)).all() and abs(whole).max() < 600
+
+
+@pytest.mark.parametrize(("small", "piece"), [(2, 8), (32, 4096)])
+def test_crowds_in_pieces(spark, monkeypatch, small, piece):
+    """Families whose keys are crowded: pieces and the second pass link what pairs under one key would."""
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "PIECE", piece)
+    texts = [edited(prose(7 + k % 2, 150), 1 + k % 6, 50 + k) for k in range(90)] + [prose(7, 150)] * 20 + ["", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = {}
+    for i, r in enumerate(brute(texts)):
+        first.setdefault(r, i)
+    got = near_copies.near_groups(docs).collect()
+    assert sorted(r.doc_id for r in got if r.first) == sorted(first.values())
+    assert all(r.component_id == first[b] for r, b in zip(sorted(got, key=lambda r: r.doc_id), brute(texts), strict=True))

@@ -9,7 +9,8 @@ import pytest
 from pairloom.llm import quality, source_mix
 from pairloom.llm.common import stored
 
-from .test_documents import AZ, PATH, brute_components, brute_fingerprint
+from .test_documents import AZ, PATH
+from .test_near_copies import brute
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -46,8 +47,9 @@ def test_exact(steps):
 
 
 def test_near(steps):
+    """The rule of stages on word shingles: five words, similarity 0.8."""
     rows = sorted(steps[2][2])
-    roots = brute_components([brute_fingerprint(r.text) for r in rows])
+    roots = brute([r.text for r in rows])
     first = {}
     for r, root in zip(rows, roots, strict=True):
         first.setdefault(root, r.doc_id)
@@ -74,6 +76,15 @@ def test_packing(steps):
     assert max(bins.values()) <= 2048 and len(bins) <= -(-sum(bins.values()) // 2048) + 2
 
 
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)], [(None, None, "en", "s", None), (3, "a b", "en", None, 3), (3, "a b", "en", None, 3), (4, "", None, "s", 0)]])
+def test_stages_of_nulls_and_empty_tables(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, __size int, row int".split(", `")[0])
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stored(stage(spark, docs, FOLDER), name)
+        assert name == "best_fit_packing" or docs.columns == before.columns
+    assert rows or docs.count() == 0
+
+
 def test_run_gives_the_last_stage(spark, steps):
     got = corpus_pipeline.run(spark, FOLDER)
     assert got.columns == steps[-1][1]
