@@ -21,6 +21,8 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch that goes to a Python worker, in sessions that set no bound of their own; one row at least.
 BATCH_BYTES = 4 << 20
+#: The share of all rows above which a key's facts are broadcast.
+HOT_SHARE = 0.001
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -109,6 +111,16 @@ def row_keyed(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.monotonically_increasing_id())
 
 
+def join_spread(rows: DataFrame, facts: DataFrame, key: str | list[str], total: int) -> DataFrame:
+    """Rows with the facts of their key; facts has one row a key, with n rows of that key among the total.
+
+    Keys above HOT_SHARE of all rows are fewer than its inverse: that many facts at most are broadcast, and their rows are
+    not dealt by key. The others meet in a shuffle."""
+    is_hot = F.col("n") > total * HOT_SHARE
+    hot, rest = F.broadcast(facts.where(is_hot).drop("n")), facts.where(~is_hot).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(rest, key))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a session, so that workers import it wherever they run."""
     context = spark.sparkContext

@@ -14,10 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, lower_az, materialize, named, row_keyed, stable
+from .common import fresh, join_spread, lower_az, materialize, named, row_keyed, stable
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
-HOT_SHARE = 0.001
 
 
 def every(first: int, last: int, step: int, share: int) -> str:
@@ -70,14 +69,10 @@ def recipes(docs: DataFrame, hash_of=F.xxhash64) -> DataFrame:
 def exact_groups(docs: DataFrame, hash_of=F.xxhash64) -> DataFrame:
     """One row per document of a `stable` table: rid, doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the largest doc_id stays.
 
-    Groups above a HOT_SHARE of all rows are fewer than its inverse, so that many rows at most are broadcast; their
-    documents, however many, are never dealt by recipe. The others meet their group in a shuffle."""
+    A large group's facts are broadcast, so its documents, however many, are never dealt by recipe."""
     listed = recipes(docs, hash_of)
-    groups = materialize(listed.groupBy("recipe").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size")))
-    total = listed.count()
-    is_hot = F.col("group_size") > total * HOT_SHARE
-    hot = F.broadcast(groups.where(is_hot))
-    met = listed.join(hot, "recipe").unionByName(listed.join(hot, "recipe", "left_anti").join(groups.where(~is_hot), "recipe"))
+    groups = materialize(listed.groupBy("recipe").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("n")))
+    met = join_spread(listed, groups.withColumn("group_size", F.col("n")), "recipe", listed.count())
     return met.select("rid", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "text_sha256")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, map_arrow, materialize, named, row_keyed, stable
-from .simhash import SEED, classes, join_spread, shingle_hashes
+from .simhash import SEED, classes, shingle_hashes
 
 #: Words of a shingle; the similarity is TOP / BELOW at least; bits of a ball.
 WORDS, TOP, BELOW, UNCERTAIN = 5, 4, 5, 3
@@ -218,9 +218,7 @@ def apart(crowded: DataFrame) -> DataFrame:
     class, as groups of near copies are after the first pass, nothing is compared."""
     of_label = materialize(crowded.groupBy("key", "label").agg(F.count("*").alias("k")))
     facts = materialize(of_label.groupBy("key").agg(F.sum("k").alias("n"), F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1"))
-    rows = join_spread(crowded, facts.select("key", "n", F.struct("main", F.col("n").alias("rows")).alias("of")), "key", crowded.count())
-    number = F.ceil(F.col("of.rows") / PIECE).cast("int")
-    rows = rows.select("key", "row", "code", "label", (F.col("label") != F.col("of.main")).alias("asks"), number.alias("n"))
+    rows = crowded.join(facts, "key").select("key", "row", "code", "label", (F.col("label") != F.col("main")).alias("asks"), F.ceil(F.col("n") / PIECE).cast("int").alias("n"))
     whole = rows.select("key", F.pmod(F.xxhash64("row"), F.col("n")).cast("int").alias("piece"), "row", "code", "label", F.lit(False).alias("asks"))
     asking = rows.where("asks").select("key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("piece"), "row", "code", "label", "asks")
 
@@ -283,8 +281,8 @@ def near_links(texts: DataFrame, width: int | None = None, segments: int | None
     found = plan(texts.count())
     width, segments = width or found[0], segments or found[1]
     signed = materialize(fingerprints(texts, width, segments))
-    groups = materialize(signed.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("n")))
-    same = materialize(join_spread(signed.select("row", "digest"), groups, "digest", signed.count()).select("row", "first"))
+    groups = materialize(signed.groupBy("digest").agg(F.min("row").alias("first")))
+    same = materialize(signed.select("row", "digest").join(groups, "digest").select("row", "first"))
     signed = materialize(signed.join(groups.select(F.col("first").alias("row")), "row", "left_semi").drop("digest"))
     total = signed.count() * segments << UNCERTAIN
     met = materialize(paired(pieces(entries(signed, width), total)))
@@ -304,8 +302,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     label = classes(links)
     of_first = same.join(label.withColumnRenamed("node", "first"), "first", "left").select("row", F.coalesce("label", "first").alias("label"))
     members = materialize(texts.select("row", "doc_id").join(of_first, "row"))
-    heads = materialize(members.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.count("*").alias("n")))
-    return join_spread(members, heads, "label", members.count()).select("row", "doc_id", F.col("head.doc_id").alias("component_id"), (F.col("row") == F.col("head.row")).alias("first"))
+    heads = materialize(members.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("head")))
+    return members.join(heads, "label").select("row", "doc_id", F.col("head.doc_id").alias("component_id"), (F.col("row") == F.col("head.row")).alias("first"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ and complete distances are verified. Both of a pair would find each other: it is
 bit clears it, so only the half of the ball that clears bits is enumerated.
 
 Distinct fingerprints alone take part: copies cost nothing. What meets under one table key is linked by a search that
-drops each reached fingerprint at once and hands on a spanning tree, never all pairs. Classes come from iterated
-minimum labels with pointer jumping, in tables.
+drops each reached fingerprint at once and hands on a spanning tree, never all pairs. Classes come from rounds of star
+contraction, in tables. Joins by a key that many rows share are between stored tables, so Spark splits it between tasks.
 
 Defined results: null texts count as empty; texts without words have fingerprint zero, which links like any other; texts
 with fewer words than a shingle are one shingle; repeated rows are rows of one class; other columns are not looked at.
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, fresh, map_arrow, materialize, named, row_keyed, stable
 
 SHINGLE, SEED, RADIUS, SEGMENTS = 3, 42, 3, 2
-HOT_SHARE = 0.001
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -152,57 +151,48 @@ def links(distinct: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -
     return map_arrow(met.select("segment", "key", "own", "fp"), meet, "a long, b long").distinct()
 
 
-def join_spread(rows: DataFrame, facts: DataFrame, key: str | list[str], total: int) -> DataFrame:
-    """Rows with the facts of their key; facts has one row a key, with n rows of that key among the total.
+def stars(edges: DataFrame) -> DataFrame:
+    """u, v with u > v: one round that hangs every node's neighbours on the least of them.
 
-    Keys above HOT_SHARE of all rows are fewer than its inverse: that many facts at most are broadcast, and their rows are
-    not dealt by key. The others meet in a shuffle."""
-    is_hot = F.col("n") > total * HOT_SHARE
-    hot, rest = F.broadcast(facts.where(is_hot).drop("n")), facts.where(~is_hot).drop("n")
-    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(rest, key))
-
-
-def jumped(trees: DataFrame, nodes: int) -> DataFrame:
-    """node, label with each label replaced by its own label."""
-    ups = trees.groupBy("label").agg(F.count("*").alias("n")).join(trees.select(F.col("node").alias("label"), F.col("label").alias("up")), "label")
-    return materialize(join_spread(trees, materialize(ups), "label", nodes).select("node", F.col("up").alias("label")))
+    First the greater neighbours of each node, then the lesser ones and the node itself, are linked to the least node
+    beside it. Least nodes are counted ahead and stored, so both joins are between stored tables and a node with many
+    neighbours, on one side only, can be split between tasks."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+    large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
+    small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+    return materialize(small.select("e.u", "e.v").where("u <> v").distinct())
 
 
 def classes(edges: DataFrame) -> DataFrame:
-    """node, label (a node of the same component) for all nodes of a, b edges.
-
-    A round hangs each node's tree under the least label beside it and then jumps pointers; the depth of trees, not the
-    length of chains, sets the number of rounds. All in tables: no node's neighbours meet in one row, and neither a node
-    with many neighbours nor a label with many nodes is dealt to one task."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    degrees = materialize(both.groupBy("b").agg(F.count("*").alias("n")))
-    label = materialize(degrees.select(F.col("b").alias("node"), F.col("b").alias("label")))
-    ends, nodes = both.count(), label.count()
-    while True:  # labels only fall, so it ends
-        of_end = degrees.join(label.withColumnRenamed("node", "b"), "b")
-        beside = join_spread(both, of_end, "b", ends).groupBy("a").agg(F.min("label").alias("near"))
-        asked = label.join(beside.withColumnRenamed("a", "node"), "node")
-        # The least label beside a tree is offered to the tree's root; roots take the least offer below their own label.
-        offers = asked.groupBy("label").agg(F.min("near").alias("offer")).where("offer < label")
-        hung = materialize(label.join(offers.withColumnRenamed("label", "node").withColumnRenamed("offer", "to"), "node", "left").select("node", F.least(F.coalesce("to", "label"), F.col("label")).alias("label")))
-        hung = jumped(jumped(hung, nodes), nodes)
-        changed = hung.join(label.withColumnRenamed("label", "old"), "node").where("label <> old")
-        done = changed.isEmpty()
-        label = hung
-        if done:
-            return label
+    """node, label (the least node of its component) for all nodes of a, b edges between different nodes.
+
+    Rounds of star contraction: edges never grow in number, distances halve, and when nothing changes each component is
+    one star. All in tables: no node's neighbours meet in one row."""
+    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    before = mark(now)
+    while before[0]:
+        now = stars(now)
+        after = mark(now)
+        if after == before:
+            break
+        before = after
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    return materialize(found)
 
 
 def near_groups(docs: DataFrame, words: int = SHINGLE, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
     """row, doc_id, fp, component_id (smallest doc_id reachable) and first (the row that stands for the component)."""
     rows = materialize(fingerprints(docs, words))
-    distinct = materialize(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count("*").alias("copies")))
+    distinct = materialize(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("least")))
     edges = materialize(links(distinct.select("fp"), segments, radius))
     label = classes(edges)
     linked = materialize(distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
-    heads = materialize(linked.groupBy("label").agg(F.min("least").alias("head"), F.count("*").alias("n")))
-    of_fp = materialize(join_spread(linked, heads, "label", linked.count()).select("fp", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("first_row"), F.col("copies").alias("n")))
-    return join_spread(rows, of_fp, "fp", rows.count()).select("row", "doc_id", "fp", "component_id", (F.col("row") == F.col("first_row")).alias("first"))
+    heads = materialize(linked.groupBy("label").agg(F.min("least").alias("head")))
+    of_fp = materialize(linked.join(heads, "label").select("fp", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("first_row")))
+    return rows.join(of_fp, "fp").select("row", "doc_id", "fp", "component_id", (F.col("row") == F.col("first_row")).alias("first"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

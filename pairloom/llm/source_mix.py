@@ -18,8 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, materialize, named, row_keyed, stable
-from .simhash import join_spread
+from .common import WORD, fresh, join_spread, materialize, named, row_keyed, stable
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
