@@ -7,9 +7,14 @@ headers and content length hold, and its digests, if given, agree. After a faile
 gzip member or version line that starts a valid record, recovers from there on, and logs the bytes between as a
 quarantined gap with the reason.
 
+A member may hold several records: each is read, what is bad between them is a gap within the member (inner, inner_stop:
+its place in the inflated bytes). Of a member that stops inflating, or whose CRC fails, the records before the damage are
+recovered if their own block digest vouches for them; the gap starts where inflating broke off.
+
 Defined results: null html is an empty payload; null urls have no target header; repeated rows of the winning page_id are
-responses all; null page_ids count as the smallest; archives without any valid record are one gap; other columns are not
-looked at.
+responses all; null page_ids count as the smallest, and such a page has no number when read back; archives without any
+valid record are one gap; empty tables give empty results; other columns are not looked at. A record is held in memory
+whole, so the longest one sets what a worker needs.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ SPLIT_BYTES, FILE_BYTES, LEVEL = 32 << 20, 256 << 20, 3
 #: Least and most bytes asked of a store at once.
 READ_BYTES = 1 << 20
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
-RECORD = "file string, start long, stop long, type string, id string, refers_to string, uri string, headers map<string,string>, block binary, problem string"
+RECORD = "file string, start long, stop long, type string, id string, refers_to string, uri string, headers map<string,string>, block binary, problem string, inner long, inner_stop long"
 
 
 def digest(payload: bytes) -> str:
@@ -104,9 +109,9 @@ class Bytes:
     """A window on a file that grows as it is asked and lets go of what lies behind."""
 
     def __init__(self, source, size: int, at: int):
-        self.source, self.size, self.base, self.data = source, size, at, b""
+        self.source, self.size, self.base, self.data = source, size, at, bytearray()
 
-    def upto(self, stop: int) -> bytes:
+    def upto(self, stop: int) -> bytearray:
         """Data from base on, at least as far as stop or the end of the file."""
         stop = min(stop, self.size)
         have = self.base + len(self.data)
@@ -117,7 +122,8 @@ class Bytes:
 
     def forget(self, before: int) -> None:
         if before - self.base > READ_BYTES:
-            self.data, self.base = self.data[before - self.base :], before
+            del self.data[: before - self.base]
+            self.base = before
 
 
 @dataclass
@@ -127,36 +133,72 @@ class Found:
     headers: dict[str, str] = field(default_factory=dict)
     block: bytes | None = None
     problem: str | None = None
+    inner: int | None = None
+    inner_stop: int | None = None
 
 
 class Broken(Exception):
     pass
 
 
-def inflated(view: Bytes, start: int) -> tuple[bytes, int]:
-    """The content of the gzip member at start, and where it ends."""
+def inflated(view: Bytes, start: int) -> tuple[bytes, int, str | None]:
+    """The content of the gzip member at start as far as it can be read, where that ends, and the problem if not at its end."""
     machine, at, out = zlib.decompressobj(31), start, []
     step = 1 << 16
     while not machine.eof:
         data = view.upto(at + step)
-        part = data[at - view.base : at - view.base + step]
+        part = bytes(data[at - view.base : at - view.base + step])
         if not part:
-            raise Broken("member is cut off")
+            return b"".join(out), at, "member is cut off"
+        before = machine.copy()
         try:
             out.append(machine.decompress(part))
         except zlib.error as e:
-            raise Broken(f"member does not inflate: {e}") from None
+            good, size, machine = 0, len(part), before
+            while size:  # as far as it goes before the damage
+                ahead = machine.copy()
+                try:
+                    out.append(ahead.decompress(part[good : good + size]))
+                    machine, good = ahead, good + size
+                except zlib.error:
+                    size //= 2
+            return b"".join(out), at + good, f"member does not inflate: {e}"
         at += len(part)
         step = min(2 * step, READ_BYTES)
-    return b"".join(out), at - len(machine.unused_data)
+    return b"".join(out), at - len(machine.unused_data), None
 
 
-def checked(data: bytes, whole: bool) -> tuple[dict[str, str], bytes, int]:
-    """Headers and block of the record at the start of data, and its length; whole: the data must end with it."""
-    end = data.find(b"\r\n\r\n")
-    if not data.startswith(VERSION) or end < 0:
+def records_in(content: bytes, intact: bool, start: int, stop: int) -> list[Found]:
+    """Records of a member's content, and the gaps between them. Without an intact member only a block digest vouches for a record."""
+    found: list[Found] = []
+    at, gap, reason = 0, None, ""
+    while at < len(content):
+        try:
+            headers, block, length = checked(content, at)
+            if not intact and not headers.get("warc-block-digest", "").startswith("sha1:"):
+                raise Broken("nothing vouches for the record of a damaged member")
+        except Broken as e:
+            if gap is None:
+                gap, reason = at, str(e)
+            at = content.find(VERSION, at + 1)
+            at = len(content) if at < 0 else at
+            continue
+        if gap is not None:
+            found.append(Found(start, stop, problem=reason, inner=gap, inner_stop=at))
+            gap = None
+        found.append(Found(start, stop, headers, block, None, at, at + length))
+        at += length
+    if gap is not None:
+        found.append(Found(start, stop, problem=reason, inner=gap, inner_stop=at))
+    return found
+
+
+def checked(data: bytes | bytearray, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Headers and block of the record that stands in data at a place, and its length."""
+    end = data.find(b"\r\n\r\n", at) if data.startswith(VERSION, at) else -1
+    if end < 0:
         raise Broken("no version line and headers")
-    lines = data[:end].decode("utf-8", "replace").split("\r\n")
+    lines = data[at:end].decode("utf-8", "replace").split("\r\n")
     headers = {}
     if not re.fullmatch(r"WARC/1\.[0-9]", lines[0]):
         raise Broken("no version line and headers")
@@ -171,28 +213,29 @@ def checked(data: bytes, whole: bool) -> tuple[dict[str, str], bytes, int]:
     if not re.fullmatch(r"[0-9]+", length):
         raise Broken("no content length")
     stop = end + 4 + int(length)
-    block = data[end + 4 : stop]
-    if len(block) < int(length) or data[stop : stop + 4] != b"\r\n\r\n" or whole and len(data) != stop + 4:
+    if stop > len(data) or data[stop : stop + 4] != b"\r\n\r\n":
         raise Broken("content length does not hold")
+    block = bytes(data[end + 4 : stop])
     claimed = headers.get("warc-block-digest", "")
     if claimed.startswith("sha1:") and claimed[5:] != digest(block):
         raise Broken("block digest differs")
     claimed, http = headers.get("warc-payload-digest", ""), block.find(b"\r\n\r\n")
     if headers.get("warc-type") == "response" and claimed.startswith("sha1:") and http >= 0 and claimed[5:] != digest(block[http + 4 :]):
         raise Broken("payload digest differs")
-    return headers, block, stop + 4
+    return headers, block, stop + 4 - at
 
 
 def plain_record(view: Bytes, start: int) -> tuple[dict[str, str], bytes, int]:
     """The record that stands at start without compression."""
     step = 1 << 16
     while True:
-        data = view.upto(start + step)[start - view.base :]
-        end = data.find(b"\r\n\r\n")
-        told = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]+)", data[: end + 2]) if end >= 0 else None
-        need = end + 8 + int(told[1]) if told else step
-        if start + len(data) >= view.size or told and (len(data) >= need) or end >= 0 and not told or step > 1 << 24 and end < 0:
-            return checked(data[:need] if told else data, False)
+        data = view.upto(start + step)
+        at = start - view.base
+        end = data.find(b"\r\n\r\n", at)
+        told = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]+)", data[at : end + 2]) if end >= 0 else None
+        need = end + 8 + int(told[1]) - at if told else step
+        if view.base + len(data) >= view.size or told and len(data) - at >= need or end >= 0 and not told or step > 1 << 24 and end < 0:
+            return checked(data, at)
         step = max(2 * step, need)
 
 
@@ -202,39 +245,55 @@ def salvage(source, size: int, start: int = 0, stop: int | None = None) -> Itera
     stop, at, view = size if stop is None else min(stop, size), start, Bytes(source, size, start)
     gap: int | None = None
     reason = "bytes before the first record"
+    held: list[Found] = []  # of a damaged member, whose end is known with the next record
     fresh = start > 0  # in the middle of a file the range before may own what stands first
+
+    def settled(before: int) -> Iterator[Found]:
+        """What was held, and the gap that ends before a place."""
+        broke = min(gap, before) if gap is not None else before
+        for f in held:
+            f.stop = broke
+            yield f
+        held.clear()
+        if gap is not None and broke < before and not fresh:
+            yield Found(broke, before, problem=reason)
+
     while at < size:
         data = view.upto(at + len(VERSION))
-        head = data[at - view.base : at - view.base + len(VERSION)]
-        found = None
-        try:
-            if head.startswith(MEMBER):
-                content, end = inflated(view, at)
-                headers, block, _ = checked(content, True)
-                found = Found(at, end, headers, block)
-            elif head.startswith(VERSION):
+        here = at - view.base
+        found, damage, why = [], None, "neither member nor version line"
+        if data.startswith(MEMBER, here):
+            content, end, damage = inflated(view, at)
+            found = records_in(content, damage is None, at, end)
+            why = damage or (found[0].problem if found else None) or "member is empty"
+            if all(f.problem for f in found):
+                found = []
+        elif data.startswith(VERSION, here):
+            try:
                 headers, block, length = plain_record(view, at)
-                found = Found(at, at + length, headers, block)
-            elif gap is None:
-                raise Broken("neither member nor version line")
-        except Broken as e:
+                found = [Found(at, at + length, headers, block)]
+            except Broken as e:
+                why = str(e)
+        if not found:
             if gap is None:
-                gap, reason = at, str(e)
-        if found:
-            if gap is not None and not fresh:
-                yield Found(gap, at, problem=reason)
-            if at >= stop:
-                return
-            fresh, gap = False, None
-            yield found
-            at = found.stop  # what follows up to the next record is this range's too, even beyond its stop
-        else:
+                gap, reason = at, why
             if at >= stop and fresh:
                 return
             at = sought(view, at + 1)
+        else:
+            yield from settled(at)
+            if at >= stop:
+                return
+            fresh, gap = False, None
+            if damage:  # later members may lie within what was taken for this one
+                held += found
+                gap, reason = found[0].stop, damage
+                at = sought(view, at + 1)
+            else:
+                yield from found
+                at = found[0].stop  # what follows up to the next record is this range's too, even beyond its stop
         view.forget(at)
-    if gap is not None and not fresh:
-        yield Found(gap, size, problem=reason)
+    yield from settled(size)
 
 
 def sought(view: Bytes, at: int) -> int:
@@ -263,19 +322,20 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame, split_byte
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, path = opened(folder)
         angle = lambda v: v.strip("<>") if v else None
+        frame = lambda rows: pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")]).astype({"inner": "Int64", "inner_stop": "Int64"})
         for batch in batches:
             for file, a, b in zip(batch.file, batch.a, batch.b, strict=True):
                 with store.open_input_file(f"{path}/{file}") as source:
                     rows, held = [], 0
                     for f in salvage(source, source.size(), int(a), int(b)):
                         h = f.headers
-                        rows.append((file, f.start, f.stop, h.get("warc-type"), angle(h.get("warc-record-id")), angle(h.get("warc-refers-to")), h.get("warc-target-uri"), h, f.block, f.problem))
+                        rows.append((file, f.start, f.stop, h.get("warc-type"), angle(h.get("warc-record-id")), angle(h.get("warc-refers-to")), h.get("warc-target-uri"), h, f.block, f.problem, f.inner, f.inner_stop))
                         held += len(f.block or b"")
                         if held > 8 << 20 or len(rows) >= 2000:
-                            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
+                            yield frame(rows)
                             rows, held = [], 0
                     if rows:
-                        yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
+                        yield frame(rows)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     listed = map_pandas(files.select("file"), splits, "file string, a long, b long").repartition(n, "file", "a")
@@ -284,7 +344,7 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame, split_byte
 
 def gaps(found: DataFrame) -> DataFrame:
     """The log of quarantined bytes."""
-    return found.where("problem is not null").select("file", "start", "stop", "problem")
+    return found.where("problem is not null").select("file", "start", "stop", "problem", "inner", "inner_stop")
 
 
 def page_of(urn: Column) -> Column:
