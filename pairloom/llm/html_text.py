@@ -4,7 +4,8 @@ A page is cut into tags and text by one expression and put into a tree of its bl
 boundaries is a paragraph. Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are taken out by element, role or the words of class and id. Every paragraph passes points for its length and
 commas to its container, half as many to the one above, a third to the next and so on up to the root; a container's points are
-discounted by the share of its text inside links. The best container and the siblings that score beside it are kept.
+discounted by the share of its text inside links. The best container is kept with all that is in it, and so are the siblings
+that score beside it, running paragraphs and the title beside it, and headings, lists, tables and text between any of these.
 
 Defined results: null or empty html, and pages without text, give the empty string; markup cut off anywhere is read as
 far as it goes; character references are decoded, unknown ones stay as they are; repeated rows are rows of their own;
@@ -216,11 +217,12 @@ def density(node: Node) -> float:
 
 
 def paragraphs(node: Node) -> Iterator[str]:
+    """All text of a part but what is out, in page order."""
     todo: list = [node]
     while todo:
         at = todo.pop()
         if isinstance(at, Node):
-            if not at.out and not (at is not node and at.tag in ("ul", "ol", "dl", "table", "div", "section") and density(at) > 0.75 and at.size > 0):
+            if not at.out:
                 todo += reversed(at.children)
         else:
             yield at[0]
@@ -275,27 +277,26 @@ def main_text(page: str | None) -> str:
     scored = score(root)
     worth = lambda n: n.points * (1 - density(n))
     best = max(scored.values(), key=worth, default=root)
-    above = best
-    while above is not None and above.tag not in ("article", "main"):
-        above = above.parent
-    if above is not None:
-        best = above
     if best.parent is None:
         return " ".join(paragraphs(best))
-    kept = []
-    before = True
-    for c in best.parent.children:
-        if c is best:
-            before = False
-            kept += paragraphs(c)
-        elif isinstance(c, Node) and not c.out:
-            long_text = c.tag in ("p", "pre", "blockquote") and (c.size > 80 and density(c) < 0.25 or 0 < c.size and not c.links and best.tag not in ("article", "main"))
-            title = c.tag == "h1" and before
-            if long_text or title or c.tag in CONTAINERS and c.tag == best.tag and worth(c) >= max(3.0, 0.2 * worth(best)) and density(c) < 0.5:
-                kept += paragraphs(c)
+    siblings = best.parent.children
+    at = next(i for i, c in enumerate(siblings) if c is best)
+    taken = [i for i, c in enumerate(siblings) if i == at or isinstance(c, Node) and not c.out and beside(c, best, worth, i < at)]
+    kept, wanted = [], set(taken)
+    for i, c in enumerate(siblings):
+        between = taken[0] < i < taken[-1] and (not isinstance(c, Node) or not c.out and c.tag not in CONTAINERS and density(c) < 0.5)
+        if i in wanted or between:
+            kept += paragraphs(c) if isinstance(c, Node) else [c[0]]
     return " ".join(kept)
 
 
+def beside(c: Node, best: Node, worth, before: bool) -> bool:
+    """Does a sibling of the best container belong to the article?"""
+    running = c.tag in ("p", "pre", "blockquote") and (c.size > 80 and density(c) < 0.25 or 0 < c.size and not c.links and best.tag not in ("article", "main"))
+    title = before and (c.tag in ("h1", "hgroup") or c.tag == "header") and density(c) < 0.5  # a header that is not out stands in an article
+    return running or title or c.tag in CONTAINERS and c.tag == best.tag and worth(c) >= max(3.0, 0.2 * worth(best)) and density(c) < 0.5
+
+
 def every_named(root: Node) -> Iterator[Node]:
     """Outermost parts that are out for a word of their class or id."""
     todo = [root]

@@ -179,6 +179,75 @@ def test_points_fall_by_levels():
     assert len(by_level) == 41 and all(abs(p * (k + 1) - by_level[0]) < 1e-6 for k, p in enumerate(by_level))
 
 
+CARDS = "".join(f'<article><h2><a href="/{k}">Teaser number {k}</a></h2><p>Short, of {k}.</p></article>' for k in range(6))
+LONG = "".join(f"<p>Paragraph {k}, with words, and more words, enough of them to count as running text.</p>" for k in range(6))
+
+
+@pytest.mark.parametrize("holder", ["div", "article", "main"])
+def test_the_score_chooses_among_articles(holder):
+    """Cards of other articles stand beside the page's own, which need not be marked."""
+    page = f"<body><div class='a'><div class='b'>{CARDS}</div></div><div class='c'><{holder}><h1>Own title</h1>{LONG}</{holder}></div></body>"
+    got = html_text.main_text(page)
+    assert got.startswith("Own title Paragraph 0,") and "Teaser" not in got and got.count("Paragraph") == 6
+
+
+def test_all_of_the_best_container_and_what_stands_between_is_kept():
+    links = "<ul><li><a href='/1'>Source one</a></li><li><a href='/2'>Source two</a></li></ul>"
+    assert "Source one Source two" in html_text.main_text(f"<body><div><div>{LONG}{links}{LONG}</div></div></body>")
+    page = f"<body><section><header><h1>Title</h1></header><div>{LONG}</div><h2>Middle</h2><table><tr><td>cell</td></tr></table>bare text<div>{LONG[: len(LONG) // 2]}</div><h3>After</h3></section></body>"
+    got = html_text.main_text(page.replace("section", "article"))
+    assert got.startswith("Title Paragraph 0,") and "Middle cell bare text Paragraph 0," in got and "After" not in got
+
+
+def naive_points(page: str) -> list[float]:
+    """Points of each div in page order, by its definition: every paragraph's points over one more than the divs between."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.path, self.divs, self.texts = [], [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "div":
+                self.path.append(len(self.divs))
+                self.divs.append(0.0)
+
+        def handle_endtag(self, tag):
+            if tag == "div":
+                self.path.pop()
+
+        def handle_data(self, data):
+            self.texts.append((list(self.path), data))
+
+    tree = Tree()
+    tree.feed(page)
+    for path, text in tree.texts:
+        points = (0.25 if len(text) < 25 else 1) + text.count(",") + min(len(text) / 100, 3.0)
+        for levels, div in enumerate(reversed(path)):
+            tree.divs[div] += points / (levels + 1)
+    return tree.divs
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_points_against_their_definition(seed):
+    rng = random.Random(seed)
+
+    def part(depth: int) -> str:
+        inner = "".join(part(depth + 1) if depth < 6 and rng.random() < 0.5 else f"<p>{', '.join(rng.choices(['some', 'more', 'words'], k=rng.randrange(1, 40)))}</p>" for _ in range(rng.randrange(1, 5)))
+        return f"<div>{inner}</div>"
+
+    page = part(0)
+    root = html_text.parsed(page)
+    html_text.measured_once(root)
+    scored = html_text.score(root)
+    want = naive_points(page)
+    got = [n.points for n in html_text.every(root) if n.tag == "div"]
+    assert len(got) == len(want) and all(abs(a - b) < 1e-6 for a, b in zip(got, want, strict=True))
+    best = max((n for n in scored.values() if n.tag == "div"), key=lambda n: n.points)
+    assert want[got.index(best.points)] == pytest.approx(max(want))
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article><p>é x</p></article>"), (2, None, None), (2, None, None), (3, "v", "<p>" + "word, " * 50_000)]
     got = sorted(((r.page_id, r.url, len(r.text), r.n_chars) for r in html_text.extract(pages(spark, rows)).collect()), key=str)
