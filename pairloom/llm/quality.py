@@ -3,19 +3,22 @@
 A text's features are indicators of n-grams of two kinds: of its bytes, and of the forms of its words (case, digits,
 the marks around it, and whether it repeats the word before it). Indicators are scaled by the log-count ratio of their
 n-gram between the two classes; a linear hinge loss on the scaled indicators is minimised by dual coordinate descent.
-Both come from one bounded sample of the labelled training rows; scores are a logistic of the margin, fitted
-on the same rows.
+The whole fit, the log-count ratios too, is made of one sample of the labelled training rows: at most SAMPLE rows in the
+order of a hash of doc_id, and of these as many as have SAMPLE_GRAMS distinct n-grams together, which bounds the fit's
+memory. Scores are a logistic of the margin, fitted on the same rows.
 
 Rows whose crc32(doc_id as text) mod `folds` is 0 are held out: their labels are never read. The score of a text uses
 nothing but the text.
 
 Defined results: null texts count as empty, which has the one indicator that every text has, so empty texts get the
 score of the prior; labels repeated for a doc_id count as often as they stand; null labels are no labels; without
-training rows of both classes every score is the share of label 1, or 0.5; other columns are not looked at.
+training rows of both classes every score is the share of label 1, or 0.5; empty tables give empty results; long texts are
+read in parts, so memory follows the number of bins; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +30,12 @@ from pyspark.sql import types as T
 
 from .common import map_arrow, materialize
 
-#: Hash bins of n-grams; rows of the fit (the bound of its sample); cost, passes, folds and the threshold of a good text.
-BINS, SAMPLE, COST, PASSES, FOLDS, THRESHOLD = 1 << 19, 6000, 1.0, 12, 5, 0.3
+#: Hash bins of n-grams; rows and distinct n-grams of the fit (the bounds of its sample); cost, passes, folds and the
+#: threshold of a good text.
+BINS, SAMPLE, SAMPLE_GRAMS, COST, PASSES, FOLDS, THRESHOLD = 1 << 19, 6000, 40_000_000, 1.0, 12, 5, 0.3
+#: Bytes or characters of a text that are read at once, and words whose form is remembered.
+PART, KNOWN = 1 << 19, 50_000
+SPACE = re.compile(r"\s")
 BYTE_GRAMS, FORM_GRAMS = (2, 3, 4), (1, 2, 3)
 SMOOTH = 1.0
 
@@ -42,14 +49,15 @@ def form_code(mark: bytes) -> int:
     return zlib.crc32(mark)
 
 
-def word_forms(text: str) -> np.ndarray:
-    """A code for the form of each word."""
-    words = text.split()
-    codes, before, known = [], None, {}
+def word_forms(words: list[str], before: str | None = None) -> np.ndarray:
+    """A code for the form of each word; before: the word that stands before them."""
+    codes, known = [], {}
     for w in words:
         same = w == before
         code = known.get((w, same))
         if code is None:
+            if len(known) > KNOWN:
+                known.clear()
             core = w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
             case = "-" if not core else "u" if core.isupper() and len(core) > 1 else "t" if core.istitle() else "l" if core.islower() else "d" if core.isdigit() else "m"
             tail = w[len(w.rstrip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")) :][:3]
@@ -59,25 +67,57 @@ def word_forms(text: str) -> np.ndarray:
     return np.array(codes, np.uint64)
 
 
-def features(text: str | None) -> np.ndarray:
-    """The distinct bins of all n-grams of a text, and bin 0 for being a text."""
-    text = text or ""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
-    found = [np.zeros(1, np.int64)]
+def byte_grams(raw: np.ndarray) -> list[np.ndarray]:
+    """Bins of the n-grams of bytes."""
+    found = []
     for n in BYTE_GRAMS:
         if len(raw) >= n:
             code = np.full(len(raw) - n + 1, np.uint64(n))
             for j in range(n):
                 code = code << np.uint64(8) | raw[j : len(raw) - n + 1 + j]
             found.append(hashed(code))
-    forms = word_forms(text)
+    return found
+
+
+def form_grams(forms: np.ndarray) -> list[np.ndarray]:
+    """Bins of the n-grams of word forms."""
+    found = []
     for n in FORM_GRAMS:
         if len(forms) >= n:
             code = np.full(len(forms) - n + 1, np.uint64(1 << 40 | n))
             for j in range(n):
                 code = code * np.uint64(0x100000001B3) ^ forms[j : len(forms) - n + 1 + j]
             found.append(hashed(code))
-    return distinct(np.concatenate(found))
+    return found
+
+
+def features(text: str | None) -> np.ndarray:
+    """The distinct bins of all n-grams of a text, and bin 0 for being a text."""
+    text = text or ""
+    data = text.encode("utf-8", "surrogatepass")
+    if len(data) > PART:
+        return long_features(text, data)
+    raw = np.frombuffer(data, np.uint8).astype(np.uint64)
+    return distinct(np.concatenate([np.zeros(1, np.int64), *byte_grams(raw), *form_grams(word_forms(text.split()))]))
+
+
+def long_features(text: str, data: bytes) -> np.ndarray:
+    """The same bins, part by part: each part begins with the end of the one before."""
+    seen = np.zeros(BINS, bool)
+    seen[0] = True
+    for at in range(0, len(data), PART):
+        for bins in byte_grams(np.frombuffer(data[max(0, at - max(BYTE_GRAMS) + 1) : at + PART], np.uint8).astype(np.uint64)):
+            seen[bins] = True
+    at, before, last = 0, None, np.zeros(0, np.uint64)
+    while at < len(text):
+        cut = SPACE.search(text, at + PART)
+        stop = cut.start() if cut else len(text)
+        words = text[at:stop].split()
+        forms = np.concatenate([last, word_forms(words, before)])
+        for bins in form_grams(forms):
+            seen[bins] = True
+        at, before, last = stop, words[-1] if words else before, forms[max(0, len(forms) - max(FORM_GRAMS) + 1) :]
+    return np.flatnonzero(seen)
 
 
 _LAST = np.zeros(BINS, np.int32)
@@ -95,13 +135,13 @@ def log_count_ratio(pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float = COST, passes: int = PASSES, seed: int = 10) -> tuple[np.ndarray, float]:
-    """Weights and bias of the hinge loss by dual coordinate descent; rows are scaled to unit length, and the rarer
-    class costs as much in all as the other."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float = COST, passes: int = PASSES, seed: int = 10, least: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and dual variables of the hinge loss by dual coordinate descent; rows are scaled to unit length, and
+    the rarer class costs as much in all as the other. Ends with a pass whose steps are all below `least`."""
     y = np.where(labels > 0, 1.0, -1.0)
     share = np.bincount((y > 0).astype(int), minlength=2) / len(y)
     upper = cost * np.where(y > 0, 0.5 / share[1], 0.5 / share[0])
-    values = [ratio[r] / max(1e-12, np.sqrt(np.square(ratio[r]).sum())) for r in rows]
+    values = [(ratio[r] / max(1e-12, np.sqrt(np.square(ratio[r]).sum()))).astype(np.float32) for r in rows]
     weights, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
     rng = np.random.default_rng(seed)
     for _ in range(passes):
@@ -116,9 +156,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: flo
                 bias += step
                 most = max(most, abs(step))
             alpha[i] = new
-        if most < 1e-4:
+        if most < least:
             break
-    return weights, bias
+    return weights, bias, alpha
 
 
 def margin(bins: np.ndarray, scaled: np.ndarray, ratio: np.ndarray, bias: float) -> float:
@@ -151,16 +191,24 @@ class Model:
 
 
 def trained(texts: list[str | None], labels: list[int]) -> Model:
+    return trained_on([features(t).astype(np.int32) for t in texts], labels)
+
+
+def ratios(rows: list[np.ndarray], labels: list[int]) -> np.ndarray:
+    """The log-count ratio of each bin."""
+    pos, neg = np.zeros(BINS), np.zeros(BINS)
+    for r, label in zip(rows, labels, strict=True):
+        (pos if label else neg)[r] += 1
+    return log_count_ratio(pos, neg)
+
+
+def trained_on(rows: list[np.ndarray], labels: list[int]) -> Model:
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():  # nothing to tell apart: every score is the share of label 1
         share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
         return Model(np.zeros(BINS, np.float32), np.zeros(BINS, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
-    rows = [features(t).astype(np.int32) for t in texts]
-    pos, neg = np.zeros(BINS), np.zeros(BINS)
-    for r, label in zip(rows, labels, strict=True):
-        (pos if label else neg)[r] += 1
-    ratio = log_count_ratio(pos, neg)
-    weights, bias = fit(rows, y, ratio)
+    ratio = ratios(rows, labels)
+    weights, bias, _ = fit(rows, y, ratio)
     scaled = weights * ratio
     margins = np.array([margin(r, scaled, ratio, bias) for r in rows])
     return Model(scaled.astype(np.float32), ratio.astype(np.float32), bias, *logistic_of(margins, y))
@@ -170,22 +218,39 @@ def held_out(doc_id, folds: int = FOLDS):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> Model:
-    """Fit on at most `sample` labelled rows outside the held-out fold, chosen by a hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, grams: int = SAMPLE_GRAMS) -> Model:
+    """Fit on at most `sample` labelled rows, and `grams` distinct n-grams in all, outside the held-out fold, chosen by a
+    hash of doc_id.
 
-    The sample's ids are broadcast (their number is the bound), so no text is shuffled but the sample's."""
+    The sample's ids are broadcast (their number is the bound); features are made where the texts are, and only those of
+    the sample are shuffled."""
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"), folds))
-    chosen = chosen.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(materialize(chosen)), "doc_id").select("doc_id", "text", "quality")
+    order = F.xxhash64("doc_id").alias("o")
+    chosen = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), order).orderBy("o", "doc_id", "quality").limit(sample)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(materialize(chosen)), "doc_id").select("o", "doc_id", "quality", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                found = [features(t.as_py()).astype(np.int32) for t in part["text"]]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([f.tobytes() for f in found], pa.binary())], ["o", "doc_id", "quality", "bins"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((d, q, t or "") for b in batches for d, t, q in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
-        m = trained([t for _, _, t in got], [int(q > 0) for _, q, _ in got])
+        got, held = [], 0
+        for b in batches:
+            for d, q, bins in zip(b["doc_id"].to_pylist(), b["quality"].to_pylist(), b["bins"], strict=True):
+                held += bins.as_buffer().size // 4
+                if held <= grams:
+                    got.append((d, q, bins.as_py()))
+        got.sort()
+        m = trained_on([np.frombuffer(f, np.int32) for _, _, f in got], [int(q > 0) for _, q, _ in got])
         yield pa.RecordBatch.from_arrays([pa.array([m.scaled.tobytes()]), pa.array([m.ratio.tobytes()]), pa.array([[m.bias, m.slope, m.offset]], pa.list_(pa.float64()))], ["scaled", "ratio", "numbers"])
 
-    model = map_arrow(rows.repartition(1), run, "scaled binary, ratio binary, numbers array<double>").first()
+    found = map_arrow(rows, cut, "o long, doc_id long, quality int, bins binary")
+    model = map_arrow(found.repartition(1).sortWithinPartitions("o", "doc_id", "quality", "bins"), run, "scaled binary, ratio binary, numbers array<double>").first()
     if model is None:  # no labelled row at all
-        return trained([], [])
+        return trained_on([], [])
     return Model(np.frombuffer(model["scaled"], np.float32), np.frombuffer(model["ratio"], np.float32), *model["numbers"])
 
 
