@@ -3,8 +3,12 @@
 Documents become pieces of at most `capacity` tokens. Pieces are dealt by hash into blocks of about BLOCK pieces, so a
 source, copies or one long document spread evenly and no group grows with the input. Every block evolves on several
 islands: crossover injects whole well-filled bins of another packing, drops the bins that repeat their pieces and puts
-the displaced pieces back best-fit. After each epoch the best packing of an island replaces the worst of the next one
-in the ring; the best of a block's islands counts.
+the displaced pieces back, by exchange for shorter ones where that fills a bin better, then best-fit. After each epoch the best packing of an island replaces the worst of the next one
+in the ring; the best of a block's islands counts. An island rests as soon as no packing can have fewer bins.
+
+Blocks are not alone: the least filled bins of all blocks are opened after a round and their pieces are dealt to fewer
+blocks, which evolve again, until one block is left (or opening frees as many pieces as before). So what the split
+in blocks costs is won back, whatever the number of blocks.
 
 Defined results: null texts count as empty and are one piece of the single end id; repeated rows are pieces of their
 own; empty tables give empty results; other columns are not looked at.
@@ -15,6 +19,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,7 +31,9 @@ from .common import map_arrow, map_pandas, materialize, row_keyed, stable
 from .tokens import text_slices, word_bpe
 
 CAPACITY, END_ID = 2048, 0
-BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 2, 2, 6, 4
+#: Pieces of a block, the share of its bins that is opened after a round, and how far a block is searched (TRIED: bins that
+#: displaced pieces are offered to in one step).
+BLOCK, OPENED, ISLANDS, EPOCHS, GENERATIONS, POPULATION, TRIED = 4096, 1 / 16, 2, 2, 20, 6, 128
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -113,6 +120,36 @@ class Packing:
         return cls(bins, [capacity - sum(length[i] for i in b) for b in bins])
 
 
+def exchanged(displaced: list[int], length: list[int], bins: list[list[int]], room: list[int], capacity: int, rng: random.Random) -> list[int]:
+    """Fill bins better by taking one displaced piece in place of one or two shorter pieces of a bin; what is displaced then.
+
+    Each exchange leaves less room in a bin, and what goes out is shorter than what comes in, so it packs more easily."""
+    out = sorted(displaced, key=length.__getitem__, reverse=True)
+    for j in rng.sample(range(len(bins)), min(len(bins), TRIED)):
+        if not room[j] or not out:
+            continue
+        items, best = bins[j], (0, None, ())
+        if len(items) > 12:
+            continue  # bins of many short pieces are full enough; best-fit fills them
+        pairs = [(i,) for i in items] + [(i, k) for n, i in enumerate(items) for k in items[:n]]
+        for gone in pairs:
+            free = room[j] + sum(length[i] for i in gone)
+            # The longest displaced piece that fits and is longer than what goes.
+            low, high = 0, len(out)
+            while low < high:
+                mid = (low + high) // 2
+                low, high = (low, mid) if length[out[mid]] <= free else (mid + 1, high)
+            if low < len(out) and (gain := length[out[low]] - (free - room[j])) > best[0]:
+                best = (gain, low, gone)
+        gain, at, gone = best
+        if gain:
+            come = out.pop(at)
+            bins[j] = [i for i in items if i not in gone] + [come]
+            room[j] -= gain
+            out = sorted([*out, *gone], key=length.__getitem__, reverse=True)
+    return out
+
+
 def crossed(a: Packing, b: Packing, length: list[int], capacity: int, rng: random.Random) -> Packing:
     """Inject well-filled bins of b whole into a, remove a's bins that repeat their pieces, best-fit the displaced."""
     good = sorted(range(len(b.bins)), key=b.room.__getitem__)[: max(1, len(b.bins) // 2)]
@@ -125,7 +162,7 @@ def crossed(a: Packing, b: Packing, length: list[int], capacity: int, rng: rando
             room.append(r)
         else:
             displaced += [i for i in items if i not in new]
-    best_fit(sorted(displaced, key=length.__getitem__, reverse=True), length, bins, room, capacity)
+    best_fit(exchanged(displaced, length, bins, room, capacity, rng), length, bins, room, capacity)
     return Packing(bins, room)
 
 
@@ -134,7 +171,8 @@ def mutated(a: Packing, length: list[int], capacity: int, rng: random.Random) ->
     worst = sorted(range(len(a.bins)), key=a.room.__getitem__, reverse=True)[: 2 + len(a.bins) // 50]
     gone = {*worst, *rng.sample(range(len(a.bins)), min(len(a.bins), 2 + len(a.bins) // 50))}
     out = Packing([b[:] for j, b in enumerate(a.bins) if j not in gone], [r for j, r in enumerate(a.room) if j not in gone])
-    best_fit(sorted((i for j in gone for i in a.bins[j]), key=length.__getitem__, reverse=True), length, out.bins, out.room, capacity)
+    left = exchanged([i for j in gone for i in a.bins[j]], length, out.bins, out.room, capacity, rng)
+    best_fit(left, length, out.bins, out.room, capacity)
     return out
 
 
@@ -150,7 +188,7 @@ def evolved(length: list[int], codes: list[bytes], capacity: int, seed: int, gen
         everyone.append(Packing(bins, room))
     rank = lambda p: p.worth(capacity)
     everyone.sort(key=rank, reverse=True)
-    least = -(-sum(length) // capacity)
+    least = least_bins(length, capacity)
     for _ in range(generations):
         if len(everyone[0].bins) <= least:
             break
@@ -162,12 +200,15 @@ def evolved(length: list[int], codes: list[bytes], capacity: int, seed: int, gen
     return [p.coded(len(length)) for p in everyone]
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, seed: int = 6) -> DataFrame:
-    """doc_id, row, piece, start, length, ids_crc32, sequence_id, offset of stored pieces."""
-    blocks = max(1, -(-pieces.count() // block))
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "row", "piece"), F.lit(blocks)))
-    item = F.struct("row", "piece", "length")
-    table = materialize(dealt.groupBy("block").agg(F.sort_array(F.collect_list(item)).alias("items")))
+def least_bins(length: list[int], capacity: int) -> int:
+    """No packing has fewer bins: pieces over half the capacity need one each, and all need room for their sum."""
+    return max(-(-sum(length) // capacity), sum(2 * n > capacity for n in length))
+
+
+def evolved_blocks(todo: DataFrame, blocks: int, capacity: int, seed: int) -> DataFrame:
+    """block, items (row, piece, length) and code (the best packing) of pieces dealt to so many blocks."""
+    dealt = todo.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "row", "piece"), F.lit(blocks)))
+    table = materialize(dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("row", "piece", "length"))).alias("items")))
 
     def epoch(number: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,28 +220,50 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, seed
         return run
 
     state = table.select("block", F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"), F.transform("items", lambda x: x["length"]).alias("lengths"), F.array().cast("array<binary>").alias("codes"))
-    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for number in range(EPOCHS):
         if number:  # elites migrate along the ring
             elite = state.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("codes")[0].alias("elite"))
             state = state.join(elite, ["block", "island"]).select("block", "island", "lengths", F.concat(F.array("elite"), F.slice("codes", 1, POPULATION - 1)).alias("codes"))
         state = materialize(map_pandas(state.repartition(tasks, "block", "island"), epoch(number), "block long, island int, lengths array<long>, codes array<binary>, bins int"))
     best = state.groupBy("block").agg(F.min_by(F.col("codes")[0], F.struct("bins", "island")).alias("code"))
+    return table.join(best, "block")
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def placed(blocks: DataFrame, capacity: int, number: int) -> DataFrame:
+    """row, piece, length, sequence_id, offset and opened (the bin is one of its block's least filled)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, items, code in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 owner, length = np.frombuffer(code, np.int32), np.array([x["length"] for x in items], np.int64)
                 order = np.argsort(owner, kind="stable")
                 before = np.cumsum(length[order]) - length[order]
-                head = np.concatenate([[True], np.diff(owner[order]) != 0]) if len(order) else np.zeros(0, bool)
+                head = np.concatenate([[True], np.diff(owner[order]) != 0])
                 offset = np.zeros(len(order), np.int64)
-                offset[order] = before - np.maximum.accumulate(np.where(head, before, 0)) if len(order) else 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["row"] for x in items], pa.int64()), pa.array([x["piece"] for x in items], pa.int32()), pa.array(owner.astype(np.int64) + (b << 32)), pa.array(offset)], ["row", "piece", "sequence_id", "offset"]
-                )
+                offset[order] = before - np.maximum.accumulate(np.where(head, before, 0))
+                filled = np.bincount(owner, length).astype(np.int64)
+                worst = np.argsort(filled, kind="stable")[: 2 + int(len(filled) * OPENED)]
+                opened = np.isin(owner, worst[filled[worst] < capacity])
+                columns = [pa.array([x["row"] for x in items], pa.int64()), pa.array([x["piece"] for x in items], pa.int32()), pa.array(length), pa.array(owner.astype(np.int64) + (b << 24) + (number << 58)), pa.array(offset), pa.array(opened)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "piece", "length", "sequence_id", "offset", "opened"])
+
+    return map_arrow(blocks, run, "row long, piece int, length long, sequence_id long, offset long, opened boolean")
+
 
-    places = map_arrow(table.join(best, "block"), placed, "row long, piece int, sequence_id long, offset long")
+def packed(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, seed: int = 6) -> DataFrame:
+    """doc_id, row, piece, start, length, ids_crc32, sequence_id, offset of stored pieces."""
+    todo, n, number, done = pieces.select("row", "piece", "length"), pieces.count(), 0, []
+    while True:
+        blocks = max(1, -(-n // block))
+        now = materialize(placed(evolved_blocks(todo, blocks, capacity, seed + number), capacity, number))
+        n = now.where("opened").count() if blocks > 1 else 0
+        if blocks == 1 or -(-n // block) >= blocks:
+            done.append(now)
+            break
+        done.append(now.where("not opened"))
+        todo, number = now.where("opened").select("row", "piece", "length"), number + 1
+    places = reduce(DataFrame.unionByName, done).select("row", "piece", "sequence_id", "offset")
     return pieces.join(places, ["row", "piece"])
 
 
