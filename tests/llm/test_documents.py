@@ -243,31 +243,110 @@ def test_evolution_is_as_good_as_best_fit_decreasing():
         assert sorted(i for x in child.bins for i in x) == list(range(300)) and all(r >= 0 for r in child.room)
 
 
+def triplets(rng, n: int) -> list[int]:
+    """Lengths that fill n bins of 1000 by threes."""
+    first = rng.integers(380, 490, n)
+    second = (1000 - first) // 2 + rng.integers(-60, 60, n)
+    return [int(x) for x in np.concatenate([first, second, 1000 - first - second])]
+
+
+def test_evolution_beats_best_fit_decreasing():
+    rng, won = np.random.default_rng(12), 0
+    for k in range(6):
+        length, bins = triplets(rng, 40), []
+        packing.best_fit(sorted(range(120), key=length.__getitem__, reverse=True), length, bins, [], 1000)
+        owner = np.frombuffer(packing.evolved(length, [], 1000, k, generations=200, population=12)[0], np.int32)
+        assert 40 == packing.least_bins(length, 1000) <= owner.max() + 1 <= len(bins) and np.bincount(owner, length).max() <= 1000
+        won += owner.max() + 1 < len(bins)
+    assert won >= 5
+
+
+def test_small_instances_are_packed_best():
+    """Against the best of all packings, by search."""
+    rng = np.random.default_rng(2)
+
+    def best(left: list[int], bins: list[int], most: int) -> int:
+        if len(bins) >= most:
+            return most
+        if not left:
+            return len(bins)
+        for r in {b for b in bins if b >= left[0]}:
+            i = bins.index(r)
+            most = min(most, best(left[1:], [*bins[:i], r - left[0], *bins[i + 1 :]], most))
+        return min(most, best(left[1:], [*bins, 20 - left[0]], most))
+
+    for k in range(20):
+        length = [int(x) for x in rng.integers(2, 13, 9)]
+        found = np.frombuffer(packing.evolved(length, [], 20, k, generations=60, population=8)[0], np.int32).max() + 1
+        assert found == best(sorted(length, reverse=True), [], 10)
+
+
+def test_blocks_win_back_what_the_split_costs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(1, 60, 600))]
+    pieces = spark.createDataFrame(rows, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    got = packing.packed(pieces, 100, block=64).collect()
+    filled = collections.Counter()
+    for r in got:
+        filled[r.sequence_id] += r.length
+    assert sorted(r.row for r in got) == list(range(600)) and max(filled.values()) <= 100
+    assert len(filled) == -(-sum(r[4] for r in rows) // 100)
+
+
 # --- Order MinHash
 
 
-def brute_ring(words: list[str], k: int) -> list[tuple]:
-    grams = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [tuple(words)] if words else []
+def brute_signature(text: str, k: int = 3, l: int = 2, m: int = 64, rings: int = 4) -> list[int]:  # noqa: E741
+    """Order MinHash in plain Python: XXH64 in a chain of seeds, k-mers numbered by occurrence, the l first of each order."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def chain(*parts) -> int:
+        h = 42
+        for p in parts:
+            h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p, h)
+        return signed(h)
+
+    long = lambda v: v.to_bytes(8, "little", signed=True)
+    small = lambda v: v.to_bytes(4, "little")
+    words = re.findall(order_minhash.TOKEN, text)
+    grams = [words[i : i + k] for i in range(len(words) - k + 1)] if len(words) >= k else [[" ".join(words)]] if words else []
     seen: collections.Counter = collections.Counter()
+    placed = []
+    for at, g in enumerate(grams):
+        h = chain(*g) >> 30
+        placed.append((chain(long(h), small(seen[h])) >> 30, at))
+        seen[h] += 1
     out = []
-    for g in grams:
-        out.append((g, seen[g]))
-        seen[g] += 1
+    for ring in range(rings):
+        order = sorted((chain(long(h), small(ring)) >> 30 if ring else h, at) for h, at in placed)
+        for j in range(m // rings):
+            start = -(1 << 63) + j * ((1 << 64) // (m // rings))
+            first = sum((h << 30 | at) < start for h, at in order)
+            chosen = sorted((at, h) for h, at in (order[(first + i) % len(order)] for i in range(min(l, len(order)))))
+            out.append(chain(*(long(h & (1 << 34) - 1) for _, h in chosen)) & 0xFFFFFFFF)
     return out
 
 
 def test_signatures(spark, hard):
-    df = hard.withColumn("sig", order_minhash.signature(F.col("text"), m=16)).withColumn("again", order_minhash.signature(F.col("text"), m=16))
-    rows = df.collect()
-    by_text = {}
+    rows = hard.where("doc_id <> 8 or doc_id is null").select("text", order_minhash.signature(F.col("text")).alias("sig")).collect()
     for r in rows:
-        assert len(r.sig) == 16 and r.sig == r.again
-        assert by_text.setdefault(r.text or "", r.sig) == r.sig
-    # The ring holds each k-mer once for each time it occurs.
-    for text in ("a b c a b c a b c", "one two", "", "He He He He He He"):
-        ring = few(spark, [(1, text, None)]).select(order_minhash.ring(F.split("text", " ") if text else F.array().cast("array<string>"), 3).alias("r")).first().r
-        want = brute_ring(text.split(), 3)
-        assert sorted(x & order_minhash.AT_MASK for x in ring) == list(range(len(want))) and len({x >> order_minhash.AT_BITS for x in ring}) == len(want)
+        assert [v & 0xFFFFFFFF for v in r.sig] == brute_signature(r.text or ""), r.text
+    more = ["a b c a b c a b c", "one two", "He He He He He He", "日本語 テキスト x 日本語", "w" * 500 + " a b c"]
+    for r in few(spark, [(i, t, None) for i, t in enumerate(more)]).select("text", order_minhash.signature(F.col("text"), k=2, l=3, m=16, rings=2).alias("sig")).collect():
+        assert [v & 0xFFFFFFFF for v in r.sig] == brute_signature(r.text, 2, 3, 16, 2)
+
+
+@pytest.mark.parametrize(("n", "most"), [(20, 1.35), (60, 1.15), (200, 1.15)])
+def test_spread_of_likeness(n, most):
+    """The likeness of pairs that share three quarters spreads about as that of 64 independent orders does."""
+    like = []
+    for seed in range(120):
+        words = [f"w{seed}_{i}" for i in range(n)]
+        a, b = brute_signature(" ".join(words), k=1), brute_signature(" ".join([*words[: 3 * n // 4], *(f"v{i}" for i in range(n // 4))]), k=1)
+        like.append(np.mean([x == y for x, y in zip(a, b, strict=True)]))
+    mean = np.mean(like)
+    independent = math.sqrt(mean * (1 - mean) / 64)
+    assert 0.2 < mean < 0.5 and np.std(like) <= most * 1.15 * independent
 
 
 def test_order_counts(spark):
@@ -282,6 +361,12 @@ def test_order_counts(spark):
 
 
 def test_edited_texts(spark, hard, none):
+    everything = order_minhash.edited_likeness(hard).collect()
+    order = sorted(((i is not None, i or 0, xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63), t) for i, t, _ in TEXTS)
+    want = collections.Counter()
+    for ((has, i, _), t), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        want[i if has else None, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in everything) == want
     rows = hard.where("doc_id is not null").dropDuplicates(["doc_id"])
     got = {r.doc_id: r for r in order_minhash.edited_likeness(rows).collect()}
     texts = dict(sorted({i: t for i, t, _ in TEXTS if i is not None}.items()))
@@ -399,3 +484,48 @@ def test_quality_learns_and_keeps_the_fold(spark, hard, none):
     alone = quality.classify(docs, marks.where("quality = 1 and doc_id % 4 <> 0").limit(5)).select("score").distinct().collect()
     assert len(alone) == 1
     assert quality.classify(docs, marks.limit(0)).select("score").first().score == pytest.approx(0.5)
+
+
+def test_features_of_long_texts_in_parts(monkeypatch):
+    texts = [prose(1, 500), "É " * 300 + "He He!" * 50, " \t" * 200, "x" * 700, "日本語 、" * 150]
+    want = [set(quality.features(t).tolist()) for t in texts]
+    monkeypatch.setattr(quality, "PART", 37)
+    monkeypatch.setattr(quality, "KNOWN", 3)
+    assert [set(quality.features(t).tolist()) for t in texts] == want
+
+
+def test_ratios_and_dual_optimum():
+    """Ratios against plain counts; the optimality conditions of the dual for every row."""
+    texts = [prose(i, 15) + (" $$$" if i % 3 == 0 else "") for i in range(60)]
+    labels = [int(i % 3 != 0) if i % 7 else 1 for i in range(60)]
+    rows = [quality.features(t).astype(np.int32) for t in texts]
+    ratio = quality.ratios(rows, labels)
+    for b in rng_bins(rows):
+        pos, neg = (sum(b in set(r.tolist()) for r, y in zip(rows, labels, strict=True) if y == c) + 1 for c in (1, 0))
+        totals = [sum(len(r) for r, y in zip(rows, labels, strict=True) if y == c) + quality.BINS for c in (1, 0)]
+        assert ratio[b] == pytest.approx(math.log(pos / totals[0] / (neg / totals[1])))
+    y = np.array(labels)
+    weights, bias, alpha = quality.fit(rows, y, ratio, passes=3000, least=1e-9)
+    share = np.mean(y)
+    again = np.zeros(quality.BINS)
+    for r, label, a in zip(rows, labels, alpha, strict=True):
+        x = ratio[r] / np.linalg.norm(ratio[r])
+        sign, upper = (1, 0.5 / share) if label else (-1, 0.5 / (1 - share))
+        gradient = sign * (weights[r] @ x + bias) - 1
+        again[r] += a * sign * x
+        assert -1e-9 <= a <= upper + 1e-9
+        assert (a > 1e-7 or gradient > -1e-4) and (a < upper - 1e-7 or gradient < 1e-4) and (not 1e-7 < a < upper - 1e-7 or abs(gradient) < 1e-4)
+    assert np.allclose(again, weights, atol=1e-5) and bias == pytest.approx(sum(a * (1 if label else -1) for a, label in zip(alpha, labels, strict=True)), abs=1e-6)
+
+
+def rng_bins(rows):
+    return np.random.default_rng(3).choice(np.unique(np.concatenate(rows)), 40, replace=False).tolist()
+
+
+def test_sample_of_the_fit_is_bounded(spark):
+    docs = few(spark, [(i, prose(i, 30) + " $$$" * (i % 2), "s") for i in range(300)])
+    marks = few(spark, [(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    whole = quality.train(docs, marks)
+    cut = quality.train(docs, marks, grams=20_000)
+    assert whole.score(prose(5, 30) + " $$$") > 0.5 > whole.score(prose(5, 30)) and cut.score(prose(5, 30) + " $$$") > 0.5
+    assert np.count_nonzero(cut.scaled) < np.count_nonzero(whole.scaled)
