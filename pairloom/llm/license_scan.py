@@ -6,7 +6,9 @@ where its diagonal has all its votes. Notices, which may have words put in or le
 together; the span is verified by its length and by the share of the notice's k-grams found in it. The k-grams behind
 every vote are compared word for word, so equal hashes alone never count.
 
-The templates are a fixed list, so their table is bounded and is broadcast. Texts are never shuffled, only votes.
+The templates are a list in the driver (the public notices below, or the caller's), so their table is bounded by it and is
+broadcast. Texts are never shuffled, only votes. A notice counts from COVERAGE of it on, so one license's words can earn
+labels of licenses that share most of a notice (of the GNU family for instance).
 
 Defined results: null texts count as empty: no words, no places, empty labels, score 0; repeated rows are rows of their
 own; other columns are not looked at.
@@ -17,22 +19,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lower_az, materialize, row_keyed
+from .common import lower_az, materialize, row_keyed, stable
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Label and words of each phrase (all of it must stand) ...
 PHRASES = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
-#: ... and of each notice (most of it must stand), from the public texts of those licenses.
+#: ... and of each notice or body (most of it must stand), from the public texts of those licenses.
 NOTICES = (
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
     ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl", "the contents of this file are subject to the mozilla public license version 1 1 the license you may not use this file except in compliance with the license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
 )
 K_PHRASE, K_NOTICE = 2, 5
 #: Diagonals at most this far apart belong together; least share of a notice's k-grams; longest span, times the notice.
@@ -57,7 +77,7 @@ def votes(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     """row, doc_id, tpl, label, base, grams, size, diagonal, n, lo, hi; and a row with tpl -1 and hi = n_words for each document."""
     spark, found = docs.sparkSession, templates(phrases, notices)
     words = F.regexp_extract_all(lower_az(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))
-    keyed = row_keyed(docs.select("doc_id", "text"), "row").select("row", "doc_id", F.concat(words, F.array(F.lit(""))).alias("words"))
+    keyed = row_keyed(stable(docs.select("doc_id", "text")), "row").select("row", "doc_id", F.concat(words, F.array(F.lit(""))).alias("words"))
     gram = lambda k: F.xxhash64("w", *(F.get("words", F.col("p") + j) for j in range(1, k)))
     rolling = keyed.select("row", "doc_id", "words", F.posexplode_outer("words").alias("p", "w")).withColumns({f"h{K_PHRASE}": gram(K_PHRASE), f"h{K_NOTICE}": gram(K_NOTICE)})
     for k in (K_PHRASE, K_NOTICE):

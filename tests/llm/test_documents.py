@@ -146,13 +146,27 @@ def test_license_base(spark, hard, none):
 
 
 def test_license_notices_with_edits(spark):
-    label, text = license_scan.NOTICES[1]
+    label, text = license_scan.NOTICES[4]
     w = text.split()
     rows = [(1, " ".join(["intro", *w, "outro"])), (2, " ".join([*w[:8], "and", "also", *w[8:]]).upper()), (3, " ".join(w[:9])), (4, " ".join(reversed(w)))]
     got = {r.doc_id: r.labels for r in license_scan.scan(few(spark, rows, "doc_id long, text string")).collect()}
     assert got == {1: label, 2: label, 3: "", 4: ""}
 
 
+def test_every_notice_is_found_whole_and_in_part(spark):
+    """Each notice earns its label, also if some of its words are changed and it stands within other text."""
+    rows = []
+    for k, (_, text) in enumerate(license_scan.NOTICES):
+        w = text.split()
+        changed = list(w)
+        for i in range(10, len(w), 20):
+            changed[i] = "other"
+        rows += [(2 * k, f"{prose(k, 20)} {text.title()} {prose(k, 9)}"), (2 * k + 1, " ".join(changed))]
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan(few(spark, rows, "doc_id long, text string")).collect()}
+    for k, (label, text) in enumerate(license_scan.NOTICES):
+        assert label in got[2 * k] and (label in got[2 * k + 1] or len(text.split()) < 18), label
+
+
 # --- tokens, files and packing
 
 
