@@ -47,10 +47,3 @@ def sample_kurtosis(x: Column) -> Column:
     """Excess kurtosis with the correction for samples; null below four values."""
     n = F.count(x)
     return F.when(n > 3, ((n + 1) * F.kurtosis(x) + 6) * (n - 1) / ((n - 2) * (n - 3)))
-
-
-def decay(values: Column, alpha: float) -> Column:
-    """Exponentially weighted means of an ordered array: s = a x + (1 - a) s[-1], starting at the first value."""
-    start = F.array().cast("array<double>")
-    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(alpha * x + (1 - alpha) * F.element_at(acc, -1))))
-    return F.aggregate(values, start, step)

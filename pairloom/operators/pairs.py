@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.stats import safe_beta, safe_corr
 
+from .sequential import scanned
+
 PAIR = ("sym_y", "sym_x")
 #: Published asymptotic critical values (5 %) of the two-variable cointegration test with a constant,
 #: and of the Johansen trace test for two series with a constant, for no and for one relation.
@@ -126,15 +129,18 @@ def johansen(pairs: DataFrame, lags: int = 1) -> DataFrame:
     return pairs.groupBy(*PAIR).applyInPandas(one, "sym_y string, sym_x string, trace_0 double, trace_1 double, rank int")
 
 
-def correlation_matrix(wide: DataFrame, symbols: list[str]) -> DataFrame:
-    """symbol and its row of the correlation matrix."""
-    vectors = VectorAssembler(inputCols=symbols, outputCol="v", handleInvalid="skip").transform(wide)
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    return wide.sparkSession.createDataFrame([(s, [float(v) for v in row]) for s, row in zip(symbols, matrix, strict=True)], "symbol string, corr array<double>")
+def correlation_matrix(bars: DataFrame, column: str) -> DataFrame:
+    """symbol, other, corr for all ordered pairs of symbols; as many rows as the square of their number, by definition."""
+    one, two = (bars.select(F.col("symbol").alias(n), "bar_ts", F.col(column).alias(v)) for n, v in (("symbol", "y"), ("other", "x")))
+    found = one.join(two, "bar_ts").groupBy("symbol", "other").agg(safe_corr(F.col("y"), F.col("x")).alias("_c"))
+    return found.select("symbol", "other", F.when(F.col("symbol") == F.col("other"), 1.0).otherwise(F.col("_c")).alias("corr"))
 
 
-def pca_residuals(wide: DataFrame, symbols: list[str], k: int) -> DataFrame:
-    """bar_ts, factors, and what the factors leave of each symbol's (demeaned) return."""
+def pca_residuals(wide: DataFrame, k: int) -> DataFrame:
+    """bar_ts, factors, and what the factors leave of each symbol's (demeaned) return; the symbols are the columns of the
+    panel beside bar_ts. Times at which a symbol has no value are left out."""
+    symbols = [c for c in wide.columns if c != "bar_ts"]
+    wide = wide.dropna(subset=symbols)
     vectors = VectorAssembler(inputCols=symbols, outputCol="v", handleInvalid="skip").transform(wide)
     means = wide.agg(*(F.avg(s).alias(s) for s in symbols)).first()
     model = PCA(k=k, inputCol="v", outputCol="f").fit(vectors)
@@ -150,18 +156,21 @@ def clusters(features: DataFrame, names: list[str], k: int, seed: int = 1) -> Da
 
 
 def kalman(pairs: DataFrame, delta: float = 1e-4, noise: float = 1.0) -> DataFrame:
-    """Dynamic hedge ratio: a random-walk (beta, alpha) filtered along each pair's series, in time order."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_ts").reset_index(drop=True)
-        state, cov, q = np.zeros(2), np.eye(2), delta / (1 - delta) * np.eye(2)
-        rows: list[tuple[float, float, float]] = []
-        for y, x in zip(pdf.y, pdf.x, strict=True):
-            h, cov = np.array([x, 1.0]), cov + q
-            error, size = y - h @ state, h @ cov @ h + noise
-            gain = cov @ h / size
-            state, cov = state + gain * error, cov - np.outer(gain, h) @ cov
-            rows.append((state[0], state[1], error / np.sqrt(size)))
-        return pd.concat([pdf[["sym_y", "sym_x", "bar_ts"]], pd.DataFrame(rows, columns=["beta", "alpha", "innovation"])], axis=1)
-
-    return pairs.groupBy(*PAIR).applyInPandas(one, "sym_y string, sym_x string, bar_ts timestamp_ntz, beta double, alpha double, innovation double")
+    """Dynamic hedge ratio: a random-walk (beta, alpha) filtered along each pair's series, in time order. Bars without y or
+    x leave the state as it is and have no innovation."""
+    drift = delta / (1 - delta)
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        (beta, alpha, bb, ba, aa), (y, x) = state, row
+        bb, aa = bb + drift, aa + drift
+        if y is None or x is None:
+            return (beta, alpha, bb, ba, aa), (beta, alpha, None)
+        gain_b, gain_a = bb * x + ba, ba * x + aa
+        size = x * gain_b + gain_a + noise
+        error = y - beta * x - alpha
+        beta, alpha = beta + gain_b / size * error, alpha + gain_a / size * error
+        bb, ba, aa = bb - gain_b * gain_b / size, ba - gain_b * gain_a / size, aa - gain_a * gain_a / size
+        return (beta, alpha, bb, ba, aa), (beta, alpha, error / math.sqrt(size))
+
+    found = scanned(pairs.select(*PAIR, "bar_ts", "y", "x"), PAIR, ("bar_ts",), ("y", "x"), (0.0, 0.0, 1.0, 0.0, 1.0), step, "beta double, alpha double, innovation double")
+    return found.drop("y", "x")

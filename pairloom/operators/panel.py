@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.functions.quantiles import quantile_columns
+
 
 def time_bars(ticks: DataFrame, every: str) -> DataFrame:
     """OHLC, mean and count per symbol and bucket; partial aggregation leaves one row per key and task to shuffle."""
@@ -26,18 +28,25 @@ def carried_forward(bars: DataFrame, spine: DataFrame, column: str = "close") ->
     return spine.join(bars.select("symbol", "bar_ts", column), ["symbol", "bar_ts"], "left").withColumn("filled", F.last(column, ignorenulls=True).over(w))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, tie: str, within: str | None = None) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, tie: str, within: str | None = None, bucket_seconds: int = 86_400) -> DataFrame:
     """Left rows with as_of_ts and as_of_value of the last right row of the key at or before ts.
 
-    One shuffle of the union by key and one sort; no row meets more than its neighbours. Right rows stand before left
-    rows of equal ts; of right rows of equal ts the one with the largest `tie` counts.
-    """
+    Right rows stand before left rows of equal ts; of right rows of equal ts the one with the largest `tie` counts. A key
+    is cut into time buckets, so a busy key spreads over tasks: within a bucket one sorted union finds the row, and the
+    last right row of earlier buckets is handed on over a table of one row a key and bucket."""
     names = left.columns
-    l = left.select(*names, F.lit(1).alias("_side"), F.lit(None).cast("struct<ts:timestamp_ntz,value:double>").alias("_found"), F.col(tie).alias("_tie"))  # noqa: E741
-    found = F.struct(F.col(ts).alias("ts"), F.col(value).alias("value"))
-    r = right.select(*(F.col(c) if c in (key, ts) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names), F.lit(0).alias("_side"), found.alias("_found"), F.col(tie).alias("_tie"))
-    w = Window.partitionBy(key).orderBy(ts, "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    bucket = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / bucket_seconds).alias("_b")
+    found = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(value).alias("value"))
+    kind = right.select(found.alias("f")).schema["f"].dataType
+    l = left.select(*names, bucket, F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_found"), F.col(tie).alias("_tie"))  # noqa: E741
+    r = right.select(*(F.col(c) if c in (key, ts) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names), bucket, F.lit(0).alias("_side"), found.alias("_found"), F.col(tie).alias("_tie"))
+    w = Window.partitionBy(key, "_b").orderBy(ts, "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     out = l.unionByName(r).withColumn("_last", F.last("_found", ignorenulls=True).over(w)).where("_side = 1")
+    # One row a key and bucket: the last right row in it (none if only left rows are there), then of all buckets before.
+    marks = right.select(F.col(key), bucket, found.alias("f")).unionByName(left.select(F.col(key), bucket, F.lit(None).cast(kind).alias("f"))).groupBy(key, "_b").agg(F.max("f").alias("f"))
+    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), F.last("f", ignorenulls=True).over(earlier).alias("_before")).where("_before is not null")
+    out = out.join(carried, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_c")), "left").withColumn("_last", F.coalesce("_last", "_before"))
     near = F.lit(True) if within is None else F.col("_last.ts") >= F.col(ts) - F.expr(f"interval {within}")
     return out.select(*names, F.when(near, F.col("_last.ts")).alias("as_of_ts"), F.when(near, F.col("_last.value")).alias("as_of_value"))
 
@@ -61,13 +70,15 @@ def aligned(bars: DataFrame) -> DataFrame:
     return bars.join(times.select("bar_ts"), "bar_ts", "left_semi")
 
 
-def wide(bars: DataFrame, symbols: list[str], column: str = "close") -> DataFrame:
-    return bars.groupBy("bar_ts").pivot("symbol", symbols).agg(F.first(column))
+def wide(bars: DataFrame, column: str = "close") -> DataFrame:
+    """bar_ts and a column for each symbol there is (Spark looks for them first, and refuses more than its
+    spark.sql.pivotMaxValues)."""
+    return bars.groupBy("bar_ts").pivot("symbol").agg(F.first(column))
 
 
 def winsorized(ticks: DataFrame, lo: float, hi: float) -> DataFrame:
-    """Prices held between two quantiles of their symbol."""
-    bounds = ticks.groupBy("symbol").agg(F.percentile("price", lo).alias("lo"), F.percentile("price", hi).alias("hi"))
+    """Prices held between two exact quantiles of their symbol."""
+    bounds = quantile_columns(ticks, ("symbol",), "price", {"lo": lo, "hi": hi})
     return ticks.join(bounds, "symbol").withColumn("winsorized", F.greatest(F.least("price", "hi"), F.col("lo")))
 
 

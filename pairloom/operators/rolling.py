@@ -7,7 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.functions.stats import decay, full, safe_beta, safe_corr, zscore
+from pairloom.functions.stats import full, safe_beta, safe_corr, zscore
+
+from .sequential import scanned
 
 
 def by_time():
@@ -63,10 +65,14 @@ def rolling_quantile(bars: DataFrame, n: int, q: float, x: str = "x") -> DataFra
 
 
 def exponential_mean(bars: DataFrame, alpha: float, x: str = "x") -> DataFrame:
-    """A fold over each symbol's ordered series."""
-    series = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("bar_ts", F.col(x).alias("x")))).alias("s"))
-    zipped = F.arrays_zip(F.col("s.bar_ts").alias("bar_ts"), decay(F.col("s.x"), alpha).alias("ewm"))
-    return series.select("symbol", F.explode(zipped).alias("e")).select("symbol", F.col("e.bar_ts").alias("bar_ts"), F.col("e.ewm").alias("ewm"))
+    """s = alpha x + (1 - alpha) s[-1], from the first value on; a null leaves s as it is."""
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        (mean,), (value,) = state, row
+        mean = mean if value is None else value if mean is None else alpha * value + (1 - alpha) * mean
+        return (mean,), (mean,)
+
+    return scanned(bars.select("symbol", "bar_ts", F.col(x).cast("double").alias("x")), ("symbol",), ("bar_ts",), ("x",), (None,), step, "ewm double").select("symbol", "bar_ts", "ewm")
 
 
 def autocorrelation(bars: DataFrame, k: int, x: str = "x") -> DataFrame:

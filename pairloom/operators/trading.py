@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairs import PAIR, by_pair, hedge_ratios, spreads
+from pairloom.functions.quantiles import quantile_columns
+
+from .pairs import PAIR, by_pair, hedge_ratios, spread_zscores, spreads
+from .sequential import scanned
 
 
 def so_far():
@@ -26,12 +30,14 @@ def out_of_sample_spreads(pairs: DataFrame, ts: str) -> DataFrame:
     return spreads(trading, hedge_ratios(formation))
 
 
-def walk_forward(pairs: DataFrame, first: str, form_days: int, trade_days: int, folds: int) -> DataFrame:
-    """fold and spreads of its trading days, ratios from its formation days; folds are a small table of dates."""
-    spark = pairs.sparkSession
-    start = F.lit(first).cast("timestamp_ntz")
+def walk_forward(pairs: DataFrame, form_days: int, trade_days: int) -> DataFrame:
+    """fold and spreads of its trading days, ratios from its formation days alone. Folds start at the first bar's day and
+    go on, trade_days apart, as long as there are bars to trade; they are a small table of dates."""
     days = lambda n: F.make_interval(days=n)
-    f = spark.range(folds).select(F.col("id").cast("int").alias("fold"), (start + days((F.col("id") * trade_days).cast("int"))).alias("f0"))
+    ends = pairs.agg(F.date_trunc("day", F.min("bar_ts")).cast("timestamp_ntz").alias("first"), F.max("bar_ts").alias("last"))
+    last_fold = F.floor((F.datediff("last", "first") - form_days) / trade_days).cast("int")
+    f = ends.where(F.datediff("last", "first") >= form_days).select("first", F.explode(F.sequence(F.lit(0), last_fold)).alias("fold"))
+    f = f.select("fold", (F.col("first") + days(F.col("fold") * trade_days)).alias("f0"))
     f = F.broadcast(f.withColumn("t0", F.col("f0") + days(F.lit(form_days))).withColumn("t1", F.col("f0") + days(F.lit(form_days + trade_days))))
     formed = pairs.join(f, (F.col("bar_ts") >= F.col("f0")) & (F.col("bar_ts") < F.col("t0")))
     beta = F.covar_pop("y", "x") / F.nullif(F.var_pop("x"), F.lit(0.0))
@@ -51,27 +57,25 @@ def positions(scored: DataFrame, entry: float = 1.0, leave: float = 0.5) -> Data
 
 
 def guarded_positions(scored: DataFrame, entry: float = 1.0, leave: float = 0.5, stop: float = 2.0, most_bars: int = 5) -> DataFrame:
-    """Positions with a stop-loss lockout and a longest holding. A fold over each pair's ordered array: after a stop or
-    a time-out nothing is held until z comes back inside leave."""
-    series = scored.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("bar_ts", "z"))).alias("s"))
-    state = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("bars"), F.lit(False).alias("locked"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        z = F.coalesce(e["z"], F.lit(0.0))
-        inside, known = F.abs(z) < leave, e["z"].isNotNull()
-        cut = (acc["pos"] != 0) & ((F.abs(z) > stop) | (acc["bars"] >= most_bars)) & ~inside
-        locked = (acc["locked"] | cut) & ~(inside & known)
-        wish = F.when(~known, acc["pos"]).when(inside | locked, 0).when(acc["pos"] != 0, acc["pos"]).when(z < -entry, 1).when(z > entry, -1).otherwise(0)
-        bars = F.when((wish != 0) & (wish == acc["pos"]), acc["bars"] + 1).when(wish != 0, 1).otherwise(0)
-        return F.struct(wish.alias("pos"), bars.alias("bars"), locked.alias("locked"), F.concat(acc["out"], F.array(wish)).alias("out"))
+    """Positions with a stop-loss lockout and a longest holding: after a stop or a time-out nothing is held until z comes
+    back inside leave; a bar without z changes nothing."""
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        (pos, bars, locked), (z,) = state, row
+        new = pos
+        if z is not None:
+            inside = abs(z) < leave
+            cut = pos != 0 and (abs(z) > stop or bars >= most_bars)
+            locked = (locked or cut) and not inside
+            new = 0 if inside or locked else pos if pos else 1 if z < -entry else -1 if z > entry else 0
+        bars = bars + 1 if new and new == pos else 1 if new else 0
+        return (new, bars, locked), (new,)
 
-    folded = series.select(*PAIR, "s", F.aggregate("s", state, step)["out"].alias("out"))
-    both = F.explode(F.arrays_zip(F.col("s.bar_ts").alias("bar_ts"), F.col("s.z").alias("z"), F.col("out").alias("pos"))).alias("e")
-    return folded.select(*PAIR, both).select(*PAIR, "e.bar_ts", "e.z", "e.pos")
+    return scanned(scored.select(*PAIR, "bar_ts", "z"), PAIR, ("bar_ts",), ("z",), (0, 0, False), step, "pos int")
 
 
 def guarded_reference(z: list[float | None], entry: float, leave: float, stop: float, most_bars: int) -> list[int]:
-    """The same rule for one series, for streams and tests."""
+    """The same rule for one series, written out once more, for tests."""
     pos, bars, locked, out = 0, 0, False, []
     for v in z:
         if v is not None:
@@ -102,8 +106,10 @@ def trades(earned: DataFrame) -> DataFrame:
 
 
 def equity(earned: DataFrame) -> DataFrame:
+    """cum_pnl, drawdown (from the highest so far, 0 at the start) and max_drawdown (the deepest so far)."""
     cum = earned.withColumn("cum_pnl", F.sum("pnl").over(so_far()))
-    return cum.withColumn("drawdown", F.col("cum_pnl") - F.greatest(F.max("cum_pnl").over(so_far()), F.lit(0.0)))
+    cum = cum.withColumn("drawdown", F.col("cum_pnl") - F.greatest(F.max("cum_pnl").over(so_far()), F.lit(0.0)))
+    return cum.withColumn("max_drawdown", F.min("drawdown").over(so_far()))
 
 
 def performance(earned: DataFrame, per_year: int) -> DataFrame:
@@ -119,7 +125,7 @@ def performance(earned: DataFrame, per_year: int) -> DataFrame:
 
 def tail_risk(earned: DataFrame, level: float) -> DataFrame:
     """Historical value at risk and expected shortfall of the bars' profit."""
-    var = earned.groupBy(*PAIR).agg(F.percentile("pnl", level).alias("var"))
+    var = quantile_columns(earned, PAIR, "pnl", {"var": level})
     return earned.join(var, list(PAIR)).groupBy(*PAIR).agg(F.first("var").alias("value_at_risk"), F.avg(F.when(F.col("pnl") <= F.col("var"), F.col("pnl"))).alias("shortfall"))
 
 
@@ -141,19 +147,30 @@ def long_short(panel: DataFrame, tiles: int, x: str = "x") -> DataFrame:
     return tiled.select("bar_ts", "symbol", "tile", F.when(F.col("tile") == tiles, 1.0 / tops).when(F.col("tile") == 1, -1.0 / lows).otherwise(0.0).alias("weight"))
 
 
-def portfolio(earned: DataFrame) -> DataFrame:
-    """Profit of all pairs by time, equal capital to each."""
-    return earned.groupBy("bar_ts").agg(F.sum("pnl").alias("pnl"), F.avg("pnl").alias("pnl_per_pair"), F.count_if(F.col("pos") != 0).cast("long").alias("open_pairs"))
+def capital(earned: DataFrame) -> DataFrame:
+    """Weights of pairs that sum to one, inverse to the deviation of their profit; a pair without deviation gets none."""
+    inverse = earned.groupBy(*PAIR).agg(F.coalesce(1.0 / F.nullif(F.stddev_samp("pnl"), F.lit(0.0)), F.lit(0.0)).alias("_i"))
+    total = inverse.agg(F.sum("_i").alias("_t"))  # one row
+    return inverse.crossJoin(F.broadcast(total)).select(*PAIR, (F.col("_i") / F.nullif("_t", F.lit(0.0))).alias("weight"))
+
+
+def portfolio(earned: DataFrame, weights: DataFrame) -> DataFrame:
+    """Profit of all pairs by time: summed, with equal capital, and with the capital that weights (PAIR, weight) give."""
+    each = earned.join(weights, list(PAIR), "left")
+    return each.groupBy("bar_ts").agg(
+        F.sum("pnl").alias("pnl"), F.avg("pnl").alias("pnl_per_pair"), F.sum(F.col("pnl") * F.coalesce("weight", F.lit(0.0))).alias("pnl_weighted"), F.count_if(F.col("pos") != 0).cast("long").alias("open_pairs"),
+    )
 
 
-def sweep(scored: DataFrame, grid: list[tuple[float, float]], cost: float) -> DataFrame:
-    """Total profit of every pair under every (entry, leave) of a small grid, which is broadcast."""
-    g = scored.sparkSession.createDataFrame(grid, "entry double, leave double")
-    each = scored.crossJoin(F.broadcast(g))
-    w = Window.partitionBy(*PAIR, "entry", "leave").orderBy("bar_ts")
+def sweep(spread: DataFrame, grid: list[tuple[int, float, float]], cost: float) -> DataFrame:
+    """Total profit of every pair under every (n, entry, leave) of a small grid, which is broadcast; z is scored once for each n."""
+    g = spread.sparkSession.createDataFrame(grid, "n int, entry double, leave double")
+    scored = reduce(DataFrame.unionByName, (spread_zscores(spread, n).withColumn("n", F.lit(n)) for n in sorted({n for n, _, _ in grid})))
+    each = scored.join(F.broadcast(g), "n")
+    w = Window.partitionBy(*PAIR, "n", "entry", "leave").orderBy("bar_ts")
     pos = F.coalesce(F.last(held(F.col("z"), F.col("entry"), F.col("leave")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("int")
     each = each.withColumn("pos", pos)
     before = F.coalesce(F.lag("pos").over(w), F.lit(0))
     move = (F.col("y") - F.lag("y").over(w)) - F.col("beta") * (F.col("x") - F.lag("x").over(w))
     each = each.withColumn("pnl", before * F.coalesce(move, F.lit(0.0)) - cost * F.abs(F.col("pos") - before))
-    return each.groupBy(*PAIR, "entry", "leave").agg(F.sum("pnl").alias("pnl"))
+    return each.groupBy(*PAIR, "n", "entry", "leave").agg(F.sum("pnl").alias("pnl"))

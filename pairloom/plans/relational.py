@@ -5,15 +5,16 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairloom.functions.quantiles import quantile_columns
 from pairloom.sources.tables import file_stream, read, shared_path, table, write
 from pairloom.streaming.jobs import write_each_batch
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _NAMES = re.compile(r"\{(" + "|".join(TABLES) + r")\}")
 
 
@@ -41,6 +42,7 @@ def query(name: str, sql: str | None = None):
 for _t in TABLES:
     if _t != "embeddings":
         pair(f"b01_scan_{_t}", f"SELECT * FROM {{{_t}}}")
+pair("b01_scan_embeddings", "SELECT vec_id, label, embedding[0] AS first, embedding[63] AS last FROM {embeddings}", "SELECT vec_id, label, embedding[1] AS first, embedding[64] AS last FROM {embeddings}")
 
 pair("b02_project_filter", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END AS band, coalesce(nullif(o_orderstatus, 'P'), 'open') AS status, greatest(o_totalprice, 1000.0D) AS g, least(o_totalprice, 1000.0D) AS l FROM {orders} WHERE o_totalprice BETWEEN 1000 AND 400000 AND o_orderpriority <> '5-LOW'",
      "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END AS band, coalesce(nullif(o_orderstatus, 'P'), 'open') AS status, greatest(o_totalprice, 1000.0) AS g, least(o_totalprice, 1000.0) AS l FROM {orders} WHERE o_totalprice BETWEEN 1000 AND 400000 AND o_orderpriority <> '5-LOW'")
@@ -51,8 +53,8 @@ pair("b04_right_join", "SELECT c_custkey, o_orderkey FROM {orders} RIGHT JOIN {c
 pair("b04_full_join", "SELECT c_custkey, s_suppkey FROM {customer} FULL JOIN {supplier} ON c_custkey = s_suppkey + 1450")
 pair("b05_semi_exists", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 pair("b05_in", "SELECT c_custkey FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 400000)")
-pair("b05_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
-pair("b05_not_in", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 100000)")
+pair("b05_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+pair("b05_not_in", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 300000)")
 pair("b06_cross", "SELECT n_name, r_name FROM {nation} CROSS JOIN {region}")
 pair("b06_theta", "SELECT a.s_suppkey AS lo, b.s_suppkey AS hi FROM {supplier} a JOIN {supplier} b ON a.s_acctbal < b.s_acctbal AND a.s_nationkey = b.s_nationkey")
 pair("b07_correlated", "SELECT c_custkey, (SELECT max(o_totalprice) FROM {orders} WHERE o_custkey = c_custkey) AS top FROM {customer}")
@@ -63,21 +65,27 @@ for _n, _g in (("grouping_sets", "GROUPING SETS ((o_orderstatus, o_orderpriority
     pair(f"b09_{_n}", f"SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus) AS INT) AS g, count(*) AS n FROM {{orders}} GROUP BY {_g}")
 
 
-@query("b10_approx_distinct")
+@query("b10_approx_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS near FROM lineitem GROUP BY 1")
 def b10(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
+    """The sketch, held against the exact count: near says whether it is within three of its standard errors."""
+    counts = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("sketch"), F.count_distinct("l_partkey").alias("parts"))
+    return counts.select("l_returnflag", "parts", (F.abs(F.col("sketch") - F.col("parts")) <= 3 * 0.02 * F.col("parts")).alias("near"))
+
+
+@query("b11_quantile", "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
+def b11(spark, d):
+    found = quantile_columns(table(spark, d, "events"), ("event_type",), "value", {"q1": 0.25, "q2": 0.5, "p95": 0.95})
+    return found.withColumns({c: F.round(c, 6) for c in ("q1", "q2", "p95")})
 
 
-pair("b11_quantile", "SELECT event_type, round(percentile(value, 0.25), 6) AS q1, round(percentile(value, 0.5), 6) AS q2, round(percentile(value, 0.95), 6) AS p95 FROM {events} GROUP BY event_type",
-     "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.95), 6) AS p95 FROM {events} GROUP BY event_type")
 pair("b12_bool_max_by", "SELECT o_orderstatus, bool_and(o_totalprice > 1000) AS alls, bool_or(o_totalprice > 400000) AS anys, max_by(o_orderkey, o_orderkey) AS last_key, array_join(array_sort(collect_set(o_orderpriority)), ',') AS prios FROM {orders} GROUP BY o_orderstatus",
      "SELECT o_orderstatus, bool_and(o_totalprice > 1000) AS alls, bool_or(o_totalprice > 400000) AS anys, arg_max(o_orderkey, o_orderkey) AS last_key, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS prios FROM {orders} GROUP BY o_orderstatus")
-pair("b12_mode", "SELECT event_type, min(user_id) AS user_id, n FROM (SELECT event_type, user_id, count(*) AS n, max(count(*)) OVER (PARTITION BY event_type) AS top FROM {events} GROUP BY event_type, user_id) WHERE n = top GROUP BY event_type, n")
+pair("b12_mode", "SELECT event_type, mode() WITHIN GROUP (ORDER BY user_id) AS user_id FROM {events} GROUP BY event_type", "SELECT event_type, min(user_id) AS user_id FROM (SELECT event_type, user_id, count(*) AS n, max(count(*)) OVER (PARTITION BY event_type) AS top FROM {events} GROUP BY event_type, user_id) WHERE n = top GROUP BY event_type, n")
 
 
 @query("b13_pivot", "SELECT o_orderpriority, round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS \"F\", round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS \"O\", round(sum(o_totalprice) FILTER (o_orderstatus = 'P'), 2) AS \"P\" FROM orders GROUP BY 1")
 def b13(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.round(F.sum("o_totalprice"), 2))
+    return table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus").agg(F.round(F.sum("o_totalprice"), 2))
 
 
 pair("b13_unpivot", "SELECT c_custkey, what, v FROM (SELECT c_custkey, c_acctbal, CAST(c_nationkey AS DOUBLE) AS c_nation FROM {customer}) UNPIVOT (v FOR what IN (c_acctbal, c_nation))")
@@ -88,7 +96,7 @@ pair("b17_frames", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id
 pair("b18_top_k", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
 pair("b19_top_k_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM {orders}) WHERE rn <= 3")
 for _n, _s in (("union_all", "UNION ALL"), ("union", "UNION"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL")):
-    pair(f"b20_{_n}", f"SELECT c_nationkey AS k FROM {{customer}} {_s} SELECT s_nationkey FROM {{supplier}}")
+    pair(f"b20_{_n}", f"SELECT c_nationkey AS k FROM {{customer}} {_s} SELECT s_nationkey FROM {{supplier}} WHERE s_acctbal > 5000")
 pair("b21_strings", "SELECT c_custkey, substring(c_name, 1, 8) AS s, upper(c_mktsegment) AS u, lower(c_name) AS lo, CAST(length(c_name) AS BIGINT) AS n, replace(c_name, '#', '-') AS r, lpad(CAST(c_custkey AS STRING), 8, '0') AS p, reverse(c_name) AS rev, concat_ws('|', c_name, c_mktsegment) AS c, CAST(instr(c_name, '#') AS BIGINT) AS i, trim(concat('  ', c_name, ' ')) AS t, split_part(c_name, '#', 2) AS sp, CAST(levenshtein(c_mktsegment, 'MACHINERY') AS BIGINT) AS lev, md5(c_name) AS h FROM {customer}",
      "SELECT c_custkey, substring(c_name, 1, 8) AS s, upper(c_mktsegment) AS u, lower(c_name) AS lo, CAST(length(c_name) AS BIGINT) AS n, replace(c_name, '#', '-') AS r, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS p, reverse(c_name) AS rev, concat_ws('|', c_name, c_mktsegment) AS c, CAST(instr(c_name, '#') AS BIGINT) AS i, trim(concat('  ', c_name, ' ')) AS t, split_part(c_name, '#', 2) AS sp, CAST(levenshtein(c_mktsegment, 'MACHINERY') AS BIGINT) AS lev, md5(c_name) AS h FROM {customer}")
 pair("b22_regex", r"SELECT p_partkey, regexp_extract(p_brand, '#([0-9]+)', 1) AS num, regexp_replace(p_name, '[aeiou]', '_') AS masked, p_name RLIKE '^(red|blue)' AS starts FROM {part}",
@@ -166,6 +174,15 @@ def udaf_pandas(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.pandas_udf(mean, "double")("value"), 6).alias("mean"))
 
 
+@query("udaf_pandas_window", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean FROM events")
+def udaf_window(spark, d):
+    def mean(v: pd.Series) -> float:
+        return float(v.mean())
+
+    frame = Window.partitionBy("user_id").orderBy("ts").rowsBetween(-4, 0)
+    return table(spark, d, "events").select("event_id", F.round(F.pandas_udf(mean, "double")("value").over(frame), 6).alias("mean"))
+
+
 @query("udf_grouped_map", "SELECT event_id, round(value - avg(value) OVER (PARTITION BY event_type), 6) AS demeaned FROM events")
 def udf_grouped(spark, d):
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

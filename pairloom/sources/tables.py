@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,9 +41,11 @@ def file_stream(spark: SparkSession, folder: str, name: str, max_files: int = 1)
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names; only sessions without one (tests) use a local folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh path in the folder that spark.checkpoint.dir names. Only a local session without one (as in tests) gets a
+    folder of its own; elsewhere executors would not see it, so that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_pairloom_sink", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="shared")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = spark.sparkContext._pairloom_sink = "file://" + tempfile.mkdtemp(prefix="shared")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -2,28 +2,54 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.sources.tables import file_stream, shared_path
+from pairloom.sources.tables import shared_path, table
 
 
-def ticks(spark: SparkSession, folder: str, late: str = "1 hour") -> DataFrame:
+def landed(spark: SparkSession, folder: str, parts: int = 3, repeated: bool = False, late: bool = False) -> str:
+    """Events as a folder of files that arrive in the order of time, so that state goes from batch to batch, and a last file
+    with one row without symbol a month later, whose watermark closes all windows. repeated: each file has its rows twice;
+    late: before the last file one arrives with rows of the first hour once more, long after the watermark has passed."""
+    path = shared_path(spark, "landed")
+    events = table(spark, folder, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) / parts
+    part = lambda i: events.where((F.col("ts") >= F.lit(first + i * step)) & (F.lit(i == parts - 1) | (F.col("ts") < F.lit(first + (i + 1) * step))))
+    closing = events.limit(1).withColumns({"ts": F.lit(last + timedelta(days=31)), "event_type": F.lit(None).cast("string")})
+    files = [part(i).unionByName(part(i)) if repeated else part(i) for i in range(parts)]
+    files += [events.where(F.col("ts") < F.lit(first + timedelta(hours=1)))] * late + [closing]
+    for number, rows in enumerate(files):  # one write after the other: a file's age is its place in the stream
+        rows.coalesce(1).write.mode("append").parquet(f"{path}/arrived={number}")
+    return path
+
+
+def arriving(spark: SparkSession, path: str, like: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """The stream of a landed folder, a file a batch, with a watermark."""
+    stream = spark.readStream.schema(like.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
+    found = stream.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), "user_id").withWatermark("ts", delay)
+    return found.where("symbol is not null or ts is null")  # ts keeps this after the watermark, which the closing row must move
+
+
+def ticks(spark: SparkSession, folder: str, delay: str = "1 hour", **landing) -> DataFrame:
     """Events as a stream with a watermark; zone-less times become instants of the session's zone (UTC)."""
-    events = file_stream(spark, folder, "events")
-    return events.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), "user_id").withWatermark("ts", late)
+    return arriving(spark, landed(spark, folder, **landing), table(spark, folder, "events"), delay)
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All that is there now, as a table: update modes of a key are replaced, appended rows are kept."""
-    spark, name = stream.sparkSession, f"s_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start()
+def drained(stream: DataFrame) -> DataFrame:
+    """All that is there now, in append mode: windows leave the state as the watermark passes them. Each batch goes to
+    Parquet in the shared folder, nothing to the driver; the sink's log makes a batch that runs again count once."""
+    spark = stream.sparkSession
+    path = shared_path(spark, "drained")
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def bars(source: DataFrame, every: str) -> DataFrame:
@@ -54,20 +80,24 @@ def relation(source: DataFrame, every: str) -> DataFrame:
 
 
 def position_machine(signals: DataFrame, entry: float, leave: float) -> DataFrame:
-    """symbol, ts, z to symbol, ts, pos: the hysteresis of positions() with its state kept per symbol."""
+    """symbol, ts, seq, z to symbol, ts, seq, pos: the hysteresis of positions() with its state kept per symbol.
+
+    A symbol's rows of a batch are put in order of ts and seq; batches must come in the order of time, as a row older than
+    the state's would be decided late. A null z carries the position on."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         pos = state.get[0] if state.exists else 0
-        for pdf in batches:
-            pdf = pdf.sort_values("ts")
-            out = []
-            for z in pdf.z:
-                pos = 1 if z < -entry else -1 if z > entry else 0 if abs(z) < leave else pos
-                out.append(pos)
-            yield pd.DataFrame({"symbol": key[0], "ts": pdf.ts, "pos": out})
-        state.update((pos,))
-
-    return signals.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, pos int", "pos int", "append", "NoTimeout")
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])  # a symbol comes in several Arrow batches, in any order
+        z = rows.z.to_numpy(float)
+        said = np.where(z < -entry, 1, np.where(z > entry, -1, np.where(np.abs(z) < leave, 0, 2)))
+        said[np.isnan(z)] = 2
+        place = np.maximum.accumulate(np.where(said != 2, np.arange(len(said)), -1))
+        out = np.where(place >= 0, said[place], pos)
+        if len(out):
+            state.update((int(out[-1]),))
+        yield pd.DataFrame({"symbol": key[0], "ts": rows.ts, "seq": rows.seq, "pos": out.astype("int32")})
+
+    return signals.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, seq long, pos int", "pos int", "append", "NoTimeout")
 
 
 def write_each_batch(stream: DataFrame, path: str) -> None:

@@ -8,8 +8,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pairloom.functions.quantiles import exact_quantiles, quantile_columns
 from pairloom.operators import pairs as P
-from pairloom.operators import panel, rolling, trading
+from pairloom.operators import panel, rolling, sequential, trading
+from pairloom.sources import tables
+from pairloom.streaming import jobs
 
 T0 = datetime.datetime(2024, 1, 1)
 day = lambda i: T0 + datetime.timedelta(days=i)
@@ -112,3 +115,172 @@ def test_zscore_ignores_scale(spark):
     frame = lambda v: spark.createDataFrame([("s", day(i), float(a)) for i, a in enumerate(v)], "symbol string, bar_ts timestamp_ntz, x double")
     a, b = (np.array([r.z or 0.0 for r in rolling.rolling_zscore(frame(v), 10).orderBy("bar_ts").collect()]) for v in (rng, 3 * rng + 7))
     assert np.allclose(a, b)
+
+
+def test_pca_leaves_nothing_of_two_factors(spark):
+    rng = np.random.default_rng(8)
+    f, g = rng.normal(size=(2, 60))
+    columns = {"p": f + 3, "q": 2 * f - g, "r": g - 1, "s": f + g}
+    wide = spark.createDataFrame([(day(i), *(float(v[i]) for v in columns.values())) for i in range(60)], ["bar_ts", *columns]).withColumn("bar_ts", F.col("bar_ts").cast("timestamp_ntz"))
+    found = P.pca_residuals(wide, 2).collect()
+    assert max(abs(r[c]) for r in found for c in columns) < 1e-9
+    # One factor: the residuals are those of the leading eigenvector.
+    m = np.column_stack(list(columns.values()))
+    m = m - m.mean(0)
+    lead = np.linalg.eigh(m.T @ m)[1][:, -1]
+    want = m - np.outer(m @ lead, lead)
+    got = np.array([[r[c] for c in columns] for r in P.pca_residuals(wide, 1).orderBy("bar_ts").collect()])
+    assert np.allclose(got, want)
+
+
+def test_clusters_of_two_groups(spark):
+    rows = [(f"s{i}", float(i % 2) * 50 + i * 0.1, float(i % 2) * 9) for i in range(12)]
+    got = {r.symbol: r.cluster for r in P.clusters(spark.createDataFrame(rows, "symbol string, mean double, sd double"), ["mean", "sd"], 2).collect()}
+    assert len({got[f"s{i}"] for i in range(0, 12, 2)}) == len({got[f"s{i}"] for i in range(1, 12, 2)}) == 1 and got["s0"] != got["s1"]
+
+
+def test_correlation_matrix_is_numpys(spark):
+    rng = np.random.default_rng(9)
+    values = rng.normal(size=(3, 40))
+    bars = spark.createDataFrame([(s, day(i), float(values[k, i])) for k, s in enumerate("abc") for i in range(40)] + [("flat", day(i), 1.0) for i in range(40)], "symbol string, bar_ts timestamp_ntz, v double")
+    got = {(r.symbol, r.other): r["corr"] for r in P.correlation_matrix(bars, "v").collect()}
+    want = np.corrcoef(values)
+    assert len(got) == 16 and all(got[a, b] == pytest.approx(want["abc".index(a), "abc".index(b)]) for a in "abc" for b in "abc")
+    assert got["flat", "a"] is None and got["flat", "flat"] == 1.0
+
+
+def test_kalman_is_the_filter(spark):
+    rng = np.random.default_rng(13)
+    x, y = rng.normal(size=(2, 50)) + 3
+    state, cov, q = np.zeros(2), np.eye(2), 1e-4 / (1 - 1e-4) * np.eye(2)
+    for k, r in enumerate(P.kalman(pair_frame(spark, y, x)).orderBy("bar_ts").collect()):
+        h, cov = np.array([x[k], 1.0]), cov + q
+        error, size = y[k] - h @ state, h @ cov @ h + 1.0
+        gain = cov @ h / size
+        state, cov = state + gain * error, cov - np.outer(gain, h) @ cov
+        assert (r.beta, r.alpha, r.innovation) == pytest.approx((*state, error / np.sqrt(size)))
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_recursions_go_over_batches(spark, batch):
+    rows = [(s, day(i), None if i % 7 == 3 else float(i * k)) for k, s in enumerate("ab", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "symbol string, bar_ts timestamp_ntz, x double").orderBy(F.rand(1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {(r.symbol, r.bar_ts): r.ewm for r in rolling.exponential_mean(df, 0.5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for s in "ab":
+        mean = None
+        for _, t, v in (r for r in rows if r[0] == s):
+            mean = mean if v is None else v if mean is None else 0.5 * v + 0.5 * mean
+            assert got[s, t] == pytest.approx(mean)
+
+
+def test_a_long_series_takes_time_in_proportion(spark):
+    df = spark.range(200_000).select(F.lit("s").alias("symbol"), (F.lit(T0).cast("timestamp_ntz") + F.make_interval(mins=F.col("id").cast("int"))).alias("bar_ts"), (F.col("id") % 97).cast("double").alias("x"))
+    last = rolling.exponential_mean(df, 0.5).orderBy(F.desc("bar_ts")).first()
+    mean = 0.0
+    for i in range(199_900, 200_000):
+        mean = 0.5 * (i % 97) + 0.5 * mean
+    assert last.ewm == pytest.approx(mean)
+
+
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_exact_quantiles(spark, monkeypatch, small):
+    """Against numpy, ranked whole and by brackets; ties, nulls, a group of one row and a null key."""
+    from pairloom.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "SMALL", small)
+    rng = np.random.default_rng(10)
+    groups = {"even": rng.normal(size=30_000), "ties": rng.integers(0, 3, 25_000).astype(float), "one": np.array([4.0]) if small else rng.normal(size=21_000), None: rng.exponential(size=22_000)}
+    rows = [(k, float(v)) for k, g in groups.items() for v in g] + [("even", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    levels = (0.0, 0.05, 0.5, 0.9731, 1.0)
+    got = {(r.k, r.level): r.value for r in exact_quantiles(df, ("k",), "v", levels).collect()}
+    assert got == {(k, q): pytest.approx(np.quantile(g, q)) for k, g in groups.items() for q in levels}
+    whole = quantile_columns(df, (), "v", {"a": 0.25, "b": 0.75}).first()
+    every = np.concatenate(list(groups.values()))
+    assert (whole.a, whole.b) == pytest.approx((np.quantile(every, 0.25), np.quantile(every, 0.75)))
+
+
+def test_as_of_over_buckets_of_a_busy_key_and_of_any_type(spark):
+    rng = np.random.default_rng(11)
+    left = [(1, T0 + datetime.timedelta(seconds=int(s)), i, "l") for i, s in enumerate(rng.integers(0, 10**6, 300))]
+    right = [(1, T0 + datetime.timedelta(seconds=int(s)), i, f"r{i}") for i, s in enumerate(rng.integers(0, 10**6, 40))]
+    schema = "k int, ts timestamp_ntz, id int, v string"
+    for seconds in (60, 86_400, 10**7):
+        got = {r.id: (r.as_of_ts, r.as_of_value) for r in panel.as_of(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "k", "ts", "v", "id", bucket_seconds=seconds).collect()}
+        for _, t, i, _ in left:
+            best = max((r for r in right if r[1] <= t), key=lambda r: (r[1], r[2]), default=None)
+            assert got[i] == ((best[1], best[3]) if best else (None, None))
+
+
+def test_position_machine_over_many_batches_and_files(spark, tmp_path):
+    """More rows a symbol than an Arrow batch, in no order, null signals, and state from file to file."""
+    rng = np.random.default_rng(12)
+    z = [None if v > 2.4 else float(v) for v in rng.normal(size=900) * 1.2]
+    schema = "symbol string, ts timestamp, seq long, z double"
+    rows = [("s", T0 + datetime.timedelta(minutes=i // 2), i, v) for i, v in enumerate(z)]
+    for part in range(3):
+        mine = rows[300 * part : 300 * part + 300]
+        order = rng.permutation(300)
+        spark.createDataFrame([mine[i] for i in order], schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={part}")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("ts", "1 hour")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.seq: r.pos for r in jobs.drained(jobs.position_machine(stream, 1.0, 0.5)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pos = 0
+    for i, v in enumerate(z):
+        pos = pos if v is None else 1 if v < -1 else -1 if v > 1 else 0 if abs(v) < 0.5 else pos
+        assert got[i] == pos
+
+
+def test_late_rows_are_dropped_and_repeated_ones_kept_once(spark):
+    folder = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{folder}/events.parquet").count()
+    assert jobs.drained(jobs.bars(jobs.ticks(spark, folder, late=True), "1 hour")).agg(F.sum("n")).first()[0] == n
+    path = jobs.landed(spark, folder, repeated=True, late=True)
+    assert spark.read.option("recursiveFileLookup", "true").parquet(path).count() > 2 * n
+
+
+def test_partitions_are_pruned_and_buckets_joined_without_a_shuffle(spark, tmp_path):
+    orders = tables.table(spark, "/root/testdata/sf0.001", "orders")
+    tables.write(orders.select("o_orderkey", "o_orderstatus"), f"{tmp_path}/o", partition_by=("o_orderstatus",))
+    some = tables.read(spark, f"{tmp_path}/o").where("o_orderstatus = 'F'")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(o_orderstatus" in plan and some.count() == orders.where("o_orderstatus = 'F'").count()
+    try:
+        tables.write_bucketed(orders, "bucketed_orders", 4, "o_orderkey")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        a, b = spark.table("bucketed_orders"), spark.table("bucketed_orders").select("o_orderkey", "o_custkey").alias("b")
+        joined = a.join(b, "o_orderkey")
+        assert joined.count() == orders.count()
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS bucketed_orders")
+
+
+def test_hard_series_of_rolling_and_returns(spark):
+    """Constant, one-row and zero-price series, and times that repeat."""
+    rows = [("flat", day(i), 5.0) for i in range(6)] + [("one", day(0), 1.0)] + [("zero", day(i), float(i % 2)) for i in range(6)] + [("twice", day(i // 2), float(i)) for i in range(6)]
+    bars = spark.createDataFrame(rows, "symbol string, bar_ts timestamp_ntz, x double")
+    z = rolling.rolling_zscore(bars, 3).where("symbol = 'flat'").collect()
+    assert len(z) == 6 and all(r.z is None for r in z)
+    assert all(r.z is None for r in rolling.rolling_zscore(bars, 3).where("symbol = 'one'").collect())
+    returns = rolling.with_returns(bars.withColumn("close", F.col("x"))).where("symbol = 'zero'").orderBy("bar_ts").collect()
+    assert [r.ret for r in returns] == [None, None, -1.0, None, -1.0, None] and all(r.log_ret is None for r in returns)
+    assert panel.duplicates(bars, "symbol", "bar_ts").count() == 3
+    assert rolling.hurst(bars, (1, 2)).where("symbol in ('flat', 'one')").count() == 0
+    assert rolling.variance_ratio(bars, 2).where("symbol = 'flat'").first().vr is None
+
+
+def test_walk_forward_trades_all_bars_after_the_first_formation(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=43)
+    got = trading.walk_forward(pair_frame(spark, 2 * x + 1, x), 10, 5).collect()
+    assert sorted(r.bar_ts for r in got) == [day(i) for i in range(10, 43)] and all(abs(r.spread) < 1e-9 for r in got)
+    assert {r.fold for r in got} == set(range(7)) and trading.walk_forward(pair_frame(spark, x[:4], x[:4]), 10, 5).count() == 0
