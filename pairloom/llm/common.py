@@ -21,6 +21,8 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch that goes to a Python worker, in sessions that set no bound of their own; one row at least.
 BATCH_BYTES = 4 << 20
+#: Narrow rows that are worth a task.
+TASK_ROWS = 100_000
 #: The share of all rows above which a key's facts are broadcast.
 HOT_SHARE = 0.001
 
@@ -66,6 +68,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fitted(df: DataFrame, rows: int) -> DataFrame:
+    """A table of so many narrow rows in no more partitions than those need; large tables keep the session's."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS))) if rows < TASK_ROWS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back; for tables too wide for `materialize`."""
     path = scratch(df.sparkSession, what)

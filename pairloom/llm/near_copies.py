@@ -5,14 +5,16 @@ cannot tell such pairs (they differ in some 10 bits), so fingerprints here are w
 bit set where over half of the shingles have it set in their hash. Within each segment a small Hamming ball around the
 value is enumerated: all flips of the UNCERTAIN bits whose counts are nearest to a half, as those are the bits in which
 similar texts differ. Fingerprints that meet under a key of a segment's table are candidates; their first 64 bits, then
-their complete distances are verified, and the similarity of what is left is counted on the whole sets.
+their complete distances are verified; a parity sketch of the sets bounds their difference from below; and the
+similarity of what is left is counted on the whole sets.
 
 Two texts of similarity 4/5 meet in a segment with the probability MEET[width], so with all segments they are missed in
 at most 3 of 1000 cases, more similar ones far more seldom; the tests measure it against all pairs. The width follows the
 number of distinct sets, so that a key holds less than one stranger on average, and the number of segments the width.
 
 Texts that meet under one key in great number are first paired with the next in row order. What that links needs no other
-link inside: a second pass compares, in pieces, only those that are not in the key's main class with the others.
+link inside: a second pass compares, in pieces, only those that are not in the key's main class with the others, by their
+sketches, so that hardly a pair is written that is not similar.
 
 Defined results: null texts count as empty; texts without words have the one set {0} and link among each other; texts
 with fewer words than a shingle are one shingle; repeated rows are rows of one class, as are texts with equal sets; of a
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_arrow, materialize, named, row_keyed, stable
+from .common import fitted, fresh, map_arrow, materialize, named, row_keyed, stable
 from .simhash import SEED, classes, shingle_hashes
 
 #: Words of a shingle; the similarity is TOP / BELOW at least; bits of a ball.
@@ -43,7 +45,10 @@ MISSED = 0.003
 #: smallest sets of similarity 4/5 have; others differ in half of all bits.
 NEAR_64, NEAR_512 = 24, 130
 #: Texts that pair fully under one key; neighbours of each beyond that; least rows, and share of all, of a key in pieces.
-SMALL, BESIDE, PIECE, PIECE_SHARE = 32, 2, 4096, 1e-6
+SMALL, BESIDE, PIECE, PIECE_SHARE = 5, 1, 4096, 1e-6
+#: Bits of a sketch; shingles from which on it is made of a half, a quarter, ... of them; standard deviations that a sample
+#: may be off. Sketches of whole sets never exclude a similar pair, those of samples in 1 of 30,000 cases.
+SKETCH, SAMPLED, SLACK = 1024, 800, 4
 AT_ONCE = 1 << 20
 
 
@@ -80,6 +85,34 @@ def counts(found: np.ndarray, longs: int) -> np.ndarray:
     return 2 * total - len(found)
 
 
+def sketches(found: np.ndarray) -> np.ndarray:
+    """The parities of the numbers of shingles in each of SKETCH bins: they differ in no more bits than sets in shingles.
+    The first sketch is of the set's own level of sampling, the second of the next, as sizes of similar sets may straddle one."""
+    mixed = (found ^ (found >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    level, out = level_of(len(found)), []
+    for s in (level, level + 1):
+        part = mixed[(mixed >> np.uint64(20)) & np.uint64((1 << s) - 1) == 0]
+        out.append(np.packbits(np.bincount((part >> np.uint64(54)).astype(np.int64), minlength=SKETCH) & 1, bitorder="little"))
+    return np.concatenate(out).view("<i8")
+
+
+def level_of(size):
+    """0 below SAMPLED shingles, then one more with each doubling."""
+    return np.ceil(np.log2(np.maximum(size, SAMPLED - 1) / (SAMPLED - 1))).astype(np.int64) if isinstance(size, np.ndarray) else int(level_of(np.array([size]))[0])
+
+
+def may_be_similar(size_a: np.ndarray, a: np.ndarray, size_b: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By rows: do sizes and sketches allow the similarity?"""
+    level_a, level_b = level_of(size_a), level_of(size_b)
+    at = np.maximum(level_a, level_b)
+    half = SKETCH // 64
+    chosen = lambda v, up: np.where(up[:, None], v[:, half:], v[:, :half])
+    differ = np.bitwise_count((chosen(a, at > level_a) ^ chosen(b, at > level_b)).view(np.uint64)).sum(1, dtype=np.int64)
+    most = (size_a + size_b) * (BELOW - TOP) / (BELOW + TOP) / np.exp2(at)
+    most = np.where(at > 0, most + SLACK * np.sqrt(most), most + 1e-9)
+    return (np.abs(level_a - level_b) < 2) & (TOP * np.maximum(size_a, size_b) <= BELOW * np.minimum(size_a, size_b)) & (differ <= most)
+
+
 def probed(balance: np.ndarray, width: int, segments: int) -> np.ndarray:
     """Of rows of counts: each segment's value, and above it the places of its least certain bits, 6 bits each."""
     cut = balance[:, : width * segments].reshape(len(balance), segments, width)
@@ -90,27 +123,29 @@ def probed(balance: np.ndarray, width: int, segments: int) -> np.ndarray:
 
 
 def fingerprints(texts: DataFrame, width: int, segments: int) -> DataFrame:
-    """row, digest (of the set), size, wide (the fingerprint's bits), probes (value and ball of each segment)."""
+    """row, digest (of the set), size, sketch, wide (the fingerprint's bits), probes (value and ball of each segment)."""
     longs = -(-width * segments // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                size, digest, balance = [], [], []
+                size, digest, balance, drawn = [], [], [], []
                 for t in part.column(1).cast(pa.binary()):
                     found = shingle_set(t.as_py())
                     size.append(len(found))
                     digest.append(xxhash.xxh3_128_digest(found.tobytes()))
                     balance.append(counts(found, longs))
+                    drawn.append(sketches(found))
                 stacked = np.stack(balance)
                 wide = np.packbits(stacked > 0, axis=1, bitorder="little").view("<i8")
                 lists = lambda v: pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), lists(wide), lists(probed(stacked, width, segments))], ["row", "digest", "size", "wide", "probes"]
+                    [part.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), lists(np.stack(drawn)), lists(wide), lists(probed(stacked, width, segments))],
+                    ["row", "digest", "size", "sketch", "wide", "probes"],
                 )
 
-    return map_arrow(texts.select("row", "text"), run, "row long, digest binary, size long, wide array<long>, probes array<long>")
+    return map_arrow(texts.select("row", "text"), run, "row long, digest binary, size long, sketch array<long>, wide array<long>, probes array<long>")
 
 
 def entries(signed: DataFrame, width: int) -> DataFrame:
@@ -212,25 +247,28 @@ def sorted_runs(rows: DataFrame, *after: str) -> DataFrame:
 
 
 def apart(crowded: DataFrame) -> DataFrame:
-    """a, b: pairs of different classes under a crowded key; crowded has key, row, code, label.
+    """a, b: pairs of different classes under a crowded key that may be similar; crowded has key, row, code, label, size, sketch.
 
     The rows outside of a key's largest class go to every piece of it and meet all its rows there; where a key is of one
     class, as groups of near copies are after the first pass, nothing is compared."""
+    given = ("key", "row", "code", "label", "size", "sketch")
     of_label = materialize(crowded.groupBy("key", "label").agg(F.count("*").alias("k")))
     facts = materialize(of_label.groupBy("key").agg(F.sum("k").alias("n"), F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1"))
-    rows = crowded.join(facts, "key").select("key", "row", "code", "label", (F.col("label") != F.col("main")).alias("asks"), F.ceil(F.col("n") / PIECE).cast("int").alias("n"))
-    whole = rows.select("key", F.pmod(F.xxhash64("row"), F.col("n")).cast("int").alias("piece"), "row", "code", "label", F.lit(False).alias("asks"))
-    asking = rows.where("asks").select("key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("piece"), "row", "code", "label", "asks")
+    rows = crowded.join(facts, "key").select(*given, (F.col("label") != F.col("main")).alias("asks"), F.ceil(F.col("n") / PIECE).cast("int").alias("n"))
+    whole = rows.select(*given, F.pmod(F.xxhash64("row"), F.col("n")).cast("int").alias("piece"), F.lit(False).alias("asks"))
+    asking = rows.where("asks").select(*given, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("piece"), "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts, ends in runs(batches):
-            row, code, label = (t[c].to_numpy() for c in ("row", "code", "label"))
+            row, code, label, size = (t[c].to_numpy() for c in ("row", "code", "label", "size"))
             asks = t["asks"].to_numpy(zero_copy_only=False)
             for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+                drawn = np.stack(t["sketch"][start:end].to_numpy())
                 those = start + np.flatnonzero(~asks[start:end])
                 a, b, held = [], [], 0
                 for i in (start + np.flatnonzero(asks[start:end])).tolist():
                     other = those[(label[those] != label[i]) & near(code[those], code[i])]
+                    other = other[may_be_similar(np.full(len(other), size[i]), np.broadcast_to(drawn[i - start], (len(other), drawn.shape[1])), size[other], drawn[other - start])]
                     a.append(np.full(len(other), row[i]))
                     b.append(row[other])
                     held += len(other)
@@ -240,7 +278,7 @@ def apart(crowded: DataFrame) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return map_arrow(sorted_runs(whole.unionByName(asking)).select("key", "piece", "row", "code", "label", "asks"), run, "a long, b long")
+    return map_arrow(sorted_runs(whole.unionByName(asking)).select("piece", *given, "asks"), run, "a long, b long")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -251,11 +289,21 @@ def distance(a: Column, b: Column) -> Column:
 
 def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b: the pairs (a, b) that are similar: by the complete distance first, then by their whole sets."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    bits = signed.select("row", "size", "wide")
-    both = pairs.join(bits.withColumnsRenamed({"row": "a", "size": "size_a", "wide": "wide_a"}), "a").join(bits.withColumnsRenamed({"row": "b", "size": "size_b", "wide": "wide_b"}), "b")
-    sizes = (TOP * F.greatest("size_a", "size_b") <= BELOW * F.least("size_a", "size_b"))
-    pairs = materialize(both.where(sizes & (distance(F.col("wide_a"), F.col("wide_b")) <= NEAR_512)).select("a", "b"))
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    n = pairs.count()
+    columns = ("size", "sketch", "wide")
+    of = lambda end: signed.select(F.col("row").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns))
+    both = fitted(fitted(pairs.join(of("a"), "a"), n).join(of("b"), "b"), n).where(distance(F.col("wide_a"), F.col("wide_b")) <= NEAR_512)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sketch_a, sketch_b = (np.stack(batch[c].to_numpy(zero_copy_only=False)) for c in ("sketch_a", "sketch_b"))
+                yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(batch["size_a"].to_numpy(), sketch_a, batch["size_b"].to_numpy(), sketch_b)))
+
+    pairs = materialize(map_arrow(both.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b"), draw, "a long, b long"))
+    if pairs.isEmpty():
+        return pairs
     rows = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +339,7 @@ def near_links(texts: DataFrame, width: int | None = None, segments: int | None
     if crowded.isEmpty():
         return same, links
     label = classes(links).withColumnRenamed("node", "row")
-    crowded = materialize(crowded.join(label, "row", "left").withColumn("label", F.coalesce("label", "row")).join(signed.select("row", F.col("wide")[0].alias("code")), "row"))
+    crowded = materialize(crowded.join(label, "row", "left").withColumn("label", F.coalesce("label", "row")).join(signed.select("row", F.col("wide")[0].alias("code"), "size", "sketch"), "row"))
     return same, links.unionByName(verified(apart(crowded), signed, texts))
 
 

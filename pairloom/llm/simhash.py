@@ -7,7 +7,8 @@ and complete distances are verified. Both of a pair would find each other: it is
 bit clears it, so only the half of the ball that clears bits is enumerated.
 
 Distinct fingerprints alone take part: copies cost nothing. What meets under one table key is linked by a search that
-drops each reached fingerprint at once and hands on a spanning tree, never all pairs. Classes come from rounds of star
+drops each reached fingerprint at once and hands on a spanning tree, never all pairs; under a crowded key a second level of
+tables, exact as the first, splits the search. Classes come from rounds of star
 contraction, in tables. Joins by a key that many rows share are between stored tables, so Spark splits it between tasks.
 
 Defined results: null texts count as empty; texts without words have fingerprint zero, which links like any other; texts
@@ -17,6 +18,7 @@ with fewer words than a shingle are one shingle; repeated rows are rows of one c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, fresh, map_arrow, materialize, named, row_keyed, stable
+from .common import LOWER_BYTES, fitted, fresh, map_arrow, materialize, named, row_keyed, stable
 
 SHINGLE, SEED, RADIUS, SEGMENTS = 3, 42, 3, 2
+#: Fingerprints that meet under one key as they are, and the least share of all entries that a split key has.
+CROWD, CROWD_SHARE = 4096, 1e-6
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -106,17 +110,40 @@ def tree_links(fps: np.ndarray, own: np.ndarray, radius: int) -> tuple[list[int]
     return a, b
 
 
-def links(distinct: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
-    """a, b: verified links that connect all fingerprints (fp) connected by links within the radius."""
+def cells(fp: Column, segment: Column, segments: int, radius: int) -> Column:
+    """For what meets under a crowded key: the bits outside the segment are cut into radius + 1 parts, of which two
+    fingerprints within the radius have one in common, so each part's value is a smaller table of its own."""
+    width, parts = 64 // segments, radius + 1
+    rest = 64 - width
+    turned = reduce(lambda other, s: F.when(segment == s, F.shiftrightunsigned(fp, (s + 1) * width % 64).bitwiseOR(F.shiftleft(fp, 64 - (s + 1) * width) if (s + 1) * width < 64 else F.lit(0))).otherwise(other), range(segments), fp)
+    size = -(-rest // parts)
+    each = [F.shiftrightunsigned(turned, i * size).bitwiseAND(F.lit((1 << min(size, rest - i * size)) - 1)) for i in range(parts) if i * size < rest]
+    return F.array(*(F.lit((i + 1) << 33).bitwiseOR(e) for i, e in enumerate(each)))
+
+
+def links(distinct: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """a, b: verified links that connect all fingerprints (fp) connected by links within the radius.
+
+    Keys with over `crowd` fingerprints are split into cells, so no key is one task's work; their number is below that of
+    all entries over `crowd`, and their table below the inverse of CROWD_SHARE, so it is broadcast."""
     all_keys = distinct.select("fp", F.explode(probes(F.col("fp"), segments, radius)).alias("p")).select("fp", "p.segment", "p.key", "p.own")
+    tables = all_keys.where("own").select("segment", "key").distinct()
+    met = materialize(all_keys.join(tables, ["segment", "key"], "left_semi"))
+    least = max(crowd, int(met.count() * CROWD_SHARE))
+    crowded = materialize(met.groupBy("segment", "key").agg(F.count("*").alias("n")).where(F.col("n") > least).select("segment", "key"))
+    if crowded.isEmpty():
+        met = met.withColumn("cell", F.lit(0).cast("long"))
+    else:
+        split = met.join(F.broadcast(crowded), ["segment", "key"]).withColumn("cell", F.explode(cells(F.col("fp"), F.col("segment"), segments, radius)))
+        met = met.join(F.broadcast(crowded), ["segment", "key"], "left_anti").withColumn("cell", F.lit(0).cast("long")).unionByName(split)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; runs of one key can go over batches."""
+        """Rows come sorted by key and cell; runs of one can go over batches."""
         kept: pa.Table | None = None
 
         def solve(t: pa.Table) -> pa.RecordBatch:
             fps, own = t["fp"].to_numpy().view(np.uint64), t["own"].to_numpy(zero_copy_only=False)
-            change = np.flatnonzero(np.diff(t["segment"].to_numpy()) | np.diff(t["key"].to_numpy())) + 1
+            change = np.flatnonzero(np.diff(t["segment"].to_numpy()) | np.diff(t["key"].to_numpy()) | np.diff(t["cell"].to_numpy())) + 1
             a: list[int] = []
             b: list[int] = []
             starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(fps)]])
@@ -138,7 +165,7 @@ def links(distinct: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -
                 continue
             now = pa.Table.from_batches([batch])
             kept = pa.concat_tables([kept, now]) if kept is not None else now
-            last = pc.and_(pc.equal(kept["segment"], kept["segment"][-1]), pc.equal(kept["key"], kept["key"][-1]))
+            last = reduce(pc.and_, (pc.equal(kept[c], kept[c][-1]) for c in ("segment", "key", "cell")))
             head = kept.filter(pc.invert(last))
             if head.num_rows:
                 yield solve(head.combine_chunks())
@@ -146,41 +173,43 @@ def links(distinct: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS) -
         if kept is not None and kept.num_rows:
             yield solve(kept.combine_chunks())
 
-    tables = all_keys.where("own").select("segment", "key").distinct()
-    met = all_keys.join(tables, ["segment", "key"], "left_semi").sortWithinPartitions("segment", "key")
-    return map_arrow(met.select("segment", "key", "own", "fp"), meet, "a long, b long").distinct()
+    ordered = met.repartition("segment", "key", "cell").sortWithinPartitions("segment", "key", "cell")
+    return map_arrow(ordered.select("segment", "key", "cell", "own", "fp"), meet, "a long, b long").distinct()
 
 
-def stars(edges: DataFrame) -> DataFrame:
-    """u, v with u > v: one round that hangs every node's neighbours on the least of them.
+def stars(edges: DataFrame, n: int) -> DataFrame:
+    """u, v with u > v, of n edges: one round that hangs every node's neighbours on the least of them.
 
     First the greater neighbours of each node, then the lesser ones and the node itself, are linked to the least node
     beside it. Least nodes are counted ahead and stored, so both joins are between stored tables and a node with many
     neighbours, on one side only, can be split between tasks."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-    large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-    least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
-    small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-    return materialize(small.select("e.u", "e.v").where("u <> v").distinct())
+    least = materialize(fitted(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), n))
+    large = fitted(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), n)
+    large = materialize(fitted(large.distinct(), n))
+    least = materialize(fitted(large.groupBy("u").agg(F.min("v").alias("m")), n))
+    small = fitted(large.join(least, "u"), n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+    return materialize(fitted(small.select("e.u", "e.v").where("u <> v").distinct(), n))
+
+
+def are_stars(edges: DataFrame, n: int) -> bool:
+    """Does every u have one v, which is no u itself?"""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    deep = ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("least")).where("ups > 1 or ups = 1 and least = 0")
+    return fitted(deep, n).isEmpty()
 
 
 def classes(edges: DataFrame) -> DataFrame:
-    """node, label (the least node of its component) for all nodes of a, b edges between different nodes.
-
-    Rounds of star contraction: edges never grow in number, distances halve, and when nothing changes each component is
-    one star. All in tables: no node's neighbours meet in one row."""
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-    before = mark(now)
-    while before[0]:
-        now = stars(now)
-        after = mark(now)
-        if after == before:
-            break
-        before = after
-    found = now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-    return materialize(found)
+    """node, label (the least node of its component) for all nodes of a, b edges between different nodes; a stored table.
+
+    Rounds of star contraction: edges never grow in number, distances halve, and at the end each component is one star.
+    All in tables: no node's neighbours meet in one row."""
+    n = edges.count()
+    now = materialize(fitted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), n))
+    while not are_stars(now, n):
+        now = stars(now, n)
+    roots = fitted(now.select("v").distinct(), n)
+    return materialize(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("label"))))
 
 
 def near_groups(docs: DataFrame, words: int = SHINGLE, segments: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:

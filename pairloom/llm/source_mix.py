@@ -18,15 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, join_spread, materialize, named, row_keyed, stable
+from .common import WORD, fitted, fresh, join_spread, materialize, named, row_keyed, stable
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
 #: Relative error of a source's sum; steps after which bisection alone has reached the precision of a double.
 TOLERANCE, MOST_STEPS = 1e-9, 200
-#: Documents of a part of a source; candidates of a round of moves for each source and power of two of the size; the unit
-#: of fractions is 2 ** -UNIT.
-PART, SLOTS, UNIT = 20_000, 8, 40
+#: Documents of a part of a source, and most parts of one; candidates of a round of moves for each source and power of two
+#: of the size; the unit of fractions is 2 ** -UNIT.
+PART, PARTS, SLOTS, UNIT = 1000, 4096, 16, 40
 #: A source: its name, and whether it has one, so that joins need no comparison of nulls.
 SOURCE = ["has_source", "source"]
 
@@ -77,7 +77,7 @@ def tilts(sizes: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
         .withColumn("full", F.col("target") >= F.col("source_size") * cap * (1 - TOLERANCE))
         .withColumns({"lam": F.lit(0.0), "lo": F.lit(-1e3), "hi": F.lit(1e3), "done": (F.col("source_size") == 0) | F.col("full")})
     )
-    sizes = sizes.where("size > 0")
+    sizes, n = sizes.where("size > 0"), targets.count()
     for _ in range(MOST_STEPS):
         if state.where(~F.col("done")).isEmpty():
             return state
@@ -93,6 +93,7 @@ def tilts(sizes: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
                 F.sum(F.when(inside, F.col("n") * F.col("size") * x * tilted).otherwise(0.0)).alias("slope"),
             )
         )
+        sums = fitted(sums, n)
         off = F.col("taken") - F.col("target")
         lo, hi = F.when(off < 0, F.col("lam")).otherwise(F.col("lo")), F.when(off > 0, F.col("lam")).otherwise(F.col("hi"))
         newton = F.col("lam") - off / F.col("slope")
@@ -111,14 +112,14 @@ def tilts(sizes: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 8) -> DataFrame:
     """One row per document of a `stable` table: row, doc_id, source, size, source_size, target, rate, copies, taken (size * copies)."""
     counted = materialize(row_keyed(docs.select("doc_id", "source", "text"), "row").select("row", "doc_id", *with_source(F.col("source")), word_count(F.col("text")).alias("size")))
-    sizes = materialize(counted.groupBy(*SOURCE, "size").agg(F.count("*").alias("n")))
-    state = tilts(sizes, source_targets(sizes, weights, cap), cap)
     total = counted.count()
+    sizes = materialize(fitted(counted.groupBy(*SOURCE, "size").agg(F.count("*").alias("n")), total))
+    state = tilts(sizes, source_targets(sizes, weights, cap), cap)
     of_source = join_spread(counted, state.withColumn("n", F.col("n_docs")), SOURCE, total)
     tilted = F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)))
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("full"), F.lit(float(cap))).otherwise(F.least(tilted, F.lit(float(cap))))
     shuffled = F.xxhash64(F.lit(seed), "doc_id", "size")
-    part = F.pmod(shuffled, F.ceil(F.col("n_docs") / PART))
+    part = F.pmod(shuffled, F.least(F.ceil(F.col("n_docs") / PART), F.lit(PARTS)))
     in_order = Window.partitionBy(*SOURCE, "part").orderBy("size", "shuffled", "row")
     past = F.sum("fraction").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) + F.pmod(F.xxhash64(F.lit(seed), *SOURCE, "part"), F.lit(1 << UNIT))
     extra = F.shiftright(past, UNIT) - F.shiftright(past - F.col("fraction"), UNIT)
@@ -138,7 +139,7 @@ def moved(rounded: DataFrame, cap: int, total: int) -> DataFrame:
     size, and slot of a hash: a bounded number a source. Each round brings a source nearer to its target or ends."""
     while True:
         rest = rounded.groupBy(*SOURCE).agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("rest"), F.count("*").alias("n"))
-        rest = materialize(rest.select(*SOURCE, F.round("rest").cast("long").alias("rest"), "n").where("rest <> 0"))
+        rest = materialize(fitted(rest, total).select(*SOURCE, F.round("rest").cast("long").alias("rest"), "n").where("rest <> 0"))
         room = F.when(F.col("rest") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
         able = join_spread(rounded, rest, SOURCE, total).where((F.col("size") > 0) & (F.abs("rest") >= F.col("size")) & room)
         picked = (
@@ -150,7 +151,7 @@ def moved(rounded: DataFrame, cap: int, total: int) -> DataFrame:
         )
         start = F.struct(F.abs("rest").alias("left"), F.filter("cs", lambda c: F.lit(False)).alias("chosen"))
         step = lambda acc, c: F.when(c["size"] <= acc["left"], F.struct((acc["left"] - c["size"]).alias("left"), F.concat(acc["chosen"], F.array(c)).alias("chosen"))).otherwise(acc)
-        moves = materialize(picked.select(F.signum("rest").cast("int").alias("move"), F.explode(F.aggregate("cs", start, step)["chosen"]).alias("c")).select("c.row", "move"))
+        moves = materialize(fitted(picked, total).select(F.signum("rest").cast("int").alias("move"), F.explode(F.aggregate("cs", start, step)["chosen"]).alias("c")).select("c.row", "move"))
         if moves.isEmpty():
             return rounded
         rounded = materialize(rounded.join(moves, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0))).drop("move"))

@@ -90,7 +90,8 @@ def test_simhash_groups(spark, hard):
     assert sum(r.first for r in got) == len(set(roots))
 
 
-def test_dense_and_chained_fingerprints(spark):
+@pytest.mark.parametrize("crowd", [4096, 5])
+def test_dense_and_chained_fingerprints(spark, crowd):
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 1 << 63, dtype=np.uint64)
     near = [int(centre) ^ sum(1 << int(b) for b in rng.choice(12, rng.integers(0, 6), replace=False)) for _ in range(400)]
@@ -99,8 +100,8 @@ def test_dense_and_chained_fingerprints(spark):
         chain.append(chain[-1] ^ (1 << k % 64) ^ (1 << (k * 7 + 3) % 64) ^ (1 << (k * 5 + 1) % 64))
     fps = sorted({*near, *chain, *(int(x) for x in rng.integers(0, 1 << 63, 300)), 0, 7})
     df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
-    edges = simhash.links(df)
-    assert edges.count() < 8 * len(fps)
+    edges = simhash.links(df, crowd=crowd)
+    assert edges.count() < (8 if crowd > 5 else 32) * len(fps)
     label = {r.node & (1 << 64) - 1: r.label for r in simhash.classes(edges).collect()}
     roots = brute_components(fps)
     pairs = {(r, label.get(f, ("alone", f))) for f, r in zip(fps, roots, strict=True)}

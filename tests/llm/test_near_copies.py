@@ -82,6 +82,20 @@ def test_share_of_pairs_that_meet(width):
     assert missed <= 5 and most <= near_copies.NEAR_512
 
 
+@pytest.mark.parametrize("n", [1, 5, 60, 700, 3000])
+def test_sketches_exclude_no_similar_pair(n):
+    rng, kept = np.random.default_rng(8), {4: 0, 5: 0}
+    for _ in range(60):
+        for share in kept:  # of similarity 4/5 (or the next above), and of about 2/3
+            both = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            gone = len(both) // 10 if share == 4 else len(both) // 6
+            a, b = both[gone:], both[: len(both) - gone]
+            found = near_copies.may_be_similar(*(np.array([v]) for v in (len(a), near_copies.sketches(a), len(b), near_copies.sketches(b))))
+            assert found[0] or not near_copies.similar(a, b)
+            kept[share] += int(found[0])
+    assert kept[4] == 60 and (n < 60 or kept[5] <= 12)
+
+
 def test_counts_of_bits():
     found = np.random.default_rng(6).integers(0, 1 << 63, 9000, dtype=np.uint64)
     whole = near_copies.counts(found, 9)
