@@ -3,6 +3,11 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. Each stage works on what
 the one before kept, written as Parquet and read again. All but the last return the columns of `documents`; the last
 returns the packed pieces.
+
+Defined results of every stage: null texts count as empty; repeated rows and rows without doc_id are rows of their own
+(exact_dedup and near-dedup keep one of them); ties go to the first row; an empty table gives an empty table; other
+columns, whatever their names, are kept as they are. The quality stage reads labels of the input folder and never those
+of the held-out fold.
 """
 
 from __future__ import annotations
@@ -17,27 +22,28 @@ from pairloom.llm.queries import tokenizer_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go (operator 10)."""
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
+    """Of equal texts the document with the largest doc_id stays (operator 5)."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays (operator 3, with fingerprints wide enough
+    for texts whose five-word shingles have a similarity of 0.8, and an exact check)."""
     return near_copies.drop_near_copies(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay as often as the mix takes them."""
+    """Documents stay as often as the mix takes them (operator 8)."""
     return source_mix.mixed_documents(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents placed in sequences."""
+    """Pieces of documents placed in sequences (operator 6)."""
     return packing.pack_documents(docs, tokenizer_path()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
