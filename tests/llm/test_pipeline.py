@@ -76,13 +76,21 @@ def test_packing(steps):
     assert max(bins.values()) <= 2048 and len(bins) <= -(-sum(bins.values()) // 2048) + 2
 
 
-@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)], [(None, None, "en", "s", None), (3, "a b", "en", None, 3), (3, "a b", "en", None, 3), (4, "", None, "s", 0)]])
-def test_stages_of_nulls_and_empty_tables(spark, rows):
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, __size int, row int".split(", `")[0])
-    for name, stage in corpus_pipeline.STAGES:
-        before, docs = docs, stored(stage(spark, docs, FOLDER), name)
-        assert name == "best_fit_packing" or docs.columns == before.columns
-    assert rows or docs.count() == 0
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "a.b", "__size", "row", "rid"]
+SCHEMA = ", ".join(f"`{c}` {'string' if c in ('text', 'lang', 'source') else 'long'}" for c in COLUMNS)
+
+
+@pytest.mark.parametrize("rows", [[], [(None,) * 9], [(None, None, "en", "s", None, 1, 2, 3, 4), (3, "a b", "en", None, 3, 5, 6, 7, 8), (3, "a b", "en", None, 3, 5, 6, 7, 8), (4, "", None, "s", 0, 1, 1, 1, 1)]], ids=["empty", "nulls", "repeated"])
+def test_stages_of_hard_tables(spark, rows):
+    """Nulls in every column, repeated rows, empty tables, and columns that clash with those of the operators."""
+    docs = spark.createDataFrame(rows, SCHEMA)
+    given = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, FOLDER), name)
+        assert docs.columns == COLUMNS and {tuple(r) for r in docs.collect()} <= given
+    assert docs.count() == 0 if not rows else True
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+    assert packed.count() == docs.count() and packed.columns[:2] == ["doc_id", "piece"]
 
 
 def test_run_gives_the_last_stage(spark, steps):
