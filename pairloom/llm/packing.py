@@ -6,7 +6,7 @@ islands: crossover injects whole well-filled bins of another packing, drops the
 the displaced pieces back, by exchange for shorter ones where that fills a bin better, then best-fit. After each epoch the best packing of an island replaces the worst of the next one
 in the ring; the best of a block's islands counts. An island rests as soon as no packing can have fewer bins.
 
-Blocks are not alone: the least filled bins of all blocks, and those with the most pieces, are opened after a round and
+Blocks are not alone: the bins of all blocks that are not full, and some with many pieces, are opened after a round and
 their pieces are dealt to fewer blocks, which evolve again, until one block is left (or opening frees as many pieces as before). So what the split
 in blocks costs is won back, whatever the number of blocks.
 
@@ -31,9 +31,9 @@ from .common import map_arrow, map_pandas, materialize, row_keyed, stable
 from .tokens import text_slices, word_bpe
 
 CAPACITY, END_ID = 2048, 0
-#: Pieces of a block, the share of its bins that is opened after a round, and how far a block is searched (TRIED: bins that
-#: displaced pieces are offered to in one step).
-BLOCK, OPENED, ISLANDS, EPOCHS, GENERATIONS, POPULATION, TRIED = 4096, 1 / 8, 2, 2, 20, 6, 128
+#: Pieces of a block, the most of its bins that are opened after a round for not being full and for having many pieces, and
+#: how far a block is searched (TRIED: bins that displaced pieces are offered to in one step).
+BLOCK, OPENED, FINEST, ISLANDS, EPOCHS, GENERATIONS, POPULATION, TRIED = 4096, 1 / 2, 1 / 32, 2, 2, 20, 6, 128
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -244,8 +244,8 @@ def placed(blocks: DataFrame, capacity: int, number: int) -> DataFrame:
                 offset = np.zeros(len(order), np.int64)
                 offset[order] = before - np.maximum.accumulate(np.where(head, before, 0))
                 filled = np.bincount(owner, length).astype(np.int64)
-                some = 2 + int(len(filled) * OPENED)
-                worst, finest = np.argsort(filled, kind="stable")[:some], np.argsort(-np.bincount(owner), kind="stable")[: some // 4 + 1]
+                worst = np.argsort(filled, kind="stable")[: 2 + int(len(filled) * OPENED)]
+                finest = np.argsort(-np.bincount(owner), kind="stable")[: 1 + int(len(filled) * FINEST)]
                 opened = np.isin(owner, np.union1d(worst[filled[worst] < capacity], finest) if (filled < capacity).any() else worst[:0])
                 columns = [pa.array([x["row"] for x in items], pa.int64()), pa.array([x["piece"] for x in items], pa.int32()), pa.array(length), pa.array(owner.astype(np.int64) + (b << 24) + (number << 58)), pa.array(offset), pa.array(opened)]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "piece", "length", "sequence_id", "offset", "opened"])
