@@ -3,12 +3,13 @@
 Documents become pieces of at most `capacity` tokens. Pieces are dealt by hash into blocks of about BLOCK pieces, so a
 source, copies or one long document spread evenly and no group grows with the input. Every block evolves on several
 islands: crossover injects whole well-filled bins of another packing, drops the bins that repeat their pieces and puts
-the displaced pieces back, by exchange for shorter ones where that fills a bin better, then best-fit. After each epoch the best packing of an island replaces the worst of the next one
-in the ring; the best of a block's islands counts. An island rests as soon as no packing can have fewer bins.
+the displaced pieces back, by exchange for shorter ones where that fills a bin better, then best-fit. After each epoch
+the best packing of an island replaces the worst of the next one in the ring; the best of a block's islands counts. An
+island rests as soon as no packing can have fewer bins.
 
 Blocks are not alone: the bins of all blocks that are not full, and some with many pieces, are opened after a round and
-their pieces are dealt to fewer blocks, which evolve again, until one block is left (or opening frees as many pieces as before). So what the split
-in blocks costs is won back, whatever the number of blocks.
+their pieces are dealt to fewer blocks, which evolve again, until one block is left (or opening frees as many pieces as
+before). So what the split in blocks costs is won back, whatever the number of blocks.
 
 Defined results: null texts count as empty and are one piece of the single end id; repeated rows are pieces of their
 own; empty tables give empty results; other columns are not looked at.
