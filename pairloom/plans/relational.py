@@ -57,6 +57,7 @@ pair("b05_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FR
 pair("b05_not_in", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 300000)")
 pair("b06_cross", "SELECT n_name, r_name FROM {nation} CROSS JOIN {region}")
 pair("b06_theta", "SELECT a.s_suppkey AS lo, b.s_suppkey AS hi FROM {supplier} a JOIN {supplier} b ON a.s_acctbal < b.s_acctbal AND a.s_nationkey = b.s_nationkey")
+pair("b06_theta_range", "SELECT a.n_name AS lo, b.n_name AS hi FROM {nation} a JOIN {nation} b ON a.n_nationkey < b.n_nationkey")
 pair("b07_correlated", "SELECT c_custkey, (SELECT max(o_totalprice) FROM {orders} WHERE o_custkey = c_custkey) AS top FROM {customer}")
 pair("b07_lateral_top1", "SELECT c_custkey, t.o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t")
 pair("b08_group_having", "SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, round(sum(l_quantity), 2) AS qty, count(*) FILTER (WHERE l_discount > 0.05) AS cut FROM {lineitem} GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10")
