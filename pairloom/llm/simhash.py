@@ -17,6 +17,7 @@ with fewer words than a shingle are one shingle; repeated rows are rows of one c
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,20 +33,33 @@ from .common import LOWER_BYTES, fitted, fresh, map_arrow, materialize, named, r
 SHINGLE, SEED, RADIUS, SEGMENTS = 3, 42, 3, 2
 #: Fingerprints that meet under one key as they are, and the least share of all entries that a split key has.
 CROWD, CROWD_SHARE = 4096, 1e-6
-WHITE = np.zeros(256, bool)
-WHITE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Bytes of a text whose words are held at once.
+PART = 1 << 20
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def shingle_hashes(text: bytes, words: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """XXH64 of each run of `words` words of the lower-cased text, joined by single spaces."""
-    found = text.translate(LOWER_BYTES).split()
-    if not found:
-        return np.zeros(0, np.uint64)
+    """XXH64 of each run of `words` words of the lower-cased text, joined by single spaces; long texts part by part, each
+    with the last words of the one before."""
+    out: list[np.ndarray] = []
+    carried: list[bytes] = []
+    at = 0
+    while at < len(text):
+        cut = SPACE.search(text, at + PART)
+        stop = cut.start() if cut else len(text)
+        found = carried + text[at:stop].translate(LOWER_BYTES).split()
+        if len(found) >= words:
+            out.append(runs_hashed(found, words, seed))
+        carried, at = found[max(0, len(found) - words + 1) :], stop
+    if out:
+        return np.concatenate(out)
+    return runs_hashed(carried, len(carried), seed) if carried else np.zeros(0, np.uint64)
+
+
+def runs_hashed(found: list[bytes], words: int, seed: int) -> np.ndarray:
     joined, digest = b" ".join(found), xxhash.xxh64_intdigest
-    if len(found) <= words:
-        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate([[0], ends[: -words] + 1])
+    starts = np.concatenate([[0], ends[:-words] + 1])
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
 
 

@@ -63,6 +63,14 @@ def brute_fingerprint(text: str, words: int = 3) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def test_shingles_of_long_texts_in_parts(monkeypatch):
+    texts = [prose(1, 400), "", "  ", "one", "one two", "a b c", "É é " * 90, "x" * 500 + " y z", " lead " + prose(2, 9) + "\n"]
+    want = {(t, k): [xxhash.xxh64_intdigest(" ".join(w[i : i + k]).encode(), 42) for w in [re.findall(r"[^\x20\x09-\x0D]+", t.translate(AZ))] for i in range(max(1, len(w) - k + 1)) if w] for t in texts for k in (1, 3, 5)}
+    for part in (1 << 20, 7):
+        monkeypatch.setattr(simhash, "PART", part)
+        assert {(t, k): simhash.shingle_hashes(t.encode(), k).tolist() for t in texts for k in (1, 3, 5)} == want
+
+
 def brute_components(fps: list[int], radius: int = 3) -> list[int]:
     root = list(range(len(fps)))
 
