@@ -33,8 +33,9 @@ from .common import map_arrow, materialize
 #: Hash bins of n-grams; rows and distinct n-grams of the fit (the bounds of its sample); cost, passes, folds and the
 #: threshold of a good text.
 BINS, SAMPLE, SAMPLE_GRAMS, COST, PASSES, FOLDS, THRESHOLD = 1 << 19, 6000, 40_000_000, 1.0, 12, 5, 0.3
-#: Bytes or characters of a text that are read at once, and words whose form is remembered.
-PART, KNOWN = 1 << 19, 50_000
+#: Bytes or characters of a text that are read at once; words whose form is remembered, and how long they may be.
+PART, KNOWN, LONG_WORD = 1 << 19, 200_000, 40
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SPACE = re.compile(r"\s")
 BYTE_GRAMS, FORM_GRAMS = (2, 3, 4), (1, 2, 3)
 SMOOTH = 1.0
@@ -45,25 +46,30 @@ def hashed(values: np.ndarray) -> np.ndarray:
     return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
 
 
-def form_code(mark: bytes) -> int:
-    return zlib.crc32(mark)
+#: Codes of word forms seen by this worker, by word: alone, and after itself.
+_FORMS: tuple[dict[str, int], dict[str, int]] = ({}, {})
+
+
+def form_code(word: str, again: int) -> int:
+    """A code for a word's case, digits, the marks behind it, and whether it repeats the word before it."""
+    core = word.strip(MARKS)
+    case = "-" if not core else "u" if core.isupper() and len(core) > 1 else "t" if core.istitle() else "l" if core.islower() else "d" if core.isdigit() else "m"
+    code = zlib.crc32(f"{case}{again}{word[len(word.rstrip(MARKS)) :][:3]}".encode("utf-8", "surrogatepass"))
+    known = _FORMS[again]
+    if len(known) >= KNOWN:
+        known.clear()
+    if len(word) <= LONG_WORD:
+        known[word] = code
+    return code
 
 
 def word_forms(words: list[str], before: str | None = None) -> np.ndarray:
     """A code for the form of each word; before: the word that stands before them."""
-    codes, known = [], {}
-    for w in words:
-        same = w == before
-        code = known.get((w, same))
-        if code is None:
-            if len(known) > KNOWN:
-                known.clear()
-            core = w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-            case = "-" if not core else "u" if core.isupper() and len(core) > 1 else "t" if core.istitle() else "l" if core.islower() else "d" if core.isdigit() else "m"
-            tail = w[len(w.rstrip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")) :][:3]
-            code = known[w, same] = form_code(f"{case}{int(same)}{tail}".encode())
-        codes.append(code)
-        before = w
+    alone, after = _FORMS
+    codes = [alone[w] if w in alone else form_code(w, 0) for w in words]
+    for i, (a, b) in enumerate(zip([before, *words], words, strict=False)):
+        if a == b:
+            codes[i] = after[b] if b in after else form_code(b, 1)
     return np.array(codes, np.uint64)
 
 
