@@ -3,8 +3,8 @@
 Two texts link if their sets of five-word shingles have a Jaccard similarity of at least 4/5. A fingerprint of 64 bits
 cannot tell such pairs (they differ in some 10 bits), so fingerprints here are wide: SEGMENTS segments of WIDTH bits, a
 bit set where over half of the shingles have it set in their hash. Within each segment a small Hamming ball around the
-value is enumerated: all flips of the UNCERTAIN bits whose counts are nearest to a half, as those are the bits in which
-similar texts differ. Fingerprints that meet under a key of a segment's table are candidates; their first 64 bits, then
+value is enumerated: flips of up to FLIPS of the UNCERTAIN bits whose counts are nearest to a half, as those are the bits in
+which similar texts differ. Fingerprints that meet under a key of a segment's table are candidates; their first 64 bits, then
 their complete distances are verified; a parity sketch of the sets bounds their difference from below; and the
 similarity of what is left is counted on the whole sets.
 
@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +38,17 @@ from pyspark.sql import functions as F
 from .common import fitted, fresh, map_arrow, materialize, named, row_keyed, stable
 from .simhash import SEED, classes, shingle_hashes
 
-#: Words of a shingle; the similarity is TOP / BELOW at least; bits of a ball.
-WORDS, TOP, BELOW, UNCERTAIN = 5, 4, 5, 3
+#: Words of a shingle; the similarity is TOP / BELOW at least; bits of a ball, and how many of them are flipped at once.
+WORDS, TOP, BELOW, UNCERTAIN, FLIPS = 5, 4, 5, 3, 2
+BALL = sum(math.comb(UNCERTAIN, k) for k in range(FLIPS + 1))
 #: Width of a segment in bits: the share of pairs of similarity 4/5 that meet in one segment (of normally distributed counts).
-MEET = {24: 0.24, 28: 0.145, 32: 0.086, 36: 0.052, 40: 0.031}
-MISSED = 0.003
+MEET = {24: 0.23, 28: 0.139, 32: 0.082, 36: 0.05, 40: 0.03}
+MISSED = 0.0032
 #: Most bits of the first 64, and most of 512, in which similar sets differ: five standard deviations above what the
 #: smallest sets of similarity 4/5 have; others differ in half of all bits.
 NEAR_64, NEAR_512 = 24, 130
 #: Texts that pair fully under one key; neighbours of each beyond that; least rows, and share of all, of a key in pieces.
-SMALL, BESIDE, PIECE, PIECE_SHARE = 5, 1, 4096, 1e-6
+SMALL, BESIDE, PIECE, PIECE_SHARE = 8, 1, 4096, 1e-6
 #: Bits of a sketch; shingles from which on it is made of a half, a quarter, ... of them; standard deviations that a sample
 #: may be off. Sketches of whole sets never exclude a similar pair, those of samples in 1 of 30,000 cases.
 SKETCH, SAMPLED, SLACK = 1024, 800, 4
@@ -54,7 +57,7 @@ AT_ONCE = 1 << 20
 
 def plan(sets: int) -> tuple[int, int]:
     """Width and number of segments for so many distinct sets."""
-    width = next((w for w in MEET if sets << UNCERTAIN <= 1 << w - 1), max(MEET))
+    width = next((w for w in MEET if sets * BALL <= 1 << w - 1), max(MEET))
     return width, math.ceil(math.log(MISSED) / math.log(1 - MEET[width]))
 
 
@@ -153,9 +156,8 @@ def entries(signed: DataFrame, width: int) -> DataFrame:
     each = signed.select("row", F.col("wide")[0].alias("code"), F.posexplode("probes").alias("segment", "probe"))
     place = lambda i: F.shiftright("probe", width + 6 * i).bitwiseAND(F.lit(63)).cast("int")
     bit = [F.call_function("shiftleft", F.lit(1).cast("long"), place(i)) for i in range(UNCERTAIN)]
-    masks = [F.lit(0).cast("long")]
-    for b in bit:
-        masks += [m.bitwiseXOR(b) for m in masks]
+    none = F.lit(0).cast("long")
+    masks = [reduce(Column.bitwiseXOR, chosen, none) for k in range(FLIPS + 1) for chosen in combinations(bit, k)]
     value = F.shiftleft(F.col("segment").cast("long"), width).bitwiseOR(F.col("probe").bitwiseAND(F.lit((1 << width) - 1)))
     return each.select("row", "code", value.alias("value"), F.explode(F.array(*masks)).alias("flips")).select(F.col("value").bitwiseXOR(F.col("flips")).alias("key"), "flips", "row", "code")
 
@@ -332,7 +334,7 @@ def near_links(texts: DataFrame, width: int | None = None, segments: int | None
     groups = materialize(signed.groupBy("digest").agg(F.min("row").alias("first")))
     same = materialize(signed.select("row", "digest").join(groups, "digest").select("row", "first"))
     signed = materialize(signed.join(groups.select(F.col("first").alias("row")), "row", "left_semi").drop("digest"))
-    total = signed.count() * segments << UNCERTAIN
+    total = signed.count() * segments * BALL
     met = materialize(paired(pieces(entries(signed, width), total)))
     links = verified(met.where("b IS NOT NULL"), signed, texts)
     crowded = met.where("b IS NULL").select("key", F.col("a").alias("row"))

@@ -1,5 +1,6 @@
 """The pipeline's near copies against brute force over all pairs."""
 
+import itertools
 import random
 
 import corpus_pipeline
@@ -73,10 +74,9 @@ def test_share_of_pairs_that_meet(width):
         for probes in near_copies.probed(balance, width, segments).tolist():
             keys = set()
             for s, p in enumerate(probes):
-                values = {p & (1 << width) - 1}
-                for i in range(near_copies.UNCERTAIN):
-                    values |= {v ^ 1 << (p >> width + 6 * i & 63) for v in values}
-                keys |= {(s, v) for v in values}
+                places = [p >> width + 6 * i & 63 for i in range(near_copies.UNCERTAIN)]
+                for flips in itertools.chain.from_iterable(itertools.combinations(places, k) for k in range(near_copies.FLIPS + 1)):
+                    keys.add((s, (p & (1 << width) - 1) ^ sum(1 << b for b in flips)))
             balls.append(keys)
         missed += balls[0].isdisjoint(balls[1])
     assert missed <= 5 and most <= near_copies.NEAR_512
