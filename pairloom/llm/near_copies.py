@@ -163,7 +163,7 @@ def entries(signed: DataFrame, width: int) -> DataFrame:
 
 
 def pieces(keyed: DataFrame, total: int) -> DataFrame:
-    """The entries with `piece`: 0, but for keys with very many rows, which are cut into pieces of about PIECE rows.
+    """The entries with `piece`: 0, but for keys with very many rows, which are cut into pieces (from 1) of about PIECE rows.
 
     Buckets of keys are counted first, so only keys of crowded buckets are counted one by one; keys above the share of all
     are fewer than its inverse, so their table is bounded and broadcast."""
@@ -180,7 +180,7 @@ def pieces(keyed: DataFrame, total: int) -> DataFrame:
     hot = materialize(keyed.select("key", bucket.alias("bucket")).join(F.broadcast(chosen), "bucket", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > least))
     if hot.isEmpty():
         return keyed.withColumn("piece", F.lit(0))
-    number = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / least)).cast("int")
+    number = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / least)).cast("int") + 1
     return keyed.join(F.broadcast(hot), "key", "left").withColumn("piece", F.coalesce(number, F.lit(0))).drop("n")
 
 
@@ -214,7 +214,7 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def paired(keyed: DataFrame) -> DataFrame:
-    """a, b, key: pairs that meet under a key (key is null), and the rows (a) of keys with over SMALL rows.
+    """a, b, key: pairs that meet under a key (key is null), and the rows (a) of keys with over SMALL rows or several pieces.
 
     A pair meets under as many keys as both can flip a bit in common; it counts under the one where they flip none."""
 
@@ -223,7 +223,7 @@ def paired(keyed: DataFrame) -> DataFrame:
         for t, starts, ends in runs(batches):
             row, code, flips, key = (t[c].to_numpy() for c in ("row", "code", "flips", "key"))
             n = ends - starts
-            end, many = np.repeat(ends, n), np.repeat(n > SMALL, n)
+            end, many = np.repeat(ends, n), np.repeat(n > SMALL, n) | (t["piece"].to_numpy() > 0)
             few = np.flatnonzero(~many & (end - np.arange(len(row)) > 1))
             for step in range(1, SMALL):
                 few = few[few + step < end[few]]
