@@ -96,7 +96,7 @@ def signature(text: Column, k: int = K, l: int = L, m: int = M, rings: int = RIN
         chosen = F.transform(F.slice(F.array(*map(F.lit, range(l))), 1, F.least(n, F.lit(l))), lambda j: F.get(s, (at + j) % n))
         # Places to the high bits, to sort by them; then the hashes alone are kept.
         turned = F.transform(chosen, lambda x: F.shiftleft(x, 64 - AT_BITS).bitwiseOR(F.shiftrightunsigned(x, AT_BITS)))
-        return F.xxhash64(F.transform(F.sort_array(turned), lambda x: x.bitwiseAND(F.lit((1 << (64 - AT_BITS)) - 1)))).cast("int")
+        return F.xxhash64(F.transform(F.sort_array(turned), lambda x: x.bitwiseAND(F.lit((1 << (64 - AT_BITS)) - 1)))).bitwiseAND(F.lit(0xFFFFFFFF))
 
     each = lambda s, p: F.transform(turns, lambda t: value(s, lower_bound(s, p, t)))
     of_rings = lambda n: F.flatten(F.transform(F.array(*(ring(n, r) for r in range(rings))), lambda s: let(_powers(F.size(s)), lambda p: each(s, p))))
@@ -104,7 +104,7 @@ def signature(text: Column, k: int = K, l: int = L, m: int = M, rings: int = RIN
 
 
 def as_text(sig: Column) -> Column:
-    return F.array_join(F.transform(sig, lambda v: F.lpad(F.hex(v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
+    return F.array_join(F.transform(sig, lambda v: F.lpad(F.hex(v), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
