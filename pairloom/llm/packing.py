@@ -34,7 +34,7 @@ from .tokens import text_slices, word_bpe
 CAPACITY, END_ID = 2048, 0
 #: Pieces of a block, the most of its bins that are opened after a round for not being full and for having many pieces, and
 #: how far a block is searched (TRIED: bins that displaced pieces are offered to in one step).
-BLOCK, OPENED, FINEST, ISLANDS, EPOCHS, GENERATIONS, POPULATION, TRIED = 4096, 1 / 2, 1 / 32, 2, 2, 20, 6, 128
+BLOCK, OPENED, FINEST, ISLANDS, EPOCHS, GENERATIONS, POPULATION, TRIED = 4096, 1 / 4, 1 / 32, 2, 2, 20, 6, 128
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
