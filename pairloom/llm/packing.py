@@ -65,7 +65,6 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
                 if with_ids:
                     out, names = [*out, pa.LargeListArray.from_arrays(pa.array(np.append(first, len(full))), pa.array(full)).cast(pa.list_(pa.int64()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(out, names)
-        bpe.reset()
 
     keyed = row_keyed(stable(docs.select("doc_id", "text")), "row").select(F.col("doc_id").cast("long"), "text", "row")
     return map_arrow(keyed, cut, PIECES + (", ids array<long>" if with_ids else ""))

@@ -71,7 +71,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: i
                 number += rows
         if out is not None:
             out.close()
-        bpe.reset()
 
     return materialize(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), write, "doc_id long, file string, number long"))
 
