@@ -7,8 +7,8 @@ ones; they are put back in text order and their tuple is hashed to one signature
 if they share the minimal k-mers and their order, so the likeness falls with edit distance, not only with shared content.
 
 Orders of different rings are independent, turns of one ring are not: a text with n k-mers has at most n different tuples
-a ring. Several rings keep the spread of the likeness at that of m independent orders from some 40 words on; below, it is
-up to a fifth wider (tests measure both). All 64 orders independent would sort every text 64 times.
+a ring. Several rings keep the spread of the likeness at about that of m independent orders from some 60 words on; at 20
+words it is up to a third wider (a test measures both). All 64 orders independent would sort every text 64 times.
 
 Everything is array functions of the JVM. Defined results: null texts count as empty; texts without words have the
 fingerprint of the empty tuple, alike to each other (1.0) and unlike any other; texts with fewer than k words are one
