@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, exact_dedup, html_text, license_scan, order_minhash, packing, periodic_runs, quality, simhash, source_mix, token_files, warc
+from . import alignment, exact_dedup, html_text, license_scan, order_minhash, packing, periodic_runs, quality, simhash, source_mix, suffix_dedup, token_files, warc
 from .common import LOWER, UPPER, stable, table
 
 
@@ -57,6 +57,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_html_text": op9_html_text,
     "op10_quality": op10_quality,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_token_alignment": op12_token_alignment,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -118,4 +123,17 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op11_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+        g AS (SELECT r, p, md5(x[p + 1 : p + 200]) AS h FROM (SELECT r, x, unnest(range(octet_length(x) - 199)) AS p FROM d WHERE octet_length(x) >= 200)),
+        m AS (SELECT r, p FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1)),
+        i AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS k
+              FROM (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM m)),
+        s AS (SELECT r, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY r, k),
+        c AS (SELECT r, coalesce(lag(b) OVER w, 0) AS low, a AS high, a - b AS gone, 1 AS n FROM s WINDOW w AS (PARTITION BY r ORDER BY a)
+              UNION ALL SELECT r, max(b), NULL, 0, 0 FROM s GROUP BY r UNION ALL SELECT r, 0, NULL, 0, 0 FROM d ANTI JOIN s USING (r)),
+        k AS (SELECT r, sum(n) AS n, -sum(gone) AS gone, string_agg(hex(x[low + 1 : coalesce(high, octet_length(x))]), '' ORDER BY low) AS kept FROM c JOIN d USING (r) GROUP BY r)
+        SELECT doc_id, CAST(octet_length(x) AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(n AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM d JOIN k USING (r)""",
 }
