@@ -24,14 +24,16 @@ bound the memory.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, row_keyed, scratch, stable, stored
+from .common import join_spread, map_arrow, materialize, row_keyed, scratch, stable, stored
 from .side_files import part_of, written_by
 
 #: Bytes of a repeated string, of the grams whose least hash gives its class, and of a text looked at at a time.
@@ -213,28 +215,28 @@ def distinct_contexts(contexts: DataFrame, copies) -> DataFrame:
 
 
 def repeated_runs(contexts: DataFrame, repeat: int) -> DataFrame:
-    """(c1, c2, starts, stops) of the contexts with repeated strings; a class is in one task."""
+    """(c1, c2, starts, stops) of the contexts with repeated strings; a class is in one task. The strings of one context
+    differ, as their least gram stands elsewhere in each; so in a class of one context its copies alone decide."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(keys: list, texts: list, copies: list) -> pa.RecordBatch:
-            runs = repeats(texts, np.array(copies), repeat)
-            rows = [(*key, *run) for key, run in zip(keys, runs, strict=True) if run[0]]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["c1", "c2", "starts", "stops"])
-
-        keys, texts, copies, size, last = [], [], [], 0, None
-        for batch in batches:
-            for of, c1, c2, text, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= SORT_BYTES and of != last:
-                    yield done(keys, texts, copies)
-                    keys, texts, copies, size = [], [], [], 0
-                keys.append((c1, c2))
-                texts.append(text)
-                copies.append(n)
-                size, last = size + len(text) + 1, of
-        if keys:
-            yield done(keys, texts, copies)
-
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        found, several, size = [], [], 0
+        for _, group in itertools.chain(itertools.groupby(rows, itemgetter(0)), [(None, None)]):
+            if group is None or size >= SORT_BYTES or len(found) >= 10_000:
+                if several:
+                    runs = repeats([r[3] for r in several], np.array([r[4] for r in several]), repeat)
+                    found += [(*row[1:3], *run) for row, run in zip(several, runs, strict=True) if run[0]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], ["c1", "c2", "starts", "stops"])
+                found, several, size = [], [], 0
+            if group is not None:
+                own = list(group)
+                if len(own) > 1:
+                    several += own
+                    size += sum(len(r[3]) + 1 for r in own)
+                elif own[0][4] > 1:
+                    found.append((*own[0][1:3], [0], [len(own[0][3]) - repeat + 1]))
+
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
     dealt = contexts.select("class", "c1", "c2", "context", "copies").repartition("class").sortWithinPartitions("class")
     return map_arrow(dealt, sort, "c1 long, c2 long, starts array<int>, stops array<int>")
 
@@ -273,8 +275,8 @@ def repeated_ranges(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM, mos
     path = scratch(docs.sparkSession, "anchors")
     found.write.option("compression", "zstd").parquet(path)
     found = docs.sparkSession.read.schema(found.schema).parquet(path)
-    again = found.groupBy("class").agg(F.count("*").alias("rows")).where("rows > 1").select("class")
-    kept = found.join(again, "class", "left_semi").withColumn("part", F.shiftright("rid", 33))
+    again = materialize(found.groupBy("class").agg(F.count("*").alias("n")).where("n > 1"))
+    kept = join_spread(found, again, "class", found.count()).withColumn("part", F.shiftright("rid", 33))
     contexts = hashed(text_contexts(docs, written_by(kept, "part", "repeated"), repeat))
     path = scratch(docs.sparkSession, "contexts")
     contexts.write.option("compression", "zstd").parquet(path)
