@@ -40,6 +40,11 @@ SPLIT_BYTES, FILE_BYTES, LEVEL = 32 << 20, 256 << 20, 3
 #: Least and most bytes asked of a store at once.
 READ_BYTES = 1 << 20
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+EITHER = re.compile(re.escape(MEMBER) + b"|" + re.escape(VERSION))
+#: The longest headers of a record.
+HEADER_BYTES = 1 << 24
+#: The longest name or comment in the header of a gzip member.
+NAME_BYTES = 1 << 14
 RECORD = "file string, start long, stop long, type string, id string, refers_to string, uri string, headers map<string,string>, block binary, problem string, inner long, inner_stop long"
 
 
@@ -141,10 +146,32 @@ class Broken(Exception):
     pass
 
 
+class Short(Broken):
+    """The data end before the headers do."""
+
+
+def begins_member(view: Bytes, at: int) -> bool:
+    """If the bytes at a place can be the header of a gzip member, whose names end within NAME_BYTES; else a machine that
+    looks for their ends would read on and on."""
+    data = view.upto(at + 12 + (1 << 16) + 2 * NAME_BYTES)
+    here = at - view.base
+    if len(data) < here + 10 or data[here + 3] & 0xE0:
+        return False
+    flags, here = data[here + 3], here + 10
+    if flags & 4:
+        here += 2 + int.from_bytes(data[here : here + 2], "little")
+    for flag in (8, 16):
+        if flags & flag:
+            here = data.find(b"\0", here, here + NAME_BYTES) + 1
+            if not here:
+                return False
+    return True
+
+
 def inflated(view: Bytes, start: int) -> tuple[bytes, int, str | None]:
     """The content of the gzip member at start as far as it can be read, where that ends, and the problem if not at its end."""
     machine, at, out = zlib.decompressobj(31), start, []
-    step = 1 << 16
+    step = 1 << 11
     while not machine.eof:
         data = view.upto(at + step)
         part = bytes(data[at - view.base : at - view.base + step])
@@ -193,29 +220,40 @@ def records_in(content: bytes, intact: bool, start: int, stop: int) -> list[Foun
     return found
 
 
-def checked(data: bytes | bytearray, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """Headers and block of the record that stands in data at a place, and its length."""
-    end = data.find(b"\r\n\r\n", at) if data.startswith(VERSION, at) else -1
-    if end < 0:
-        raise Broken("no version line and headers")
-    lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-    headers = {}
-    if not re.fullmatch(r"WARC/1\.[0-9]", lines[0]):
+def headed(data: bytes | bytearray, at: int) -> tuple[dict[str, str], int]:
+    """Headers of the record that stands in data at a place, and where its block begins. Lines are read one by one and no
+    further than the first bad one, so a place that only looks like a record costs no search for an end."""
+    stop = at + HEADER_BYTES
+    line = data.find(b"\r\n", at, at + len(VERSION) + 3)
+    if line < 0:
+        raise (Short if len(data) < at + len(VERSION) + 3 and data.startswith(VERSION, at) else Broken)("no version line and headers")
+    if not re.fullmatch(rb"WARC/1\.[0-9]", data[at:line]):
         raise Broken("no version line and headers")
-    for line in lines[1:]:
-        name, colon, value = line.partition(":")
+    headers: dict[str, str] = {}
+    while True:
+        start, line = line + 2, data.find(b"\r\n", line + 2, stop)
+        if line < 0:
+            raise (Short if len(data) < stop else Broken)("no version line and headers")
+        if line == start:
+            return headers, line + 2
+        name, colon, value = data[start:line].decode("utf-8", "replace").partition(":")
         if not colon or not re.fullmatch(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+", name):
             raise Broken("a header line has no name")
         headers[name.strip().lower()] = value.strip()
+
+
+def checked(data: bytes | bytearray, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Headers and block of the record that stands in data at a place, and its length."""
+    headers, begin = headed(data, at)
     if not {"warc-type", "warc-record-id"} <= headers.keys():
         raise Broken("a header that must be there is missing")
     length = headers.get("content-length", "")
     if not re.fullmatch(r"[0-9]+", length):
         raise Broken("no content length")
-    stop = end + 4 + int(length)
+    stop = begin + int(length)
     if stop > len(data) or data[stop : stop + 4] != b"\r\n\r\n":
         raise Broken("content length does not hold")
-    block = bytes(data[end + 4 : stop])
+    block = bytes(data[begin:stop])
     claimed = headers.get("warc-block-digest", "")
     if claimed.startswith("sha1:") and claimed[5:] != digest(block):
         raise Broken("block digest differs")
@@ -227,16 +265,25 @@ def checked(data: bytes | bytearray, at: int = 0) -> tuple[dict[str, str], bytes
 
 def plain_record(view: Bytes, start: int) -> tuple[dict[str, str], bytes, int]:
     """The record that stands at start without compression."""
-    step = 1 << 16
+    step = 1 << 10
     while True:
         data = view.upto(start + step)
         at = start - view.base
-        end = data.find(b"\r\n\r\n", at)
-        told = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]+)", data[at : end + 2]) if end >= 0 else None
-        need = end + 8 + int(told[1]) - at if told else step
-        if view.base + len(data) >= view.size or told and len(data) - at >= need or end >= 0 and not told or step > 1 << 24 and end < 0:
+        whole = view.base + len(data) >= view.size
+        try:
+            headers, begin = headed(data, at)
+        except Short:
+            if whole:
+                raise
+            step *= 2
+            continue
+        length = headers.get("content-length", "")
+        need = begin - at + int(length) + 4 if re.fullmatch(r"[0-9]+", length) else 0
+        if start + need > view.size:
+            raise Broken("content length does not hold")
+        if whole or len(data) - at >= need:
             return checked(data, at)
-        step = max(2 * step, need)
+        step = need
 
 
 def salvage(source, size: int, start: int = 0, stop: int | None = None) -> Iterator[Found]:
@@ -263,7 +310,7 @@ def salvage(source, size: int, start: int = 0, stop: int | None = None) -> Itera
         here = at - view.base
         found, damage, why = [], None, "neither member nor version line"
         if data.startswith(MEMBER, here):
-            content, end, damage = inflated(view, at)
+            content, end, damage = inflated(view, at) if begins_member(view, at) else (b"", at, "member has no whole header")
             found = records_in(content, damage is None, at, end)
             why = damage or (found[0].problem if found else None) or "member is empty"
             if all(f.problem for f in found):
@@ -300,9 +347,9 @@ def sought(view: Bytes, at: int) -> int:
     """The next place at or after at where a member or version line may start; the end of the file if there is none."""
     while at < view.size:
         data = view.upto(at + READ_BYTES)
-        places = [p for p in (data.find(MEMBER, at - view.base), data.find(VERSION, at - view.base)) if p >= 0]
-        if places:
-            return view.base + min(places)
+        place = EITHER.search(data, at - view.base)
+        if place:
+            return view.base + place.start()
         at = max(at + 1, view.base + len(data) - len(VERSION) + 1)
         view.forget(at)
         if view.base + len(data) >= view.size and at >= view.size - len(VERSION):

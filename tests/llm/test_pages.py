@@ -2,10 +2,12 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import html
 import io
 import random
+import time
 
 import pytest
 
@@ -253,3 +255,42 @@ def test_extract(spark):
     got = sorted(((r.page_id, r.url, len(r.text), r.n_chars) for r in html_text.extract(pages(spark, rows)).collect()), key=str)
     assert got == [(1, "u", 3, 3), (2, None, 0, 0), (2, None, 0, 0), (3, "v", 299_999, 299_999)]
     assert html_text.extract(pages(spark, [])).count() == 0
+
+
+def seconds(function) -> float:
+    began = time.process_time()
+    function()
+    return time.process_time() - began
+
+
+@pytest.mark.parametrize("unit", [b"WARC/1.", b"WARC/1.0\r\n", b"WARC/1.1\r\na: b\r\n", warc.MEMBER, warc.MEMBER + bytes(7)])
+@pytest.mark.parametrize("packed", [False, True])
+def test_salvage_of_hostile_bytes_takes_linear_time(unit, packed):
+    def salvaged(size):
+        data = unit * (size // len(unit))
+        data = gzip.compress(data, 1) if packed else data
+        found = list(warc.salvage(io.BytesIO(data), len(data)))
+        assert all(f.problem for f in found) and found[0].start == 0 and found[-1].stop == len(data)
+
+    assert seconds(lambda: salvaged(400_000)) < 3 * seconds(lambda: salvaged(200_000)) + 1
+
+
+def test_headers_that_end_in_the_next_read_are_read():
+    long = warc.record("response", 1, "http://a/" + "x" * 300_000, b"payload")
+    for data in (long, gzip.compress(long), b"noise" + long):
+        records = [f for f in warc.salvage(io.BytesIO(data), len(data)) if not f.problem]
+        assert len(records) == 1 and records[0].block.endswith(b"payload")
+
+
+HOSTILE_PAGES = {
+    "noscript": lambda k: "<noscript>" * k,
+    "items under many containers": lambda k: "<div>" * k + "<li>x" * k,
+    "stray ends in a cell": lambda k: "<td>" + "<div>" * k + "</section>" * k + "</p>" * k,
+    "ends in a cell": lambda k: "<div>" * k + "<td>" + "</div>" * k,
+    "headings in paragraphs": lambda k: "<p><h1>" * k + "<div>" * k,
+}
+
+
+@pytest.mark.parametrize("page", HOSTILE_PAGES.values(), ids=HOSTILE_PAGES)
+def test_hostile_pages_take_linear_time(page):
+    assert seconds(lambda: html_text.parsed(page(20_000))) < 3 * seconds(lambda: html_text.parsed(page(10_000))) + 1
