@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +60,8 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 NODES, WEIGHTS = (v / 2 for v in np.polynomial.legendre.leggauss(24))
 NODES = NODES + 0.5
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+#: Cells that an end tag inside does not leave, but for these.
+CELLS, TABLE_ENDS = ("td", "th", "table"), frozenset(["tr", "tbody", "thead", "tfoot", "table", "td", "th", "body", "html"])
 CONTAINERS = BLOCKS - HEADINGS - frozenset(["p", "pre", "li", "dt", "dd", "td", "th", "tr", "thead", "tbody", "tfoot", "figcaption", "caption", "summary", "legend", "address", "ul", "ol", "dl", "dir", "table", "head", "html"])
 
 
@@ -98,9 +101,13 @@ def parsed(page: str) -> Node:
     """The tree of block elements; paragraphs are (text, characters inside links) among the children."""
     root = Node("body", None)
     stack, texts, linked, in_link = [root], [], 0, 0
-    opened: Counter[str] = Counter()  # elements on the stack by name, so that stray end tags cost nothing
+    places: defaultdict[str, list[int]] = defaultdict(list)  # on the stack, by name: no tag makes a search of the stack
+    headings: list[int] = []
     at, n = 0, len(page)
 
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
     def flush() -> None:
         nonlocal texts, linked
         if texts:
@@ -111,8 +118,11 @@ def parsed(page: str) -> Node:
 
     def close(upto: int) -> None:
         flush()
-        opened.subtract(s.tag for s in stack[upto:])
+        for s in stack[upto:]:
+            places[s.tag].pop()
         del stack[upto:]
+        while headings and headings[-1] >= upto:
+            headings.pop()
 
     while at < n:
         m = TAG.search(page, at)
@@ -135,17 +145,14 @@ def parsed(page: str) -> Node:
                 flush()
             elif tag in BLOCKS:
                 flush()
-                for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
-                    if stack[k].tag == tag:
-                        close(k)
-                        break
-                    if stack[k].tag in ("td", "th", "table") and tag not in ("tr", "tbody", "thead", "tfoot", "table", "td", "th", "body", "html"):
-                        break
+                mine = innermost((tag,))
+                if mine and (tag in TABLE_ENDS or mine >= innermost(CELLS)):
+                    close(mine)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
             if tag == "noscript":
                 continue
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = page.find(">", end.start()) + 1 or n if end else n
             continue
         if tag == "a":
@@ -158,28 +165,23 @@ def parsed(page: str) -> Node:
             flush()
             if tag in ("html", "body"):
                 continue
-            if tag in CLOSES_P and opened["p"]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        close(k)
-                        break
-                    if stack[k].tag not in HEADINGS:
-                        break
+            if tag in CLOSES_P and places["p"]:
+                mine = places["p"][-1]
+                if len(headings) - bisect_right(headings, mine) == len(stack) - 1 - mine:  # nothing but headings stands in it
+                    close(mine)
             if tag in ENDS:
-                mine, limit = ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in mine:
-                        close(k)
-                        break
-                    if stack[k].tag in limit:
-                        break
-            if opened["head"] and tag != "head":
-                close(next(k for k, s in enumerate(stack) if s.tag == "head"))
+                mine, limit = map(innermost, ENDS[tag])
+                if mine and mine >= limit:
+                    close(mine)
+            if places["head"] and tag != "head":
+                close(places["head"][0])
             node = Node(tag, stack[-1])
-            node.out = unwanted(tag, m[3], opened["article"] + opened["main"] > 0)
+            node.out = unwanted(tag, m[3], bool(places["article"] or places["main"]))
             stack[-1].children.append(node)
+            places[tag].append(len(stack))
+            if tag in HEADINGS:
+                headings.append(len(stack))
             stack.append(node)
-            opened[tag] += 1
             if m[3].endswith("/") and tag == "svg":
                 close(len(stack) - 1)
     flush()
