@@ -5,8 +5,8 @@ and stay at or below the cap: rate = min(cap, exp(lambda_source * size / mean si
 dual that separates by source; safeguarded Newton steps for all sources at once run over a histogram of sizes. Rates
 are then rounded to whole copies systematically: documents of a part of a source stand in order of size, and one more
 copy is taken each time the running sum of the rates' fractions passes a whole number, so a part misses its sum of words
-by less than its longest document. Rounds of single moves by one copy then bring each source as near to its target as
-its documents allow.
+by less than its longest document. At most as many rounds of single moves as the cap then bring each source as near to its
+target as its documents allow.
 
 Defined results: null texts have size 0; a null source is a source of its own, ordered last; empty tables give empty
 results; sources whose texts are all empty take nothing; repeated rows, and rows without a doc_id, are rows of their own;
@@ -22,11 +22,11 @@ from .common import WORD, fitted, fresh, join_spread, materialize, named, row_ke
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
-#: Relative error of a source's sum; steps after which bisection alone has reached the precision of a double.
-TOLERANCE, MOST_STEPS = 1e-9, 200
-#: Documents of a part of a source, and most parts of one; candidates of a round of moves for each source and power of two
-#: of the size; the unit of fractions is 2 ** -UNIT.
-PART, PARTS, SLOTS, UNIT = 1000, 4096, 16, 40
+#: Relative error of a source's sum.
+TOLERANCE = 1e-9
+#: Documents of a part of a source, and most parts of one; bits of the hash that part equal sizes in a round of moves; the
+#: unit of fractions is 2 ** -UNIT.
+PART, PARTS, PART_BITS, UNIT = 1000, 4096, 12, 40
 #: A source: its name, and whether it has one, so that joins need no comparison of nulls.
 SOURCE = ["has_source", "source"]
 
@@ -69,16 +69,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 def tilts(sizes: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
     """targets with lam, the solution of the dual: sum of size * min(cap, exp(lam * size / mean)) = target.
 
-    Newton steps; one that leaves the bracket known so far is replaced by a bisection. All sources step together; the
-    histogram is read once a step, whatever the number of documents.
+    Newton steps on the logarithm of the words taken; one that leaves the bracket known so far is replaced by a bisection, or by a doubling while the bracket
+    is open. All sources step together; the histogram is read once a step, whatever the number of documents. The words
+    taken grow with lam from 0 to all that the cap allows, so each open target is reached; a bracket ends at a double.
     """
     state = materialize(
         targets.withColumn("mean", F.col("source_size") / F.col("n_docs"))
         .withColumn("full", F.col("target") >= F.col("source_size") * cap * (1 - TOLERANCE))
-        .withColumns({"lam": F.lit(0.0), "lo": F.lit(-1e3), "hi": F.lit(1e3), "done": (F.col("source_size") == 0) | F.col("full")})
+        .withColumns({"lam": F.lit(0.0), "lo": F.lit(float("-inf")), "hi": F.lit(float("inf")), "done": (F.col("source_size") == 0) | F.col("full")})
     )
     sizes, n = sizes.where("size > 0"), targets.count()
-    for _ in range(MOST_STEPS):
+    while True:
         if state.where(~F.col("done")).isEmpty():
             return state
         open_ = state.where(~F.col("done"))
@@ -94,19 +95,19 @@ def tilts(sizes: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
             )
         )
         sums = fitted(sums, n)
-        off = F.col("taken") - F.col("target")
-        lo, hi = F.when(off < 0, F.col("lam")).otherwise(F.col("lo")), F.when(off > 0, F.col("lam")).otherwise(F.col("hi"))
-        newton = F.col("lam") - off / F.col("slope")
-        after = F.when((F.col("slope") > 0) & (newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
-        met = F.abs(off) <= F.col("target") * TOLERANCE
-        closed = hi - lo <= F.lit(1e-14) * (F.abs("lam") + 1)
-        state = materialize(
-            state.join(sums, SOURCE, "left").select(
-                *SOURCE, "source_size", "n_docs", "target", "mean", "full",
-                *(F.when(F.col("done") | F.col("taken").isNull(), F.col(c)).otherwise(v).alias(c) for c, v in (("lam", F.when(met, F.col("lam")).otherwise(after)), ("lo", lo), ("hi", hi), ("done", met | closed))),
-            )
-        )
-    raise RuntimeError("the dual did not settle")
+        below, at = F.col("off") < 0, F.col("lam")
+        step = state.join(sums, SOURCE, "left").withColumn("off", F.col("taken") - F.col("target"))
+        step = step.withColumns({"low": F.when(below, at).otherwise(F.col("lo")), "high": F.when(F.col("off") > 0, at).otherwise(F.col("hi")), "newton": at - F.ln(F.try_divide("taken", "target")) * F.try_divide("taken", "slope"), "reach": 2 * F.abs(at) + 8})
+        step = materialize(fitted(step, n))  # a step's choices on stored numbers: short plans
+        near = (F.col("slope") > 0) & (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high")) & (F.abs(F.col("newton") - at) < F.col("reach"))
+        held = (F.col("low") > float("-inf")) & (F.col("high") < float("inf"))
+        out = F.when(below, F.least("high", at + F.col("reach"))).otherwise(F.greatest("low", at - F.col("reach")))
+        after = F.when(near, F.col("newton")).when(held, (F.col("low") + F.col("high")) / 2).otherwise(out)
+        met = F.abs("off") <= F.col("target") * TOLERANCE
+        closed = F.col("high") - F.col("low") <= F.lit(1e-14) * (F.abs(at) + 1)
+        kept = F.col("done") | F.col("taken").isNull()
+        moved_to = {"lam": F.when(met, at).otherwise(after), "lo": F.col("low"), "hi": F.col("high"), "done": met | closed}
+        state = step.select(*SOURCE, "source_size", "n_docs", "target", "mean", "full", *(F.when(kept, F.col(c)).otherwise(v).alias(c) for c, v in moved_to.items()))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 8) -> DataFrame:
@@ -135,25 +136,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
 
 def moved(rounded: DataFrame, cap: int, total: int) -> DataFrame:
     """Rows with single documents taken once more (or less) until no able document is as short as what its source still
-    lacks (or has too much). A round chooses greedily by size among one document for each source, power of two of the
-    size, and slot of a hash: a bounded number a source. Each round brings a source nearer to its target or ends."""
+    lacks (or has too much). A round goes through the sizes of a source from the longest down and takes as many of each as
+    still fit, from counts alone; so only documents that can move again are left to the next, `cap` rounds in all. Of
+    equal size those with the least hash move: counts by part of the hash say which parts do so wholly."""
     while True:
         rest = rounded.groupBy(*SOURCE).agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("rest"), F.count("*").alias("n"))
         rest = materialize(fitted(rest, total).select(*SOURCE, F.round("rest").cast("long").alias("rest"), "n").where("rest <> 0"))
         room = F.when(F.col("rest") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
         able = join_spread(rounded, rest, SOURCE, total).where((F.col("size") > 0) & (F.abs("rest") >= F.col("size")) & room)
-        picked = (
-            able.withColumn("octave", F.floor(F.log2("size")).cast("int")).withColumn("slot", F.pmod("shuffled", F.lit(SLOTS)))
-            .groupBy(*SOURCE, "octave", "slot")
-            .agg(F.min(F.struct("shuffled", "size", "row")).alias("c"), F.first("rest").alias("rest"))
-            .groupBy(*SOURCE)
-            .agg(F.sort_array(F.collect_list(F.struct(F.col("c.size").alias("size"), F.col("c.shuffled").alias("o"), F.col("c.row").alias("row"))), asc=False).alias("cs"), F.first("rest").alias("rest"))
-        )
-        start = F.struct(F.abs("rest").alias("left"), F.filter("cs", lambda c: F.lit(False)).alias("chosen"))
-        step = lambda acc, c: F.when(c["size"] <= acc["left"], F.struct((acc["left"] - c["size"]).alias("left"), F.concat(acc["chosen"], F.array(c)).alias("chosen"))).otherwise(acc)
-        moves = materialize(fitted(picked, total).select(F.signum("rest").cast("int").alias("move"), F.explode(F.aggregate("cs", start, step)["chosen"]).alias("c")).select("c.row", "move"))
-        if moves.isEmpty():
+        part = F.shiftrightunsigned("shuffled", 64 - PART_BITS).cast("int")
+        able = able.select(*SOURCE, "size", "rest", part.alias("part"), "shuffled", "row")
+        counts = materialize(fitted(able.groupBy(*SOURCE, "size", "part").agg(F.count("*").alias("k"), F.first("rest").alias("rest")), total))
+        sizes = counts.groupBy(*SOURCE, "size").agg(F.sum("k").alias("k"), F.first("rest").alias("rest")).groupBy(*SOURCE)
+        sizes = sizes.agg(F.sort_array(F.collect_list(F.struct("size", "k")), asc=False).alias("sizes"), F.first("rest").alias("rest"))
+        none = F.filter(F.transform("sizes", lambda c: F.struct(c["size"].alias("size"), c["k"].alias("take"))), lambda c: F.lit(False))
+        start = F.struct(F.abs("rest").alias("left"), none.alias("taken"))
+
+        def step(acc: Column, c: Column) -> Column:
+            take = F.least(c["k"], F.floor(acc["left"] / c["size"]).cast("long"))
+            found = F.struct((acc["left"] - take * c["size"]).alias("left"), F.concat(acc["taken"], F.array(F.struct(c["size"].alias("size"), take.alias("take")))).alias("taken"))
+            return F.when(take > 0, found).otherwise(acc)
+
+        quotas = sizes.select(*SOURCE, F.signum("rest").cast("int").alias("move"), F.explode(F.aggregate("sizes", start, step)["taken"]).alias("q")).select(*SOURCE, "move", "q.size", "q.take")
+        past = Window.partitionBy(*SOURCE, "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row a part
+        shares = counts.join(quotas, [*SOURCE, "size"]).withColumn("mine", F.least("k", F.col("take") - F.coalesce(F.sum("k").over(past), F.lit(0)))).where("mine > 0")
+        shares = materialize(fitted(shares.select(*SOURCE, "size", "part", "move", "mine"), total))
+        if shares.isEmpty():
             return rounded
+        first = Window.partitionBy(*SOURCE, "size", "part").orderBy("shuffled", "row")
+        moves = able.join(shares, [*SOURCE, "size", "part"]).withColumn("at", F.row_number().over(first)).where("at <= mine").select("row", "move")
         rounded = materialize(rounded.join(moves, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0))).drop("move"))
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -452,6 +453,57 @@ def test_mix_meets_targets(spark, hard, none):
         assert not [r for r in x if 0 < r.size <= abs(rest) and (r.copies < 3 if rest > 0 else r.copies > 0)]
 
 
+def brute_moves(rows, cap):
+    """(row, source, size, copies, target, hash): the copies after moving documents from the longest down, round by round."""
+    copies = {r[0]: r[3] for r in rows}
+    for _ in range(cap + 1):
+        moved = False
+        for source in {r[1] for r in rows}:
+            mine = [r for r in rows if r[1] == source]
+            rest = round(mine[0][4] - sum(r[2] * copies[r[0]] for r in mine))
+            step, left = (1 if rest > 0 else -1), abs(rest)
+            able = [r for r in mine if 0 < r[2] <= left and (copies[r[0]] < cap if rest > 0 else copies[r[0]] > 0)]
+            for r in sorted(able, key=lambda r: (-r[2], r[5] % (1 << 64), r[0])):
+                if r[2] <= left:
+                    copies[r[0]], left, moved = copies[r[0]] + step, left - r[2], True
+        if not moved:
+            break
+    return copies
+
+
+def test_moves_equal_brute_force(spark):
+    rng = random.Random(11)
+    for sizes in ([1], [1, 2, 3, 5, 8, 200, 3000], [7, 7, 7, 1000]):
+        rows = [(i, rng.choice("ab"), rng.choice(sizes), rng.randint(0, 3), None, rng.randint(-(1 << 63), (1 << 63) - 1)) for i in range(300)]
+        total = {s: sum(r[2] * r[3] for r in rows if r[1] == s) for s in "ab"}
+        target = {"a": total["a"] * 1.4, "b": total["b"] * 0.6 + 0.3}
+        rows = [(*r[:4], target[r[1]], r[5]) for r in rows]
+        df = spark.createDataFrame(rows, "row long, source string, size long, copies int, target double, shuffled long").withColumn("has_source", F.lit(True))
+        assert {r.row: r.copies for r in source_mix.moved(df, 3, len(rows)).collect()} == brute_moves(rows, 3)
+
+
+def test_few_long_and_many_tiny_texts_settle_in_few_rounds(spark, monkeypatch):
+    jobs = []
+    monkeypatch.setattr(source_mix, "moved", lambda *a, f=source_mix.moved: jobs.append(0) or f(*a))
+    monkeypatch.setattr(source_mix, "fitted", lambda *a, f=source_mix.fitted: jobs.append(1) or f(*a))
+    got = source_mix.mix(few(spark, [(i, "w " * (2000 if i < 50 else 1), "a" if i % 2 else "b") for i in range(3000)])).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n")).collect()
+    assert all(abs(r.t - r.n) <= 0.5 for r in got)
+    assert len(jobs[jobs.index(0) :]) <= 1 + 5 * 3  # three tables of counts a round
+
+
+def test_targets_far_from_the_sizes_are_met(spark):
+    """Tiny texts beside one of a million words: their rates need a tilt of many thousands."""
+    rows = [(0, "w " * 1_000_000, "b"), *((i, "w " * (1 + i % 3), "b") for i in range(1, 400)), *((i, "w " * 50, "a") for i in range(400, 440))]
+    sizes = few(spark, rows).select(F.lit(True).alias("has_source"), "source", source_mix.word_count(F.col("text")).alias("size")).groupBy("has_source", "source", "size").agg(F.count("*").alias("n"))
+    targets = sizes.groupBy("has_source", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
+    for target in (1e-3, 300.0, 2_000_000.0):
+        state = source_mix.tilts(sizes, targets.withColumn("target", F.least(F.lit(target), F.col("source_size") * 2.5))).collect()
+        hist = sizes.collect()
+        for s in state:
+            x = sum(h.n * h.size * min(3.0, math.exp(min(50.0, s.lam * h.size / s.mean))) for h in hist if h.source == s.source)
+            assert abs(x - s.target) <= 1e-6 * s.target + 1e-9, (s, x)
+
+
 def test_mix_of_rows_without_number_and_of_repeated_rows(spark):
     rows = [(None, "a b c d", "s")] * 500 + [(7, "a b c", "s")] * 300 + [(8, "x " * 40, "t")]
     got = source_mix.mix(few(spark, rows)).collect()
