@@ -31,10 +31,13 @@ def carried_forward(bars: DataFrame, spine: DataFrame, column: str = "close") ->
 def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, tie: str, within: str | None = None, bucket_seconds: int = 86_400) -> DataFrame:
     """Left rows with as_of_ts and as_of_value of the last right row of the key at or before ts.
 
-    Right rows stand before left rows of equal ts; of right rows of equal ts the one with the largest `tie` counts. A key
+    Right rows stand before left rows of equal ts; of right rows of equal ts the one with the largest `tie` counts (null is
+    the smallest). A null key or time matches nothing: such right rows are left out, such left rows have nulls. A key
     is cut into time buckets, so a busy key spreads over tasks: within a bucket one sorted union finds the row, and the
     last right row of earlier buckets is handed on over a table of one row a key and bucket."""
     names = left.columns
+    known = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    unknown, left, right = left.where(~known), left.where(known), right.where(known)
     bucket = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / bucket_seconds).alias("_b")
     found = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(value).alias("value"))
     kind = right.select(found.alias("f")).schema["f"].dataType
@@ -48,7 +51,8 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, tie:
     carried = marks.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), F.last("f", ignorenulls=True).over(earlier).alias("_before")).where("_before is not null")
     out = out.join(carried, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_c")), "left").withColumn("_last", F.coalesce("_last", "_before"))
     near = F.lit(True) if within is None else F.col("_last.ts") >= F.col(ts) - F.expr(f"interval {within}")
-    return out.select(*names, F.when(near, F.col("_last.ts")).alias("as_of_ts"), F.when(near, F.col("_last.value")).alias("as_of_value"))
+    found = out.select(*names, F.when(near, F.col("_last.ts")).alias("as_of_ts"), F.when(near, F.col("_last.value")).alias("as_of_value"))
+    return found.unionByName(unknown.select(*names, *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("as_of_ts", "as_of_value"))))
 
 
 def range_join(left: DataFrame, right: DataFrame, key: str, seconds: int) -> DataFrame:
@@ -77,9 +81,11 @@ def wide(bars: DataFrame, column: str = "close") -> DataFrame:
 
 
 def winsorized(ticks: DataFrame, lo: float, hi: float) -> DataFrame:
-    """Prices held between two exact quantiles of their symbol."""
-    bounds = quantile_columns(ticks, ("symbol",), "price", {"lo": lo, "hi": hi})
-    return ticks.join(bounds, "symbol").withColumn("winsorized", F.greatest(F.least("price", "hi"), F.col("lo")))
+    """All ticks, with the price held between two exact quantiles of the symbol. Ticks without symbol are a group like any
+    other; a null price stays null, and a symbol without prices has no quantiles."""
+    bounds = quantile_columns(ticks, ("symbol",), "price", {"lo": lo, "hi": hi}).withColumnRenamed("symbol", "_symbol")
+    met = ticks.join(bounds, F.col("symbol").eqNullSafe(F.col("_symbol")), "left").drop("_symbol")
+    return met.withColumn("winsorized", F.when(F.col("price").isNotNull(), F.greatest(F.least("price", "hi"), F.col("lo"))))
 
 
 def gaps(bars: DataFrame, every_seconds: int) -> DataFrame:

@@ -124,9 +124,11 @@ def performance(earned: DataFrame, per_year: int) -> DataFrame:
 
 
 def tail_risk(earned: DataFrame, level: float) -> DataFrame:
-    """Historical value at risk and expected shortfall of the bars' profit."""
-    var = quantile_columns(earned, PAIR, "pnl", {"var": level})
-    return earned.join(var, list(PAIR)).groupBy(*PAIR).agg(F.first("var").alias("value_at_risk"), F.avg(F.when(F.col("pnl") <= F.col("var"), F.col("pnl"))).alias("shortfall"))
+    """Historical value at risk and expected shortfall of the bars' profit; nulls for a pair without any. Pairs with a null
+    name are pairs like any other."""
+    var = quantile_columns(earned, PAIR, "pnl", {"var": level}).withColumnsRenamed({c: f"_{c}" for c in PAIR})
+    same = F.col("sym_y").eqNullSafe(F.col("_sym_y")) & F.col("sym_x").eqNullSafe(F.col("_sym_x"))
+    return earned.join(var, same, "left").groupBy(*PAIR).agg(F.first("var").alias("value_at_risk"), F.avg(F.when(F.col("pnl") <= F.col("var"), F.col("pnl"))).alias("shortfall"))
 
 
 def cross_section(panel: DataFrame, x: str = "x", group: str = "grp") -> DataFrame:

@@ -281,9 +281,33 @@ def a31(spark, d):
     return rounded(P.dickey_fuller(spread_of(spark, d)), "lam", "t_stat", "half_life")
 
 
-@query("a32_engle_granger")
+def _residual(out: str, source: str, names: list[str], by: str) -> str:
+    """A step of partial regressions, on the rows themselves: what `by` explains is taken out of each name."""
+    left = ", ".join(f"{c} - {by} * sum({c} * {by}) OVER p / sum({by} * {by}) OVER p AS {c}" for c in names)
+    return f"{out} AS (SELECT sym_y, sym_x, {left} FROM {source} WINDOW p AS (PARTITION BY sym_y, sym_x))"
+
+
+def _statistic(source: str, lags: int) -> str:
+    return f"""SELECT sym_y, sym_x, count(*) AS n, {lags} AS lags, sum(l * y) / sum(l * l) AS slope, sum(l * l) AS ll, sum(y * y) - sum(l * y) * sum(l * y) / sum(l * l) AS rss,
+        count(*) * ln(rss / count(*)) + {lags + 2} * ln(count(*)) AS schwarz, slope / sqrt(rss / (count(*) - {lags + 2}) / ll) AS t FROM {source} GROUP BY sym_y, sym_x"""
+
+
+_PHI = "CASE WHEN x >= 0 THEN 1 - q ELSE q END"
+_AUGMENTED = f"""v0 AS (SELECT sym_y, sym_x, bar_ts, lag(spread) OVER {_PW} AS l, spread - lag(spread) OVER {_PW} AS y FROM spreads),
+    v1 AS (SELECT *, lag(y) OVER {_PW} AS d1, lag(y, 2) OVER {_PW} AS d2 FROM v0),
+    m0 AS (SELECT sym_y, sym_x, l - avg(l) OVER p AS l, y - avg(y) OVER p AS y, d1 - avg(d1) OVER p AS d1, d2 - avg(d2) OVER p AS d2 FROM v1 WHERE d2 IS NOT NULL WINDOW p AS (PARTITION BY sym_y, sym_x)),
+    {_residual("m1", "m0", ["l", "y", "d2"], "d1")}, {_residual("m2", "m1", ["l", "y"], "d2")},
+    f AS ({_statistic("m0", 0)} UNION ALL {_statistic("m1", 1)} UNION ALL {_statistic("m2", 2)}),
+    b AS (SELECT sym_y, sym_x, any_value(n) AS n, arg_min(lags, (schwarz, lags)) AS lags, arg_min(t, (schwarz, lags)) AS t FROM f GROUP BY ALL),
+    x AS (SELECT *, CASE WHEN t <= -2.62 THEN 2.92 + 1.5012 * t + 0.039796 * t * t ELSE 2.1945 + 0.64695 * t - 0.29198 * t * t - 0.042377 * t * t * t END AS x FROM b),
+    k AS (SELECT *, 1 / (1 + 0.2316419 * abs(x)) AS k FROM x),
+    q AS (SELECT *, exp(-x * x / 2) / sqrt(2 * pi()) * (0.319381530 * k - 0.356563782 * k ** 2 + 1.781477937 * k ** 3 - 1.821255978 * k ** 4 + 1.330274429 * k ** 5) AS q FROM k),
+    r AS (SELECT *, CASE WHEN t > 0.92 THEN 1.0 WHEN t < -18.86 THEN 0.0 ELSE {_PHI} END AS p FROM q)"""
+
+
+@query("a32_engle_granger", f"WITH {_TO_SPREADS}, {_AUGMENTED} SELECT sym_y, sym_x, n, CAST(lags AS INTEGER) AS lags, round(t, 6) AS t_stat, CAST(round(p, 6) AS DOUBLE) AS p_value, p < 0.05 AS cointegrated FROM r")
 def a32(spark, d):
-    return rounded(P.engle_granger(pairs_of(spark, d)), "t_stat")
+    return rounded(P.engle_granger(pairs_of(spark, d)), "t_stat", "p_value")
 
 
 @query("a34_johansen")

@@ -9,37 +9,51 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pairloom.sources.tables import shared_path, table
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+#: Rows that one task writes to a file that arrives.
+FILE_ROWS = 1_000_000
+
+
 def landed(spark: SparkSession, folder: str, parts: int = 3, repeated: bool = False, late: bool = False) -> str:
     """Events as a folder of files that arrive in the order of time, so that state goes from batch to batch, and a last file
-    with one row without symbol a month later, whose watermark closes all windows. repeated: each file has its rows twice;
-    late: before the last file one arrives with rows of the first hour once more, long after the watermark has passed."""
+    with one row without symbol a month later, whose watermark closes all windows. repeated: each part has its rows twice;
+    late: before the last file rows of the first hour arrive once more, long after the watermark has passed. A part of
+    `files_of` files, whatever its size, is one batch of the stream; a task writes FILE_ROWS rows or so."""
     path = shared_path(spark, "landed")
     events = table(spark, folder, "events")
-    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    first, last, total = events.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
+    n = files_of(total * (1 + repeated), parts)
     step = (last - first) / parts
     part = lambda i: events.where((F.col("ts") >= F.lit(first + i * step)) & (F.lit(i == parts - 1) | (F.col("ts") < F.lit(first + (i + 1) * step))))
     closing = events.limit(1).withColumns({"ts": F.lit(last + timedelta(days=31)), "event_type": F.lit(None).cast("string")})
     files = [part(i).unionByName(part(i)) if repeated else part(i) for i in range(parts)]
     files += [events.where(F.col("ts") < F.lit(first + timedelta(hours=1)))] * late + [closing]
     for number, rows in enumerate(files):  # one write after the other: a file's age is its place in the stream
-        rows.coalesce(1).write.mode("append").parquet(f"{path}/arrived={number}")
+        (rows.repartition(n) if number < parts else rows.coalesce(n)).write.mode("append").parquet(f"{path}/arrived={number}")
     return path
 
 
-def arriving(spark: SparkSession, path: str, like: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The stream of a landed folder, a file a batch, with a watermark."""
-    stream = spark.readStream.schema(like.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
+def files_of(rows: int, parts: int) -> int:
+    """Files of each of so many parts of a table."""
+    return max(1, -(-rows // (parts * FILE_ROWS)))
+
+
+def arriving(spark: SparkSession, path: str, like: DataFrame, delay: str = "1 hour", files: int = 1) -> DataFrame:
+    """The stream of a landed folder, so many files a batch, with a watermark."""
+    stream = spark.readStream.schema(like.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(path)
     found = stream.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), "user_id").withWatermark("ts", delay)
     return found.where("symbol is not null or ts is null")  # ts keeps this after the watermark, which the closing row must move
 
 
-def ticks(spark: SparkSession, folder: str, delay: str = "1 hour", **landing) -> DataFrame:
+def ticks(spark: SparkSession, folder: str, delay: str = "1 hour", parts: int = 3, repeated: bool = False, late: bool = False) -> DataFrame:
     """Events as a stream with a watermark; zone-less times become instants of the session's zone (UTC)."""
-    return arriving(spark, landed(spark, folder, **landing), table(spark, folder, "events"), delay)
+    events = table(spark, folder, "events")
+    return arriving(spark, landed(spark, folder, parts, repeated, late), events, delay, files_of(events.count() * (1 + repeated), parts))
 
 
 def drained(stream: DataFrame) -> DataFrame:
@@ -47,8 +61,13 @@ def drained(stream: DataFrame) -> DataFrame:
     Parquet in the shared folder, nothing to the driver; the sink's log makes a batch that runs again count once."""
     spark = stream.sparkSession
     path = shared_path(spark, "drained")
-    query = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # on disk, with timers
+    try:
+        query = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -79,25 +98,60 @@ def relation(source: DataFrame, every: str) -> DataFrame:
     return source.groupBy("symbol", w.alias("w")).agg(F.round(cov / F.nullif(F.sqrt(vx * vy), F.lit(0.0)), 6).alias("corr"), F.round(cov / F.nullif(vx, F.lit(0.0)), 6).alias("slope")).select("symbol", F.col("w.start").cast("timestamp_ntz").alias("start"), "corr", "slope")
 
 
-def position_machine(signals: DataFrame, entry: float, leave: float) -> DataFrame:
-    """symbol, ts, seq, z to symbol, ts, seq, pos: the hysteresis of positions() with its state kept per symbol.
-
-    A symbol's rows of a batch are put in order of ts and seq; batches must come in the order of time, as a row older than
-    the state's would be decided late. A null z carries the position on."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pos = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])  # a symbol comes in several Arrow batches, in any order
-        z = rows.z.to_numpy(float)
-        said = np.where(z < -entry, 1, np.where(z > entry, -1, np.where(np.abs(z) < leave, 0, 2)))
-        said[np.isnan(z)] = 2
-        place = np.maximum.accumulate(np.where(said != 2, np.arange(len(said)), -1))
-        out = np.where(place >= 0, said[place], pos)
-        if len(out):
-            state.update((int(out[-1]),))
-        yield pd.DataFrame({"symbol": key[0], "ts": rows.ts, "seq": rows.seq, "pos": out.astype("int32")})
-
-    return signals.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, seq long, pos int", "pos int", "append", "NoTimeout")
+class Machine(StatefulProcessor):
+    """The hysteresis of positions() by event time. Rows wait in the state, in buckets of time, until the watermark passes
+    their bucket; then the bucket is put in order and decided from the position that the one before left. So rows may come
+    in any order within the watermark's delay, and no more than a symbol's bucket is in memory at a time."""
+
+    def __init__(self, entry: float, leave: float, seconds: int):
+        self.entry, self.leave, self.width = entry, leave, 1000 * seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.position = handle.getValueState("position", "pos int")
+        self.waiting = handle.getMapState("waiting", "bucket long, part int", "rows binary")
+        self.parts = handle.getMapState("parts", "bucket long", "n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for batch in rows:
+            at = batch.ts.astype("datetime64[us]").astype("int64").to_numpy()
+            packed = np.rec.fromarrays([at, batch.seq.to_numpy(np.int64), batch.z.to_numpy(float)], dtype=WAITING)
+            buckets = at // (1000 * self.width)
+            for bucket in np.unique(buckets).tolist():
+                n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
+                self.waiting.updateValue((bucket, n), (packed[buckets == bucket].tobytes(),))
+                self.parts.updateValue((bucket,), (n + 1,))
+                self.handle.registerTimer((bucket + 1) * self.width)
+        yield from ()  # nothing is decided before the watermark
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        over = expiredTimerInfo.getExpiryTimeInMs() // self.width
+        for bucket in sorted(b for (b,) in self.parts.keys() if b < over):
+            n = self.parts.getValue((bucket,))[0]
+            rows = np.concatenate([np.frombuffer(self.waiting.getValue((bucket, i))[0], WAITING) for i in range(n)])
+            for i in range(n):
+                self.waiting.removeKey((bucket, i))
+            self.parts.removeKey((bucket,))
+            rows = rows[np.lexsort((rows["seq"], rows["at"]))]
+            z = rows["z"]
+            said = np.where(z < -self.entry, 1, np.where(z > self.entry, -1, np.where(np.abs(z) < self.leave, 0, 2)))
+            said[np.isnan(z)] = 2
+            place = np.maximum.accumulate(np.where(said != 2, np.arange(len(said)), -1))
+            pos = np.where(place >= 0, said[place], self.position.get()[0] if self.position.exists() else 0)
+            self.position.update((int(pos[-1]),))
+            yield pd.DataFrame({"symbol": pd.Series([key[0]] * len(rows), dtype=object), "ts": pd.Series(rows["at"].astype("datetime64[us]")), "seq": rows["seq"], "pos": pos.astype("int32")})
+
+
+#: Rows of a bucket as they wait: microseconds, seq, z.
+WAITING = np.dtype([("at", "i8"), ("seq", "i8"), ("z", "f8")])
+
+
+def position_machine(signals: DataFrame, entry: float, leave: float, bucket_seconds: int = 3600) -> DataFrame:
+    """symbol, ts, seq, z to symbol, ts, seq, pos: the hysteresis of positions(), in order of ts and seq whatever the order
+    of arrival within the watermark's delay. A null z carries the position on. Needs a state store with timers: see
+    `drained`."""
+    rows = signals.select("symbol", "ts", "seq", F.col("z").cast("double").alias("z"))
+    return rows.groupBy("symbol").transformWithStateInPandas(Machine(entry, leave, bucket_seconds), "symbol string, ts timestamp, seq long, pos int", "append", "eventTime")
 
 
 def write_each_batch(stream: DataFrame, path: str) -> None:

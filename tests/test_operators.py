@@ -46,7 +46,8 @@ def test_dickey_fuller_finds_the_coefficient(spark):
     res = d - x @ b
     se = np.sqrt(res @ res / (len(d) - 2) * np.linalg.inv(x.T @ x)[0, 0])
     assert r.t_stat == pytest.approx(b[0] / se)
-    assert P.augmented(np.array(s), 0) == pytest.approx(b[0] / se)
+    plain = P.augmented_dickey_fuller(df, 0).first()
+    assert plain.t_stat == pytest.approx(b[0] / se) and (plain.n, plain.lags) == (4000, 0)
 
 
 def test_johansen_and_engle_granger_tell_related_from_unrelated(spark):
@@ -216,26 +217,129 @@ def test_as_of_over_buckets_of_a_busy_key_and_of_any_type(spark):
             assert got[i] == ((best[1], best[3]) if best else (None, None))
 
 
+def fitted_by_hand(s, max_lags):
+    """(lags, t statistic) of the least Schwarz criterion, by least squares on the same rows."""
+    d, best = np.diff(s), None
+    rows = np.arange(max_lags, len(d))
+    for lags in range(max_lags + 1):
+        x = np.column_stack([s[rows], *(d[rows - j] for j in range(1, lags + 1)), np.ones(len(rows))])
+        beta = np.linalg.lstsq(x, d[rows], rcond=None)[0]
+        left = d[rows] - x @ beta
+        t = beta[0] / np.sqrt(left @ left / (len(rows) - x.shape[1]) * np.linalg.inv(x.T @ x)[0, 0])
+        schwarz = len(rows) * np.log(left @ left / len(rows)) + x.shape[1] * np.log(len(rows))
+        best = min(best or (schwarz, lags, t), (schwarz, lags, t))
+    return best[1:]
+
+
+def test_lags_and_statistic_equal_least_squares(spark):
+    rng, rows, wanted = np.random.default_rng(21), [], {}
+    for k, (own, past) in enumerate([(0.9, 0.0), (0.7, 0.5), (1.0, -0.6), (0.2, 0.3)]):
+        s = [0.0, 0.0, 0.0, 0.0]
+        for _ in range(300):
+            s.append(s[-1] + (own - 1) * s[-1] + past * (s[-2] - s[-4]) + rng.normal())
+        rows += [("y", f"x{k}", day(i), float(v) + 1e6) for i, v in enumerate(s)]
+        wanted[f"x{k}"] = fitted_by_hand(np.array(s), 3)  # a level changes nothing
+    df = spark.createDataFrame(rows, "sym_y string, sym_x string, bar_ts timestamp_ntz, spread double").repartition(3)
+    got = {r.sym_x: r for r in P.augmented_dickey_fuller(df, 3).collect()}
+    for k, (lags, t) in wanted.items():
+        assert got[k].lags == lags and got[k].t_stat == pytest.approx(t, rel=1e-5) and got[k].n == 300
+    assert len({w[0] for w in wanted.values()}) > 1
+
+
+def test_series_without_a_statistic_give_null(spark):
+    long = [float(v) for v in np.random.default_rng(22).normal(size=40)]
+    series = {"constant": [3.0] * 40, "short": long[:5], "one": long[:1], "line": [float(i) for i in range(40)], "nulls": [None] * 40, "good": long, "big": [1e9] * 40}
+    rows = [("y", k, day(i), v) for k, s in series.items() for i, v in enumerate(s)]
+    got = {r.sym_x: r for r in P.augmented_dickey_fuller(spark.createDataFrame(rows, "sym_y string, sym_x string, bar_ts timestamp_ntz, spread double"), 2).collect()}
+    assert set(got) == set(series) and got["good"].t_stat < -3
+    assert all(got[k].t_stat is None and got[k].lags is None for k in series if k != "good")
+
+
+def test_p_values_at_published_critical_values(spark):
+    """Asymptotic critical values of the two-variable test with a constant; the function falls nowhere."""
+    at = [(-3.90, 0.01), (-3.34, 0.05), (-3.04, 0.10)]
+    df = spark.createDataFrame([(float(t),) for t, _ in at] + [(float(t),) for t in np.arange(-20, 1.2, 0.05)] + [(None,)], "t double")
+    got = [r.p for r in df.select(P.cointegration_p_value(F.col("t")).alias("p")).collect()]
+    assert all(abs(p - q) < 0.0015 for p, (_, q) in zip(got, at, strict=False))
+    curve = got[3:-1]
+    assert got[-1] is None and curve == sorted(curve) and (curve[0], curve[-1]) == (0.0, 1.0)
+
+
+def test_engle_granger_holds_no_series_in_a_worker(spark):
+    plan = P.engle_granger(pair_frame(spark, range(9), range(9)))._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "Python" not in plan and "partial_covar" in plan
+
+
+def test_nulls_match_nothing_as_of(spark):
+    import duckdb
+
+    ts = lambda v: None if v is None else T0 + datetime.timedelta(seconds=v)
+    left = [(1, ts(10), 1, 1.0), (None, ts(10), 2, 1.0), (1, None, 3, 1.0), (2, ts(10), 4, 1.0), (None, None, 5, 1.0), (3, ts(1), 6, 1.0)]
+    right = [(1, ts(5), 1, 5.0), (1, None, 2, 9.0), (None, ts(5), 3, 7.0), (2, None, 4, 8.0), (3, ts(0), 5, None)]
+    schema = "k int, ts timestamp_ntz, id int, v double"
+    got = {r.id: (r.as_of_ts, r.as_of_value) for r in panel.as_of(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "k", "ts", "v", "id").collect()}
+    con = duckdb.connect()
+    for name, rows in (("l", left), ("r", right)):
+        con.execute(f"CREATE TABLE {name} (k INT, ts TIMESTAMP, id INT, v DOUBLE)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?, ?, ?)", rows)
+    wanted = {i: (t, v) for i, t, v in con.execute("SELECT l.id, r.ts, r.v FROM l ASOF LEFT JOIN r ON l.k = r.k AND l.ts >= r.ts").fetchall()}
+    assert got == wanted and got[1] == (ts(5), 5.0) and got[2] == (None, None)
+
+
+def test_winsorizing_keeps_every_row(spark):
+    import duckdb
+
+    rows = [("a", 1.0), ("a", 2.0), ("a", 50.0), ("a", None), (None, 3.0), (None, 4.0), ("b", None)]
+    got = panel.winsorized(spark.createDataFrame(rows, "symbol string, price double"), 0.1, 0.9)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (symbol VARCHAR, price DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    sql = "WITH b AS (SELECT symbol, quantile_cont(price, 0.1) AS lo, quantile_cont(price, 0.9) AS hi FROM t GROUP BY 1) SELECT t.symbol, price, CASE WHEN price IS NOT NULL THEN greatest(least(price, hi), lo) END AS w FROM t JOIN b ON t.symbol IS NOT DISTINCT FROM b.symbol"
+    wanted = con.execute(sql).fetchall()
+    assert sorted([(r.symbol, r.price, r.winsorized) for r in got.collect()], key=repr) == [(s, p, pytest.approx(w) if w is not None else None) for s, p, w in sorted(wanted, key=repr)]
+
+
+def test_tail_risk_of_pairs_without_profit(spark):
+    df = spark.createDataFrame([("a", "b", 1.0), ("a", "b", -2.0), ("a", "c", None), (None, "c", 5.0)], "sym_y string, sym_x string, pnl double")
+    got = {(r.sym_y, r.sym_x): (r.value_at_risk, r.shortfall) for r in trading.tail_risk(df, 0.5).collect()}
+    assert got == {("a", "b"): (-0.5, -2.0), ("a", "c"): (None, None), (None, "c"): (5.0, 5.0)}
+
+
 def test_position_machine_over_many_batches_and_files(spark, tmp_path):
-    """More rows a symbol than an Arrow batch, in no order, null signals, and state from file to file."""
+    """More rows a symbol than an Arrow batch, null signals, files in swapped order, and rows of one hour in several files:
+    all are decided in order of time, and only once."""
     rng = np.random.default_rng(12)
     z = [None if v > 2.4 else float(v) for v in rng.normal(size=900) * 1.2]
     schema = "symbol string, ts timestamp, seq long, z double"
     rows = [("s", T0 + datetime.timedelta(minutes=i // 2), i, v) for i, v in enumerate(z)]
-    for part in range(3):
-        mine = rows[300 * part : 300 * part + 300]
-        order = rng.permutation(300)
-        spark.createDataFrame([mine[i] for i in order], schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={part}")
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("ts", "1 hour")
+    part = np.minimum(np.maximum(np.arange(900) // 300 + (rng.random(900) < 0.3), 0), 2)  # some come a file late
+    for number, k in enumerate((1, 0, 2)):
+        mine = [r for r, p in zip(rows, part, strict=True) if p == k]
+        order = rng.permutation(len(mine))
+        spark.createDataFrame([mine[i] for i in order], schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={number}")
+    spark.createDataFrame([("end", T0 + datetime.timedelta(days=9), -1, None)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/part=9")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("ts", "8 hours")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        got = {r.seq: r.pos for r in jobs.drained(jobs.position_machine(stream, 1.0, 0.5)).collect()}
+        found = jobs.drained(jobs.position_machine(stream, 1.0, 0.5)).where("symbol = 's'").collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    pos = 0
+    got, pos = {r.seq: r.pos for r in found}, 0
+    assert len(found) == len(got) == 900
     for i, v in enumerate(z):
         pos = pos if v is None else 1 if v < -1 else -1 if v > 1 else 0 if abs(v) < 0.5 else pos
         assert got[i] == pos
+    assert spark.conf.get(jobs.STORE, None) is None or "RocksDB" not in spark.conf.get(jobs.STORE)
+
+
+def test_parts_of_many_files_are_batches_of_the_stream(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "FILE_ROWS", 100)
+    folder = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    path = jobs.landed(spark, folder)
+    files = spark.read.option("recursiveFileLookup", "true").parquet(path).inputFiles()
+    assert len(files) == 3 * jobs.files_of(events.count(), 3) + 1 > 6
+    assert jobs.drained(jobs.bars(jobs.ticks(spark, folder), "1 hour")).agg(F.sum("n")).first()[0] == events.count()
 
 
 def test_late_rows_are_dropped_and_repeated_ones_kept_once(spark):
