@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -11,21 +14,22 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom.functions.stats import safe_beta, safe_corr
 
-from .sequential import scanned
+from .sequential import PART_SECONDS, Recursion, scanned_in_parts
 
 PAIR = ("sym_y", "sym_x")
 #: The published response surface of the p-value of the two-variable cointegration test with a constant (the
 #: range of the statistic with its bend, and polynomials below and above it), the coefficients of a published approximation
-#: of the normal distribution, and 5 % critical values of the Johansen trace test for two series with a constant, for no
-#: and for one relation.
+#: of the normal distribution, and 5 % critical values of the Johansen trace test with a constant, for 1, 2, ... series
+#: that are left.
 TAU_RANGE = (-18.86, -2.62, 0.92)
 TAU_SMALL = (2.92, 1.5012, 0.039796)
 TAU_LARGE = (2.1945, 0.64695, -0.29198, -0.042377)
 NORMAL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-JOHANSEN_TRACE_5 = (15.41, 3.76)
+JOHANSEN_TRACE_5 = (3.76, 15.41, 29.68, 47.21, 68.52, 94.15)
 #: Share of a variable's variance below which what is left of it is rounding.
 SINGULAR = 1e-12
 
@@ -147,27 +151,66 @@ def engle_granger(pairs: DataFrame, max_lags: int = 2, level: float = 0.05) -> D
     return found.withColumn("p_value", cointegration_p_value(F.col("t_stat"))).select(*PAIR, "n", "lags", "t_stat", "p_value", (F.col("p_value") < level).alias("cointegrated"))
 
 
-def johansen_trace(levels: np.ndarray, lags: int = 1) -> tuple[np.ndarray, int]:
-    """Trace statistics for 0, 1, ... relations, and the rank that two-series critical values give."""
-    d = np.diff(levels, axis=0)
-    rows = np.arange(lags, len(d))
-    z = np.column_stack([*(d[rows - j] for j in range(1, lags + 1)), np.ones(len(rows))])
-    out = lambda v: v - z @ np.linalg.lstsq(z, v, rcond=None)[0]
-    r0, r1 = out(d[rows]), out(levels[rows])
-    s00, s11, s01 = r0.T @ r0 / len(rows), r1.T @ r1 / len(rows), r0.T @ r1 / len(rows)
-    values = np.sort(np.linalg.eigvals(np.linalg.pinv(s11) @ s01.T @ np.linalg.pinv(s00) @ s01).real)[::-1].clip(0, 1 - 1e-12)
-    trace = np.array([-len(rows) * np.log(1 - values[k:]).sum() for k in range(len(values))])
-    rank = next((k for k, (t, c) in enumerate(zip(trace, JOHANSEN_TRACE_5, strict=False)) if t < c), len(trace))
-    return trace, rank
+def trace_of_moments(moments: np.ndarray, n: int, k: int) -> tuple[list[float] | None, int | None]:
+    """Trace statistics for 0, 1, ... relations and the rank they give, from the covariances of k changes, k levels before
+    them, and the lagged changes; None where there are too few rows or a level or change has no part of its own."""
+    if n <= len(moments) + 1 or not np.isfinite(moments).all():
+        return None, None
+    z = moments[2 * k :, 2 * k :]
+    s = moments[: 2 * k, : 2 * k] - moments[: 2 * k, 2 * k :] @ np.linalg.pinv(z, rcond=SINGULAR, hermitian=True) @ moments[2 * k :, : 2 * k]
+    scale = np.sqrt(np.diag(moments)[: 2 * k])
+    if (np.diag(s) <= SINGULAR * scale**2).any():
+        return None, None
+    s = s / np.outer(scale, scale)
+    s00, s11, s01 = s[:k, :k], s[k:, k:], s[:k, k:]
+    if min(np.linalg.eigvalsh(s00)[0], np.linalg.eigvalsh(s11)[0]) <= SINGULAR:
+        return None, None
+    root = np.linalg.inv(np.linalg.cholesky(s11))
+    values = np.linalg.eigvalsh(root @ s01.T @ np.linalg.solve(s00, s01) @ root.T)[::-1].clip(0, 1 - 1e-12)
+    trace = [float(-n * np.log(1 - values[r:]).sum()) for r in range(k)]
+    critical = JOHANSEN_TRACE_5[k - 1 :: -1]
+    return trace, next((r for r in range(k) if trace[r] < critical[r]), k)
+
+
+def johansen_of(panel: DataFrame, keys: tuple[str, ...], values: list[str], lags: int = 1) -> DataFrame:
+    """keys, n, trace (statistics for 0, 1, ... relations among the named series) and rank at 5 %, for each group of rows.
+
+    One aggregation gives all covariances of changes, levels and lagged changes; only one row of them a group is solved in
+    Python, so no series is in a worker. Rows with a null, or before all lags are there, do not count."""
+    k = len(values)
+    if not 1 <= k <= len(JOHANSEN_TRACE_5):
+        raise ValueError(f"critical values are known for 1 to {len(JOHANSEN_TRACE_5)} series")
+    w = Window.partitionBy(*keys).orderBy("bar_ts")
+    rows = panel.select(*keys, "bar_ts", *((F.col(c) - F.lag(c).over(w)).alias(f"_d{i}") for i, c in enumerate(values)), *(F.lag(c).over(w).alias(f"_l{i}") for i, c in enumerate(values)))
+    rows = rows.withColumns({f"_z{i}_{j}": F.lag(f"_d{i}", j).over(w) for j in range(1, lags + 1) for i in range(k)})
+    names = [*(f"_d{i}" for i in range(k)), *(f"_l{i}" for i in range(k)), *(f"_z{i}_{j}" for j in range(1, lags + 1) for i in range(k))]
+    m = len(names)
+    products = [F.covar_pop(names[i], names[j]) for i in range(m) for j in range(i, m)]
+    whole = rows.dropna(subset=names).groupBy(*keys).agg(F.count("*").alias("n"), F.array(*products).alias("moments"))
+    fit = panel.select(*keys).distinct().select(*(F.col(c).alias(f"_{c}") for c in keys)).join(whole, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys)), "left")
+    fit = fit.select(*(F.col(f"_{c}").alias(c) for c in keys), F.coalesce("n", F.lit(0)).alias("n"), "moments")
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        upper = np.triu_indices(m)
+        for pdf in batches:
+            found = []
+            for n, flat in zip(pdf.n, pdf.moments, strict=True):
+                square = np.full((m, m), np.nan)
+                if flat is not None:
+                    square[upper] = np.asarray(flat, float)
+                    square.T[upper] = square[upper]
+                found.append(trace_of_moments(square, int(n), k))
+            out = pdf.drop(columns="moments").assign(trace=pd.Series([t for t, _ in found], index=pdf.index, dtype=object), rank=pd.Series([r for _, r in found], index=pdf.index, dtype="Int32"))
+            yield out
+
+    schema = T.StructType([*fit.drop("moments").schema.fields, T.StructField("trace", T.ArrayType(T.DoubleType())), T.StructField("rank", T.IntegerType())])
+    return fit.mapInPandas(solve, schema)
 
 
 def johansen(pairs: DataFrame, lags: int = 1) -> DataFrame:
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_ts")
-        trace, rank = johansen_trace(pdf[["y", "x"]].to_numpy(), lags)
-        return pd.DataFrame({"sym_y": [pdf.sym_y.iloc[0]], "sym_x": [pdf.sym_x.iloc[0]], "trace_0": [trace[0]], "trace_1": [trace[1]], "rank": [rank]})
-
-    return pairs.groupBy(*PAIR).applyInPandas(one, "sym_y string, sym_x string, trace_0 double, trace_1 double, rank int")
+    """The test for each pair's two series: n, trace_0, trace_1, rank."""
+    found = johansen_of(pairs, PAIR, ["y", "x"], lags)
+    return found.select(*PAIR, "n", F.col("trace")[0].alias("trace_0"), F.col("trace")[1].alias("trace_1"), "rank")
 
 
 def correlation_matrix(bars: DataFrame, column: str) -> DataFrame:
@@ -196,10 +239,27 @@ def clusters(features: DataFrame, names: list[str], k: int, seed: int = 1) -> Da
     return KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(vectors).transform(vectors).select("symbol", "cluster")
 
 
-def kalman(pairs: DataFrame, delta: float = 1e-4, noise: float = 1.0) -> DataFrame:
-    """Dynamic hedge ratio: a random-walk (beta, alpha) filtered along each pair's series, in time order. Bars without y or
-    x leave the state as it is and have no innovation."""
-    drift = delta / (1 - delta)
+def element_of(first: tuple, then: tuple) -> tuple:
+    """Filtering elements (A, b, C, eta, J) of stretches of rows, one after the other; arrays over many at once."""
+    (a1, b1, c1, e1, j1), (a2, b2, c2, e2, j2) = first, then
+    eye, turned = np.eye(2), lambda m: np.swapaxes(m, -1, -2)
+    left = a2 @ np.linalg.inv(eye + c1 @ j2)
+    right = turned(a1) @ np.linalg.inv(eye + j2 @ c1)
+    return left @ a1, left @ (b1 + c1 @ e2) + b2, left @ c1 @ turned(a2) + c2, right @ (e2 - j2 @ b1) + e1, right @ j2 @ a1 + j1
+
+
+def packed(element: tuple) -> list[float]:
+    return np.concatenate([np.ravel(m) for m in element]).tolist()
+
+
+def unpacked(values: list[float]) -> tuple:
+    v = np.asarray(values, float)
+    return v[:4].reshape(2, 2), v[4:6].reshape(2, 1), v[6:10].reshape(2, 2), v[10:12].reshape(2, 1), v[12:16].reshape(2, 2)
+
+
+def kalman_rule(drift: float, noise: float) -> Recursion:
+    """A random-walk (beta, alpha). The map of rows is a filtering element: how the state behind them depends on the state
+    before, and what they say of that one; elements compose associatively."""
 
     def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
         (beta, alpha, bb, ba, aa), (y, x) = state, row
@@ -213,5 +273,36 @@ def kalman(pairs: DataFrame, delta: float = 1e-4, noise: float = 1.0) -> DataFra
         bb, ba, aa = bb - gain_b * gain_b / size, ba - gain_b * gain_a / size, aa - gain_a * gain_a / size
         return (beta, alpha, bb, ba, aa), (beta, alpha, error / math.sqrt(size))
 
-    found = scanned(pairs.select(*PAIR, "bar_ts", "y", "x"), PAIR, ("bar_ts",), ("y", "x"), (0.0, 0.0, 1.0, 0.0, 1.0), step, "beta double, alpha double, innovation double")
-    return found.drop("y", "x")
+    def of_rows(columns: list[np.ndarray]) -> list[float]:
+        known = np.array([y is not None and x is not None for y, x in zip(*columns, strict=True)])
+        y, x = (np.array([v if k else 0.0 for v, k in zip(c, known, strict=True)], float) for c in columns)
+        h = np.stack([x, np.ones(len(x))], 1)[:, :, None] * known[:, None, None]  # nothing is seen of a row without both
+        size = drift * (h * h).sum(1)[:, :, None] + noise
+        kept = np.eye(2) - drift * h @ np.swapaxes(h, 1, 2) / size
+        element = (kept, drift * h * y[:, None, None] / size, drift * kept, h * y[:, None, None] / size, h @ np.swapaxes(h, 1, 2) / size)
+        while len(element[0]) > 1:  # neighbours at a time
+            n = len(element[0]) // 2 * 2
+            joined = element_of(tuple(m[:n:2] for m in element), tuple(m[1:n:2] for m in element))
+            element = tuple(np.concatenate([j, m[n:]]) for j, m in zip(joined, element, strict=True))
+        return packed(element)
+
+    def composed(first: list[float], then: list[float]) -> list[float]:
+        return packed(element_of(unpacked(first), unpacked(then)))
+
+    def passed(map_: list[float], state: tuple) -> tuple:
+        a, b, c, eta, j = unpacked(map_)
+        beta, alpha, bb, ba, aa = state
+        mean, spread = np.array([[beta], [alpha]]), np.array([[bb, ba], [ba, aa]])
+        left = a @ np.linalg.inv(np.eye(2) + spread @ j)
+        mean, spread = left @ (mean + spread @ eta) + b, left @ spread @ a.T + c
+        return float(mean[0, 0]), float(mean[1, 0]), float(spread[0, 0]), float((spread[0, 1] + spread[1, 0]) / 2), float(spread[1, 1])
+
+    state = "_beta double, _alpha double, _bb double, _ba double, _aa double"
+    return Recursion((0.0, 0.0, 1.0, 0.0, 1.0), step, "beta double, alpha double, innovation double", state, of_rows, composed, passed)
+
+
+def kalman(pairs: DataFrame, delta: float = 1e-4, noise: float = 1.0, part_seconds: int = PART_SECONDS) -> DataFrame:
+    """Dynamic hedge ratio: a random-walk (beta, alpha) filtered along each pair's series, in time order. Bars without y or
+    x leave the state as it is, but for the drift of its spread, and have no innovation. Parts of a series run at once."""
+    rows = pairs.select(*PAIR, "bar_ts", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
+    return scanned_in_parts(rows, PAIR, ("bar_ts",), ("y", "x"), kalman_rule(delta / (1 - delta), noise), part_seconds).drop("y", "x")

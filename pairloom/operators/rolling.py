@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.stats import full, safe_beta, safe_corr, zscore
 
-from .sequential import scanned
+from .sequential import PART_SECONDS, Recursion, scanned_in_parts
 
 
 def by_time():
@@ -64,15 +65,38 @@ def rolling_quantile(bars: DataFrame, n: int, q: float, x: str = "x") -> DataFra
     return listed.select("symbol", "bar_ts", F.when(F.size("s") == n, low + (high - low) * part).alias("q"))
 
 
-def exponential_mean(bars: DataFrame, alpha: float, x: str = "x") -> DataFrame:
-    """s = alpha x + (1 - alpha) s[-1], from the first value on; a null leaves s as it is."""
+def exponential_rule(alpha: float) -> Recursion:
+    """The mean as an affine map of the mean before: factor, addend, and what comes of no mean before (NaN: none)."""
 
     def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
         (mean,), (value,) = state, row
         mean = mean if value is None else value if mean is None else alpha * value + (1 - alpha) * mean
         return (mean,), (mean,)
 
-    return scanned(bars.select("symbol", "bar_ts", F.col(x).cast("double").alias("x")), ("symbol",), ("bar_ts",), ("x",), (None,), step, "ewm double").select("symbol", "bar_ts", "ewm")
+    def of_rows(columns: list[np.ndarray]) -> list[float]:
+        x = np.array([v for v in columns[0] if v is not None], float)
+        if not len(x):
+            return [1.0, 0.0, math.nan]
+        weights = (1 - alpha) ** np.arange(len(x) - 1, -1, -1.0)
+        added = float(alpha * (weights @ x))
+        return [float((1 - alpha) ** len(x)), added, added + float((1 - alpha) * weights[0] * x[0])]
+
+    def composed(first: list[float], then: list[float]) -> list[float]:
+        alone = then[2] if math.isnan(first[2]) else then[0] * first[2] + then[1]
+        return [first[0] * then[0], then[0] * first[1] + then[1], alone]
+
+    def passed(map_: list[float], state: tuple) -> tuple:
+        if state[0] is None:
+            return (None if math.isnan(map_[2]) else map_[2],)
+        return (map_[0] * state[0] + map_[1],)
+
+    return Recursion((None,), step, "ewm double", "_mean double", of_rows, composed, passed)
+
+
+def exponential_mean(bars: DataFrame, alpha: float, x: str = "x", part_seconds: int = PART_SECONDS) -> DataFrame:
+    """s = alpha x + (1 - alpha) s[-1], from the first value on; a null leaves s as it is. Parts of a series run at once."""
+    rows = bars.select("symbol", "bar_ts", F.col(x).cast("double").alias("x"))
+    return scanned_in_parts(rows, ("symbol",), ("bar_ts",), ("x",), exponential_rule(alpha), part_seconds).select("symbol", "bar_ts", "ewm")
 
 
 def autocorrelation(bars: DataFrame, k: int, x: str = "x") -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.quantiles import quantile_columns
 
 from .pairs import PAIR, by_pair, hedge_ratios, spread_zscores, spreads
-from .sequential import scanned
+from .sequential import PART_SECONDS, Recursion, scanned_in_parts
 
 
 def so_far():
@@ -56,9 +57,11 @@ def positions(scored: DataFrame, entry: float = 1.0, leave: float = 0.5) -> Data
     return scored.withColumn("pos", F.coalesce(F.last(held(F.col("z"), entry, leave), ignorenulls=True).over(so_far()), F.lit(0)).cast("int"))
 
 
-def guarded_positions(scored: DataFrame, entry: float = 1.0, leave: float = 0.5, stop: float = 2.0, most_bars: int = 5) -> DataFrame:
-    """Positions with a stop-loss lockout and a longest holding: after a stop or a time-out nothing is held until z comes
-    back inside leave; a bar without z changes nothing."""
+def guarded_rule(entry: float, leave: float, stop: float, most_bars: int) -> Recursion:
+    """A finite automaton: flat, flat and locked, or a side held for 1 to most_bars bars (more bars act like most_bars). The
+    map of rows is the table of the state behind each state."""
+    states = [(0, 0, False), (0, 0, True), *((side, bars, False) for side in (1, -1) for bars in range(1, most_bars + 1))]
+    place = {s: i for i, s in enumerate(states)}
 
     def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
         (pos, bars, locked), (z,) = state, row
@@ -68,10 +71,35 @@ def guarded_positions(scored: DataFrame, entry: float = 1.0, leave: float = 0.5,
             cut = pos != 0 and (abs(z) > stop or bars >= most_bars)
             locked = (locked or cut) and not inside
             new = 0 if inside or locked else pos if pos else 1 if z < -entry else -1 if z > entry else 0
-        bars = bars + 1 if new and new == pos else 1 if new else 0
+        bars = min(bars + 1, most_bars) if new and new == pos else 1 if new else 0
         return (new, bars, locked), (new,)
 
-    return scanned(scored.select(*PAIR, "bar_ts", "z"), PAIR, ("bar_ts",), ("z",), (0, 0, False), step, "pos int")
+    def of_rows(columns: list[np.ndarray]) -> list[float]:
+        none = np.array([v is None for v in columns[0]])
+        z = np.array([0.0 if v is None else v for v in columns[0]], float)
+        kind = np.where(none, -1, (np.abs(z) < leave) + 2 * (np.abs(z) > stop) + 4 * (z < -entry) + 8 * (z > entry))
+        kinds, first, which = np.unique(kind, return_index=True, return_inverse=True)
+        tables = np.array([[place[step(s, (columns[0][i],))[0]] for s in states] for i in first], np.int64)
+        maps = tables[which]
+        while len(maps) > 1:  # neighbours at a time
+            odd = maps[-1:] if len(maps) % 2 else maps[:0]
+            pairs = maps[: len(maps) // 2 * 2]
+            maps = np.concatenate([np.take_along_axis(pairs[1::2], pairs[::2], 1), odd])
+        return maps[0].astype(float).tolist()
+
+    def composed(first: list[float], then: list[float]) -> list[float]:
+        return [then[int(i)] for i in first]
+
+    def passed(map_: list[float], state: tuple) -> tuple:
+        return states[int(map_[place[tuple(state)]])]
+
+    return Recursion((0, 0, False), step, "pos int", "_pos int, _bars int, _locked boolean", of_rows, composed, passed)
+
+
+def guarded_positions(scored: DataFrame, entry: float = 1.0, leave: float = 0.5, stop: float = 2.0, most_bars: int = 5, part_seconds: int = PART_SECONDS) -> DataFrame:
+    """Positions with a stop-loss lockout and a longest holding: after a stop or a time-out nothing is held until z comes
+    back inside leave; a bar without z changes nothing. Parts of a series run at once."""
+    return scanned_in_parts(scored.select(*PAIR, "bar_ts", "z"), PAIR, ("bar_ts",), ("z",), guarded_rule(entry, leave, stop, most_bars), part_seconds)
 
 
 def guarded_reference(z: list[float | None], entry: float, leave: float, stop: float, most_bars: int) -> list[int]:

@@ -42,7 +42,7 @@ def query(name: str, sql: str | None = None):
 for _t in TABLES:
     if _t != "embeddings":
         pair(f"b01_scan_{_t}", f"SELECT * FROM {{{_t}}}")
-pair("b01_scan_embeddings", "SELECT vec_id, label, embedding[0] AS first, embedding[63] AS last FROM {embeddings}", "SELECT vec_id, label, embedding[1] AS first, embedding[64] AS last FROM {embeddings}")
+pair("b01_scan_embeddings", "SELECT vec_id, label, p + 1 AS place, CAST(v AS DOUBLE) AS value FROM {embeddings} LATERAL VIEW posexplode(embedding) e AS p, v", "SELECT vec_id, label, CAST(generate_subscripts(embedding, 1) AS INTEGER) AS place, CAST(unnest(embedding) AS DOUBLE) AS value FROM {embeddings}")
 
 pair("b02_project_filter", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END AS band, coalesce(nullif(o_orderstatus, 'P'), 'open') AS status, greatest(o_totalprice, 1000.0D) AS g, least(o_totalprice, 1000.0D) AS l FROM {orders} WHERE o_totalprice BETWEEN 1000 AND 400000 AND o_orderpriority <> '5-LOW'",
      "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END AS band, coalesce(nullif(o_orderstatus, 'P'), 'open') AS status, greatest(o_totalprice, 1000.0) AS g, least(o_totalprice, 1000.0) AS l FROM {orders} WHERE o_totalprice BETWEEN 1000 AND 400000 AND o_orderpriority <> '5-LOW'")
@@ -121,7 +121,8 @@ pair("b31_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS
 pair("b32_sessions", """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL '1' DAY THEN 0 ELSE 1 END AS new FROM {events}),
     s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS session FROM g) SELECT user_id, session, count(*) AS n, min(ts) AS start, max(ts) AS stop FROM s GROUP BY user_id, session""")
 pair("b33_width_bucket", "SELECT CAST(width_bucket(value, 0, 100, 20) AS INT) AS b, count(*) AS n FROM {events} GROUP BY 1", "SELECT CAST(CASE WHEN value < 0 THEN 0 WHEN value >= 100 THEN 21 ELSE floor(value / 5) + 1 END AS INTEGER) AS b, count(*) AS n FROM {events} GROUP BY 1")
-pair("b34_recursive", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
+pair("b34_recursive", "WITH RECURSIVE t(k, depth, balance) AS (SELECT c_custkey, 0, c_acctbal FROM {customer} WHERE c_custkey = 1 UNION ALL SELECT c.c_custkey, t.depth + 1, t.balance + c.c_acctbal FROM t JOIN {customer} c ON c.c_custkey div 2 = t.k AND c.c_custkey > 1) SELECT k, depth, round(balance, 4) AS balance FROM t",
+     "WITH RECURSIVE t(k, depth, balance) AS (SELECT c_custkey, 0, c_acctbal FROM {customer} WHERE c_custkey = 1 UNION ALL SELECT c.c_custkey, t.depth + 1, t.balance + c.c_acctbal FROM t JOIN {customer} c ON c.c_custkey // 2 = t.k AND c.c_custkey > 1) SELECT k, depth, round(balance, 4) AS balance FROM t")
 pair("b35_qualify_as_subquery", "SELECT s_nationkey, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rn FROM {supplier}) WHERE rn = 1", "SELECT s_nationkey, s_suppkey FROM {supplier} QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) = 1")
 
 

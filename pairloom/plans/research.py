@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.stats import round6, sample_kurtosis, sample_skewness
 from pairloom.operators import pairs as P
-from pairloom.operators import panel, rolling, trading
+from pairloom.operators import panel, rolling, screens, trading
 from pairloom.sources.tables import price_panel, table
 from pairloom.streaming import jobs
 
@@ -257,11 +257,22 @@ def a27(spark, d):
     return rounded(P.top_pairs(pairs_of(spark, d), 5), "corr")
 
 
+@query("a27_top_pairs_screened", f"WITH {_DAILY}, {_PAIRS}, {_CORR} SELECT * FROM corrs ORDER BY corr DESC NULLS LAST, sym_y, sym_x LIMIT 5")
+def a27b(spark, d):
+    """The same pairs without all pairs: bounds from a few coordinates, then exact correlations of what they leave."""
+    return rounded(screens.top_correlated(daily(spark, d), 5, "avg_price").drop("verified"), "corr")
+
+
 @query("a28_distance", f"WITH {_DAILY}, {_PAIRS}, n AS (SELECT sym_y, sym_x, y / nullif(first_value(y) OVER w, 0) AS ny, x / nullif(first_value(x) OVER w, 0) AS nx FROM pairs WINDOW w AS {_PW}) SELECT sym_y, sym_x, round(sum(pow(ny - nx, 2)), 6) AS ssd FROM n GROUP BY ALL")
 def a28(spark, d):
     return rounded(P.distances(pairs_of(spark, d)), "ssd")
 
 
+@query("a28_closest_pairs", f"WITH {_DAILY}, {_PAIRS}, n AS (SELECT sym_y, sym_x, y / nullif(first_value(y) OVER w, 0) AS ny, x / nullif(first_value(x) OVER w, 0) AS nx FROM pairs WINDOW w AS {_PW}) SELECT sym_y, sym_x, round(sum(pow(ny - nx, 2)), 6) AS ssd FROM n GROUP BY ALL ORDER BY ssd, sym_y, sym_x LIMIT 5")
+def a28b(spark, d):
+    return rounded(screens.closest_prices(daily(spark, d), 5, "avg_price").drop("verified"), "ssd")
+
+
 @query("a29_hedge_ratio", f"WITH {_DAILY}, {_PAIRS}, {_RATIOS} SELECT sym_y, sym_x, {_r('beta', 'alpha')} FROM ratios")
 def a29(spark, d):
     return rounded(P.hedge_ratios(pairs_of(spark, d)), "beta", "alpha")
@@ -310,7 +321,19 @@ def a32(spark, d):
     return rounded(P.engle_granger(pairs_of(spark, d)), "t_stat", "p_value")
 
 
-@query("a34_johansen")
+_JOHANSEN = f"""v0 AS (SELECT sym_y, sym_x, bar_ts, y - lag(y) OVER {_PW} AS e1, x - lag(x) OVER {_PW} AS e2, lag(y) OVER {_PW} AS l1, lag(x) OVER {_PW} AS l2 FROM pairs),
+    v1 AS (SELECT *, lag(e1) OVER {_PW} AS z1, lag(e2) OVER {_PW} AS z2 FROM v0),
+    m0 AS (SELECT sym_y, sym_x, {", ".join(f"{c} - avg({c}) OVER p AS {c}" for c in ("e1", "e2", "l1", "l2", "z1", "z2"))} FROM v1 WHERE z1 IS NOT NULL WINDOW p AS (PARTITION BY sym_y, sym_x)),
+    {_residual("m1", "m0", ["e1", "e2", "l1", "l2", "z2"], "z1")}, {_residual("m2", "m1", ["e1", "e2", "l1", "l2"], "z2")},
+    s AS (SELECT sym_y, sym_x, count(*) AS n, sum(e1 * e1) AS a, sum(e1 * e2) AS b, sum(e2 * e2) AS c, sum(l1 * l1) AS p, sum(l1 * l2) AS q, sum(l2 * l2) AS r,
+          sum(e1 * l1) AS g, sum(e1 * l2) AS h, sum(e2 * l1) AS i, sum(e2 * l2) AS j FROM m2 GROUP BY ALL),
+    t AS (SELECT *, a * c - b * b AS d0, p * r - q * q AS d1, c * g * g - 2 * b * g * i + a * i * i AS w11, c * g * h - b * (g * j + h * i) + a * i * j AS w12, c * h * h - 2 * b * h * j + a * j * j AS w22 FROM s),
+    u AS (SELECT *, (r * w11 - 2 * q * w12 + p * w22) / (d0 * d1) AS tr, (g * j - h * i) * (g * j - h * i) / (d0 * d1) AS det FROM t),
+    z AS (SELECT *, tr / 2 + sqrt(greatest(tr * tr / 4 - det, 0)) AS high, tr / 2 - sqrt(greatest(tr * tr / 4 - det, 0)) AS low FROM u),
+    j AS (SELECT *, -n * (ln(1 - high) + ln(1 - low)) AS trace_0, -n * ln(1 - low) AS trace_1 FROM z)"""
+
+
+@query("a34_johansen", f"WITH {_DAILY}, {_PAIRS}, {_JOHANSEN} SELECT sym_y, sym_x, n, round(trace_0, 6) AS trace_0, round(trace_1, 6) AS trace_1, CAST(CASE WHEN trace_0 < 15.41 THEN 0 WHEN trace_1 < 3.76 THEN 1 ELSE 2 END AS INTEGER) AS rank FROM j")
 def a34(spark, d):
     return rounded(P.johansen(pairs_of(spark, d)), "trace_0", "trace_1")
 

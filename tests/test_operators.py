@@ -54,8 +54,8 @@ def test_johansen_and_engle_granger_tell_related_from_unrelated(spark):
     rng = np.random.default_rng(2)
     x = np.cumsum(rng.normal(size=500))
     near, far = 2 * x + rng.normal(size=500), np.cumsum(rng.normal(size=500))
-    assert P.johansen_trace(np.column_stack([near, x]))[1] >= 1
-    assert P.johansen_trace(np.column_stack([far, x]))[1] == 0
+    assert P.johansen(pair_frame(spark, near, x)).first()["rank"] >= 1
+    assert P.johansen(pair_frame(spark, far, x)).first()["rank"] == 0
     assert P.engle_granger(pair_frame(spark, near, x)).first().cointegrated
     assert not P.engle_granger(pair_frame(spark, far, x)).first().cointegrated
 
@@ -270,6 +270,37 @@ def test_engle_granger_holds_no_series_in_a_worker(spark):
     assert "Pandas" not in plan and "Python" not in plan and "partial_covar" in plan
 
 
+def trace_by_hand(levels, lags):
+    """Trace statistics by least squares on the rows and an eigenvalue problem."""
+    d = np.diff(levels, axis=0)
+    rows = np.arange(lags, len(d))
+    z = np.column_stack([*(d[rows - j] for j in range(1, lags + 1)), np.ones(len(rows))])
+    out = lambda v: v - z @ np.linalg.lstsq(z, v, rcond=None)[0]
+    r0, r1 = out(d[rows]), out(levels[rows])
+    values = np.sort(np.linalg.eigvals(np.linalg.inv(r1.T @ r1) @ r1.T @ r0 @ np.linalg.inv(r0.T @ r0) @ r0.T @ r1).real)[::-1]
+    return [-len(rows) * np.log(1 - values[k:]).sum() for k in range(len(values))]
+
+
+def test_johansen_rank_of_systems_of_several_series(spark):
+    """Four series driven by 4, 3, 2 and 1 random walks: 0 to 3 relations."""
+    rng, rows, systems = np.random.default_rng(31), [], {}
+    for relations in range(4):
+        walks = np.cumsum(rng.normal(size=(800, 4 - relations)), axis=0)
+        mixed = [walks[:, i % walks.shape[1]] * (1 + i) + (rng.normal(size=800) if i >= walks.shape[1] else 0) for i in range(4)]
+        systems[f"r{relations}"] = np.column_stack(mixed)
+    for name, levels in systems.items():
+        rows += [(name, day(i), *map(float, v)) for i, v in enumerate(levels)]
+    rows += [("short", day(i), 1.0 * i, 2.0, 3.0, 4.0) for i in range(5)] + [("flat", day(i), float(rng.normal()), 2.0, float(rng.normal()), 4.0) for i in range(60)]
+    rows += [("twice", day(i), float(v[0]), float(v[0]), float(v[1]), float(v[2])) for i, v in enumerate(systems["r0"])] + [(None, day(0), None, None, None, None)]
+    df = spark.createDataFrame(rows, "g string, bar_ts timestamp_ntz, a double, b double, c double, d double").repartition(3)
+    for lags in (1, 2):
+        got = {r.g: r for r in P.johansen_of(df, ("g",), ["a", "b", "c", "d"], lags).collect()}
+        for name, levels in systems.items():
+            assert got[name].trace == pytest.approx(trace_by_hand(levels, lags), rel=1e-6)
+        assert [got[f"r{k}"]["rank"] for k in range(4)] == [0, 1, 2, 3]
+        assert all(got[g].trace is None and got[g]["rank"] is None for g in ("short", "flat", "twice", None))
+
+
 def test_nulls_match_nothing_as_of(spark):
     import duckdb
 
