@@ -10,6 +10,7 @@ from operator import and_
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -239,6 +240,43 @@ def clusters(features: DataFrame, names: list[str], k: int, seed: int = 1) -> Da
     return KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(vectors).transform(vectors).select("symbol", "cluster")
 
 
+def best_clusters(features: DataFrame, names: list[str], ks: tuple[int, ...], seed: int = 1) -> tuple[DataFrame, int]:
+    """symbol, cluster and the features' vector, for the number of clusters with the highest silhouette (the smallest of
+    equals), and that number. Numbers that do not give at least two clusters are no choice; without any, all are in one."""
+    vectors = VectorAssembler(inputCols=names, outputCol="v", handleInvalid="skip").transform(features).select("symbol", "v").persist()
+    judge, best = ClusteringEvaluator(featuresCol="v", predictionCol="cluster"), None
+    for k in sorted(ks):
+        found = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(vectors).transform(vectors)
+        if found.select("cluster").distinct().count() > 1:
+            score = judge.evaluate(found)
+            best = max(best or (score, -k, found), (score, -k, found), key=lambda b: b[:2])
+    return (best[2], -best[1]) if best else (vectors.withColumn("cluster", F.lit(0)), 1)
+
+
+def cluster_pairs(features: DataFrame, names: list[str], ks: tuple[int, ...] = (2, 3, 4, 6, 8, 12, 16), most: int = 500, seed: int = 1) -> DataFrame:
+    """sym_y < sym_x and cluster: the pairs of symbols within a cluster, the universe of a pair search.
+
+    Clusters of more than `most` symbols are clustered again, into as many parts as bring them to that size, until none is
+    larger, so a cluster gives most * (most - 1) / 2 pairs at most and their number grows with that of the symbols. Only
+    symbols of equal features cannot be parted so: they are dealt by a hash of their names. Symbols with a null feature are
+    in no cluster."""
+    found = best_clusters(features, names, ks, seed)[0].select("symbol", "v", F.col("cluster").cast("string").alias("cluster")).persist()
+    while True:
+        large = [(r.cluster, r["count"]) for r in found.groupBy("cluster").count().where(F.col("count") > most).collect()]  # names of clusters
+        if not large:
+            break
+        parts = [found.where(~F.col("cluster").isin([c for c, _ in large]))]
+        for name, size in large:
+            mine, k = found.where(F.col("cluster") == name), -(-size // most)
+            split = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="part").fit(mine).transform(mine)
+            if split.select("part").distinct().count() < 2:
+                split = mine.withColumn("part", F.pmod(F.xxhash64("cluster", "symbol"), F.lit(k)))
+            parts.append(split.select("symbol", "v", F.concat_ws(".", "cluster", "part").alias("cluster")))
+        found = reduce(DataFrame.unionByName, parts).persist()
+    y, x = (found.select("cluster", F.col("symbol").alias(n)) for n in PAIR)
+    return y.join(x, "cluster").where("sym_y < sym_x").select(*PAIR, "cluster")
+
+
 def element_of(first: tuple, then: tuple) -> tuple:
     """Filtering elements (A, b, C, eta, J) of stretches of rows, one after the other; arrays over many at once."""
     (a1, b1, c1, e1, j1), (a2, b2, c2, e2, j2) = first, then

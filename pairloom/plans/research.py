@@ -355,6 +355,12 @@ def a37(spark, d):
     return P.clusters(stats, ["mean", "sd"], 2)
 
 
+@query("a37_cluster_pairs")
+def a37b(spark, d):
+    stats = price_panel(spark, d).groupBy("symbol").agg(F.avg("price").alias("mean"), F.stddev_samp("price").alias("sd"))
+    return P.cluster_pairs(stats, ["mean", "sd"], (2, 3, 4))
+
+
 _OOS = f"""{_DAILY}, allp AS (SELECT a.symbol AS sym_y, b.symbol AS sym_x, a.bar_ts AS bar_ts, a.avg_price AS y, b.avg_price AS x FROM bars a JOIN bars b ON a.bar_ts = b.bar_ts WHERE a.symbol < b.symbol),
     pairs AS (SELECT * FROM allp WHERE bar_ts < TIMESTAMP '{SPLIT}'), {_RATIOS}"""
 

@@ -58,6 +58,31 @@ def test_screens_of_hard_panels(spark):
     assert [(r.sym_y, r.sym_x) for r in screens.top_correlated(same, 2).collect()] == [("s00000", "s00001"), ("s00000", "s00002")]
 
 
+def test_pairs_within_clusters(spark):
+    """Three clear groups: as many clusters are found, and the pairs are those within them."""
+    rng, centres = np.random.default_rng(3), [(0.0, 0.0), (50.0, 0.0), (0.0, 80.0)]
+    rows = [(f"s{i:02d}", *(float(c + e) for c, e in zip(centres[i % 3], rng.normal(size=2), strict=True))) for i in range(30)] + [("none", None, 1.0)]
+    df = spark.createDataFrame(rows, "symbol string, a double, b double")
+    assert P.best_clusters(df, ["a", "b"], (2, 3, 4, 5))[1] == 3
+    got = [(r.sym_y, r.sym_x) for r in P.cluster_pairs(df, ["a", "b"], (2, 3, 4, 5)).collect()]
+    assert sorted(got) == [(f"s{i:02d}", f"s{j:02d}") for i in range(30) for j in range(i + 1, 30) if i % 3 == j % 3]
+    small = P.cluster_pairs(df, ["a", "b"], (2, 3, 4, 5), most=4).collect()
+    members = {}
+    for r in small:
+        members.setdefault(r.cluster, set()).update((r.sym_y, r.sym_x))
+    assert max(map(len, members.values())) <= 4 and all(len({int(s[1:]) % 3 for s in m}) == 1 for m in members.values())
+    assert all((r.sym_y, r.sym_x) in set(got) for r in small)
+
+
+def test_symbols_of_equal_features_are_parted_by_name(spark):
+    df = spark.createDataFrame([(f"s{i}", 1.0) for i in range(200)], "symbol string, a double")
+    got = P.cluster_pairs(df, ["a"], (2,), most=50).collect()
+    members = {}
+    for r in got:
+        members.setdefault(r.cluster, set()).update((r.sym_y, r.sym_x))
+    assert max(map(len, members.values())) <= 50 and len(got) == sum(len(m) * (len(m) - 1) // 2 for m in members.values())
+
+
 # --- recursions in parts of time
 
 
