@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.stats import round6, sample_kurtosis, sample_skewness
 from pairloom.operators import pairs as P
-from pairloom.operators import panel, rolling, screens, trading
+from pairloom.operators import factors, panel, rolling, screens, trading
 from pairloom.sources.tables import price_panel, table
 from pairloom.streaming import jobs
 
@@ -349,6 +349,12 @@ def a36(spark, d):
     return rounded(found, *(c for c in found.columns if c != "bar_ts"))
 
 
+@query("a36_factor_residuals")
+def a36b(spark, d):
+    """The same by power iteration over the long table, a row a symbol and time."""
+    return rounded(factors.factor_residuals(daily(spark, d), 2, "avg_price"), "residual")
+
+
 @query("a37_clusters")
 def a37(spark, d):
     stats = price_panel(spark, d).groupBy("symbol").agg(F.avg("price").alias("mean"), F.stddev_samp("price").alias("sd"))
