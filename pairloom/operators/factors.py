@@ -1,8 +1,9 @@
 """Factors of a panel of many symbols, by block power iteration over its long table.
 
-The loadings are a table of one row a symbol with k numbers. A round multiplies the panel by them (sums by time), and the
+The loadings are a table of one row a symbol with k numbers, and a few more (SPARE), which make the rounds few where the next
+factors are nearly as strong. A round multiplies the panel by them (sums by time), and the
 transposed panel by the result (sums by symbol), both with partial sums before they are shuffled; then the k columns are made
-orthonormal, for which only their k * k products come to the driver. So neither symbols nor times are columns, and nothing of
+orthonormal, for which only the sums of their products come to the driver. So neither symbols nor times are columns, and nothing of
 their number is in one place.
 """
 
@@ -17,6 +18,10 @@ from pairloom.sources.tables import shared_path
 from .panel import aligned
 
 
+#: Columns beyond those asked for.
+SPARE = 8
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Written to the shared folder and read again: a round's plan ends there."""
     path = shared_path(df.sparkSession, what)
@@ -32,8 +37,8 @@ def products(table: DataFrame, names: list[str]) -> np.ndarray:
 
 
 def turned(table: DataFrame, key: str, names: list[str], by: np.ndarray) -> DataFrame:
-    """The columns as a matrix times a small one."""
-    return table.select(key, *(sum((F.col(names[i]) * F.lit(float(by[i, j])) for i in range(1, len(names))), F.col(names[0]) * F.lit(float(by[0, j]))).alias(names[j]) for j in range(len(names))))
+    """The columns as a matrix times a small one, which may have fewer columns."""
+    return table.select(key, *(sum((F.col(n) * F.lit(float(by[i, j])) for i, n in enumerate(names)), F.lit(0.0)).alias(names[j]) for j in range(by.shape[1])))
 
 
 def factor_residuals(bars: DataFrame, k: int, x: str = "close", rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
@@ -46,9 +51,10 @@ def factor_residuals(bars: DataFrame, k: int, x: str = "close", rounds: int = 10
     rows = stored(aligned(rows), "panel")
     means = rows.groupBy("symbol").agg(F.avg("x").alias("m"))
     centred = stored(rows.join(means, "symbol").select("symbol", "bar_ts", (F.col("x") - F.col("m")).alias("x")), "centred")
-    names = [f"w{i}" for i in range(k)]
+    names = [f"w{i}" for i in range(k + SPARE)]
     total = centred.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0
     by_symbol = centred.select("symbol").distinct().select("symbol", *((F.xxhash64("symbol", F.lit(i)) / float(1 << 63)).alias(n) for i, n in enumerate(names)))
+    vectors = np.eye(len(names))
     along = lambda table, key, over: centred.join(table, over).groupBy(key).agg(*(F.sum(F.col("x") * F.col(n)).alias(n) for n in names))
     share = 0.0
     for _ in range(rounds if total else 0):
@@ -58,9 +64,12 @@ def factor_residuals(bars: DataFrame, k: int, x: str = "close", rounds: int = 10
             kept = values > 1e-14 * max(values.max(), 0.0)
             by_symbol = turned(by_symbol, "symbol", names, vectors * np.where(kept, 1 / np.sqrt(np.where(kept, values, 1.0)), 0.0))
         by_symbol = stored(by_symbol, "loadings")
-        before, share = share, float(np.trace(products(along(by_symbol, "bar_ts", "symbol"), names))) / total
+        values, vectors = np.linalg.eigh(products(along(by_symbol, "bar_ts", "symbol"), names))
+        before, share = share, float(values[-k:].sum()) / total
         if abs(share - before) <= tolerance * share:
             break
+    by_symbol = stored(turned(by_symbol, "symbol", names, vectors[:, -k:]), "loadings")  # the strongest k of what the columns span
+    names = names[:k]
     by_time = along(by_symbol, "bar_ts", "symbol").withColumnsRenamed({n: f"f{n}" for n in names})
     fitted = sum((F.col(n) * F.col(f"f{n}") for n in names), F.lit(0.0))
     return centred.join(by_symbol, "symbol").join(by_time, "bar_ts").select("symbol", "bar_ts", (F.col("x") - fitted).alias("residual"))
