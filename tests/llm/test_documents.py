@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on small tables full of hard cases and on generated ones."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -12,6 +13,8 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -180,6 +183,7 @@ def test_every_notice_is_found_whole_and_in_part(spark):
 # --- tokens, files and packing
 
 
+@functools.cache
 def library():
     return Tokenizer.from_file(PATH)
 
@@ -191,6 +195,18 @@ def test_ids_are_the_librarys(text):
     assert ids.tolist() == want + want and n.tolist() == [len(want), 0, len(want)]
 
 
+MARKED = st.lists(st.sampled_from(["Word", "été", "Σας", "ß", "don't", "A1", "e\u0301", "a\u00a0b", "İ", "K", "...", "\"", "!?", "'s", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", ")", "`", "\u0301", "$$$", " ", "\n", "\u3000"]), max_size=12).map("".join)
+
+
+@given(st.lists(MARKED, min_size=1, max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_ids_of_marks_and_case_are_the_librarys(texts):
+    """One table for all examples, so that parts and chunks of earlier ones are looked up again."""
+    ids, n = tokens.word_bpe(PATH).encode(pa.array(texts))
+    want = [library().encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
 def test_ids_of_long_texts_in_parts(monkeypatch):
     monkeypatch.setattr(tokens, "SLICE_BYTES", 64)
     monkeypatch.setattr(tokens, "TABLE_BYTES", 2000)
