@@ -29,6 +29,30 @@ def write_bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> None:
     df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
 
 
+def read_jdbc(spark: SparkSession, url: str, name: str, split_by: str | None = None, rows_per_part: int = 1_000_000, **options) -> DataFrame:
+    """A table of a database, read in parts of split_by (a number, date or time column), each a query of its own with the
+    filters and columns that Spark pushes down. One query asks the database for the column's ends and the number of rows,
+    so parts follow the data. Rows of null split_by are in the first part; without split_by, or in an empty table, there is
+    one part. Values far from evenly spread make uneven parts: split by a key then."""
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    whole = reader.option("dbtable", name)
+    if split_by is None:
+        return whole.load()
+    quoted = '"' + split_by.replace('"', '""') + '"'
+    if url.startswith(("jdbc:mysql", "jdbc:mariadb")):
+        quoted = "`" + split_by.replace("`", "``") + "`"
+    low, high, rows = spark.read.format("jdbc").options(url=url, **options).option("query", f"SELECT min({quoted}) AS lo, max({quoted}) AS hi, count(*) AS n FROM {name}").load().first()
+    if low is None or rows <= rows_per_part:
+        return whole.load()
+    return whole.options(partitionColumn=split_by, lowerBound=str(low), upperBound=str(high), numPartitions=-(-rows // rows_per_part)).load()
+
+
+def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "errorifexists", connections: int = 8, **options) -> None:
+    """A table of a database, written over at most so many connections, a batch of rows a statement. A task that fails rolls
+    its rows back; one that is lost after its commit and runs again writes them twice, so load into a fresh table."""
+    df.coalesce(connections).write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()
+
+
 def price_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Ticks: symbol, ts, seq, price, qty."""
     return table(spark, folder, "events").select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("qty"))
