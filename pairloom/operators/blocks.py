@@ -1,4 +1,5 @@
-"""Long series in blocks of rows that run at once, for windows over a fixed number of rows.
+"""Long series in pieces that run at once: blocks of rows for windows over a fixed number of rows, parts of time for values
+of all rows so far.
 
 Rows get their number in the series from counts of its parts of time, so no task reads a whole series. A block is `size`
 rows in a row; those of its end that a window of the next blocks reaches back to are copied there. So a window partitioned
@@ -53,3 +54,30 @@ def in_blocks(keys: tuple[str, ...] = ("symbol",)) -> WindowSpec:
 def with_windows(df: DataFrame, back: int, made: Callable[[WindowSpec], dict[str, Column]], keys: tuple[str, ...] = ("symbol",), ts: str = "bar_ts", size: int | None = None) -> DataFrame:
     """The rows with columns of windows that reach back so many rows; made gets the window of a block in order of time."""
     return blocked(df, back, keys, ts, size).withColumns(made(in_blocks(keys))).where("_own").drop("_row", "_block", "_own")
+
+
+def carried(df: DataFrame, name: str, end: Column, over_parts: Callable[[WindowSpec], Column], over_rows: Callable[[WindowSpec], Column], keys: tuple[str, ...], ts: str, seconds: int) -> DataFrame:
+    """The rows with column `name` of all rows so far, in parts of time that run at once: over_rows over the rows of the
+    part so far, which may use `_before`, what over_parts makes of `_end`, the aggregate `end` of each part before."""
+    fine = (*keys, "_part")
+    rows = df.withColumn("_part", F.coalesce(time_part(ts, seconds), F.lit(NO_TIME)))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*fine).agg(end.alias("_end")).select(*(F.col(k).alias(f"_of_{k}") for k in fine), over_parts(earlier).alias("_before"))
+    on = F.col("_part") == F.col("_of__part")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    so_far = Window.partitionBy(*fine).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(ends, on).withColumn(name, over_rows(so_far)).drop("_part", "_before", *(f"_of_{k}" for k in fine))
+
+
+def running_last(df: DataFrame, value: Column, name: str, keys: tuple[str, ...] = ("symbol",), ts: str = "bar_ts", seconds: int = PART_SECONDS) -> DataFrame:
+    """The rows with the last value so far that is not null."""
+    end = F.max_by(value, F.when(value.isNotNull(), F.struct(ts)))
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    return carried(df, name, end, lambda w: last("_end", w), lambda w: F.coalesce(last(value, w), F.col("_before")), keys, ts, seconds)
+
+
+def running_sum(df: DataFrame, value: Column, name: str, keys: tuple[str, ...] = ("symbol",), ts: str = "bar_ts", seconds: int = PART_SECONDS) -> DataFrame:
+    """The rows with the sum so far of the values that are not null; null before the first."""
+    total = lambda w: F.sum(value).over(w)
+    return carried(df, name, F.sum(value), lambda w: F.sum("_end").over(w), lambda w: F.coalesce(total(w) + F.coalesce("_before", F.lit(0)), "_before"), keys, ts, seconds)

@@ -10,23 +10,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from pairloom.functions.stats import full, safe_beta, safe_corr, zscore
 
-from .blocks import blocked, with_windows
+from .blocks import blocked, running_sum, with_windows
 from .sequential import PART_SECONDS, Recursion, scanned_in_parts
 
 #: Rolling quantiles of up to so many rows sort each row's window in the JVM; longer ones slide an ordered set.
 SORTED_ROWS = 64
 
 
-def by_time():
-    return Window.partitionBy("symbol").orderBy("bar_ts")
-
-
-def rolled(rows: DataFrame, n: int, made: Callable[[Window], dict[str, Column]]) -> DataFrame:
+def rolled(rows: DataFrame, n: int, made: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
     """symbol, bar_ts and columns made of the last n rows."""
     out = with_windows(rows, n - 1, lambda w: made(w.rowsBetween(-(n - 1), 0)))
     return out.drop(*(c for c in rows.columns if c not in ("symbol", "bar_ts")))
@@ -40,7 +36,8 @@ def with_returns(bars: DataFrame, x: str = "close") -> DataFrame:
 
 
 def with_cumulative(returns: DataFrame) -> DataFrame:
-    return returns.withColumn("cum_ret", F.exp(F.sum("log_ret").over(by_time().rowsBetween(Window.unboundedPreceding, 0))) - 1)
+    """cum_ret of all log returns so far; parts of a series run at once."""
+    return running_sum(returns, F.col("log_ret"), "_sum").withColumn("cum_ret", F.exp("_sum") - 1).drop("_sum")
 
 
 def rolling_stats(bars: DataFrame, n: int, x: str = "x") -> DataFrame:

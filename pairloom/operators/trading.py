@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.quantiles import quantile_columns
 
+from .blocks import running_last
 from .pairs import PAIR, by_pair, hedge_ratios, spread_zscores, spreads
 from .sequential import PART_SECONDS, Recursion, scanned_in_parts
 
@@ -52,8 +53,12 @@ def held(z: Column, entry: float | Column, leave: float | Column) -> Column:
     return F.when(z < -F.lit(entry), 1).when(z > F.lit(entry), -1).when(F.abs(z) < F.lit(leave), 0)
 
 
-def positions(scored: DataFrame, entry: float = 1.0, leave: float = 0.5) -> DataFrame:
-    """pos with hysteresis: the last decision carried on, in one window."""
+def positions(scored: DataFrame, entry: float = 1.0, leave: float = 0.5, part_seconds: int | None = None) -> DataFrame:
+    """pos with hysteresis: the last decision carried on, in one window of a pair. With part_seconds, parts of a pair's time
+    run at once, for pairs too long for a task; scored is read twice then."""
+    if part_seconds:
+        said = running_last(scored, held(F.col("z"), entry, leave), "_said", PAIR, "bar_ts", part_seconds)
+        return said.withColumn("pos", F.coalesce("_said", F.lit(0)).cast("int")).drop("_said")
     return scored.withColumn("pos", F.coalesce(F.last(held(F.col("z"), entry, leave), ignorenulls=True).over(so_far()), F.lit(0)).cast("int"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.stats import round6, sample_kurtosis, sample_skewness
 from pairloom.operators import pairs as P
 from pairloom.operators import factors, panel, rolling, screens, trading
+from pairloom.operators.sequential import PART_SECONDS
 from pairloom.sources.tables import price_panel, table
 from pairloom.streaming import jobs
 
@@ -386,7 +387,7 @@ def a39(spark, d):
 
 @query("a40_positions", f"WITH {_TO_SPREADS}, {_SCORED}, {_POS} SELECT sym_y, sym_x, bar_ts, round(z, 6) AS z, pos FROM posd")
 def a40(spark, d):
-    return rounded(trading.positions(scored_of(spark, d), ENTRY, LEAVE).select("sym_y", "sym_x", "bar_ts", "z", "pos"), "z")
+    return rounded(trading.positions(scored_of(spark, d), ENTRY, LEAVE, PART_SECONDS).select("sym_y", "sym_x", "bar_ts", "z", "pos"), "z")
 
 
 STOP, MOST = 2.0, 5

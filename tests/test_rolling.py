@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import blocks, rolling
+from pairloom.operators import blocks, rolling, trading
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +119,22 @@ def test_empty_series(spark):
     empty = spark.createDataFrame([], "symbol string, bar_ts timestamp_ntz, x double")
     for n in (3, 100):
         assert rolling.rolling_quantile(empty, n, 0.5).count() == rolling.rolling_stats(empty, n).count() == 0
+
+
+@pytest.mark.parametrize("seconds", [3600, 86_400, 10**9])
+def test_values_so_far_are_pandas(spark, bars, series, seconds):
+    said = F.when(F.col("x") > 25, F.col("x"))
+    last = found(blocks.running_last(bars, said, "v", seconds=seconds), "v")
+    total = found(blocks.running_sum(bars, F.col("x"), "v", seconds=seconds), "v")
+    assert len(last) == len(total) == len(series)
+    for symbol, g in by_series(series):
+        symbol = None if pd.isna(symbol) else symbol
+        for at, a, b in zip(g.bar_ts, g.x.where(g.x > 25).ffill(), g.x.cumsum().ffill(), strict=True):
+            assert close(last[(symbol, at.to_pydatetime())][0], a) and close(total[(symbol, at.to_pydatetime())][0], b)
+
+
+def test_positions_in_parts_are_those_of_one_window(spark, bars):
+    scored = bars.select(F.col("symbol").alias("sym_y"), F.lit("b").alias("sym_x"), "bar_ts", ((F.col("x") - 15) / 8).alias("z"))
+    whole, parts = trading.positions(scored), trading.positions(scored, part_seconds=7200)
+    assert whole.columns == parts.columns and whole.exceptAll(parts).count() == parts.exceptAll(whole).count() == 0
+    assert {r.pos for r in parts.select("pos").distinct().collect()} == {-1, 0, 1}
