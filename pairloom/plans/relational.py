@@ -59,7 +59,8 @@ pair("b06_cross", "SELECT n_name, r_name FROM {nation} CROSS JOIN {region}")
 pair("b06_theta", "SELECT a.s_suppkey AS lo, b.s_suppkey AS hi FROM {supplier} a JOIN {supplier} b ON a.s_acctbal < b.s_acctbal AND a.s_nationkey = b.s_nationkey")
 pair("b06_theta_range", "SELECT a.n_name AS lo, b.n_name AS hi FROM {nation} a JOIN {nation} b ON a.n_nationkey < b.n_nationkey")
 pair("b07_correlated", "SELECT c_custkey, (SELECT max(o_totalprice) FROM {orders} WHERE o_custkey = c_custkey) AS top FROM {customer}")
-pair("b07_lateral_top1", "SELECT c_custkey, t.o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t")
+pair("b07_lateral_top1", "SELECT c_custkey, t.o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t",  # Spark keeps the order per customer only if the subquery selects all it is ordered by
+     "SELECT c_custkey, t.o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t")
 pair("b08_group_having", "SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, round(sum(l_quantity), 2) AS qty, count(*) FILTER (WHERE l_discount > 0.05) AS cut FROM {lineitem} GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10")
 pair("b08_pricing_summary", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM {lineitem} WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY l_returnflag, l_linestatus")
 for _n, _g in (("grouping_sets", "GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())"), ("cube", "CUBE (o_orderstatus, o_orderpriority)"), ("rollup", "ROLLUP (o_orderstatus, o_orderpriority)")):
