@@ -20,3 +20,16 @@ def spilling(spark):
 
 def test_lateral_top1_does_not_rest_on_the_order_of_arrival(spark, spilling):
     same(relational.QUERIES["b07_lateral_top1"](spark, FOLDER), connect(FOLDER), relational.ORACLE_SQL["b07_lateral_top1"])
+
+
+def test_sketches_are_kept_by_group_not_by_value(spark):
+    plan = relational.QUERIES["b10_approx_distinct"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    keys = [line.split("keys=[")[1].split("]")[0] for line in plan.splitlines() if "approx_count_distinct" in line and "keys=[" in line]
+    assert keys and all("l_partkey" not in k for k in keys)
+
+
+def test_sketch_and_count_pass_over_nulls(spark, tmp_path):
+    rows = [("A", k % 40) for k in range(400)] + [("A", None), (None, 1), (None, None), ("B", None)]
+    spark.createDataFrame(rows, "l_returnflag string, l_partkey bigint").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = relational.QUERIES["b10_approx_distinct"](spark, str(tmp_path)).collect()
+    assert {(r.l_returnflag, r.parts, r.near) for r in found} == {("A", 40, True), (None, 1, True), ("B", 0, True)}
