@@ -123,7 +123,7 @@ pair("b31_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS
 pair("b32_sessions", """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL '1' DAY THEN 0 ELSE 1 END AS new FROM {events}),
     s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS session FROM g) SELECT user_id, session, count(*) AS n, min(ts) AS start, max(ts) AS stop FROM s GROUP BY user_id, session""")
 pair("b33_width_bucket", "SELECT CAST(width_bucket(value, 0, 100, 20) AS INT) AS b, count(*) AS n FROM {events} GROUP BY 1", "SELECT CAST(CASE WHEN value < 0 THEN 0 WHEN value >= 100 THEN 21 ELSE floor(value / 5) + 1 END AS INTEGER) AS b, count(*) AS n FROM {events} GROUP BY 1")
-pair("b34_recursive", "WITH RECURSIVE t(k, depth, balance) AS (SELECT c_custkey, 0, c_acctbal FROM {customer} WHERE c_custkey = 1 UNION ALL SELECT c.c_custkey, t.depth + 1, t.balance + c.c_acctbal FROM t JOIN {customer} c ON c.c_custkey div 2 = t.k AND c.c_custkey > 1) SELECT k, depth, round(balance, 4) AS balance FROM t",
+pair("b34_recursive", "WITH RECURSIVE t(k, depth, balance) AS (SELECT c_custkey, 0, c_acctbal FROM {customer} WHERE c_custkey = 1 UNION ALL SELECT /*+ MERGE(c) */ c.c_custkey, t.depth + 1, t.balance + c.c_acctbal FROM t JOIN {customer} c ON c.c_custkey div 2 = t.k AND c.c_custkey > 1) SELECT k, depth, round(balance, 4) AS balance FROM t LIMIT ALL",  # a level would broadcast the whole table through the driver; LIMIT ALL lifts the limit of a million rows
      "WITH RECURSIVE t(k, depth, balance) AS (SELECT c_custkey, 0, c_acctbal FROM {customer} WHERE c_custkey = 1 UNION ALL SELECT c.c_custkey, t.depth + 1, t.balance + c.c_acctbal FROM t JOIN {customer} c ON c.c_custkey // 2 = t.k AND c.c_custkey > 1) SELECT k, depth, round(balance, 4) AS balance FROM t")
 pair("b35_qualify_as_subquery", "SELECT s_nationkey, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rn FROM {supplier}) WHERE rn = 1", "SELECT s_nationkey, s_suppkey FROM {supplier} QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) = 1")
 

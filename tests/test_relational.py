@@ -33,3 +33,16 @@ def test_sketch_and_count_pass_over_nulls(spark, tmp_path):
     spark.createDataFrame(rows, "l_returnflag string, l_partkey bigint").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     found = relational.QUERIES["b10_approx_distinct"](spark, str(tmp_path)).collect()
     assert {(r.l_returnflag, r.parts, r.near) for r in found} == {("A", 40, True), (None, 1, True), ("B", 0, True)}
+
+
+def test_recursion_over_more_than_a_million_rows_broadcasts_nothing(spark, tmp_path):
+    n = 1_050_000
+    spark.range(n).selectExpr("id AS c_custkey", "CAST(1 AS DOUBLE) AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100MB")
+    try:
+        rows = relational.QUERIES["b34_recursive"](spark, str(tmp_path))
+        assert "strategy=merge" in rows._jdf.queryExecution().analyzed().toString()
+        found = rows.selectExpr("count(*) AS n", "count(DISTINCT k) AS keys", "max(depth) AS deepest", "sum(CAST(balance = depth + 1 AS INT)) AS right").first()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert tuple(found) == (n - 1, n - 1, 20, n - 1)
