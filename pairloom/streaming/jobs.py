@@ -101,7 +101,8 @@ def relation(source: DataFrame, every: str) -> DataFrame:
 class Machine(StatefulProcessor):
     """The hysteresis of positions() by event time. Rows wait in the state, in buckets of time, until the watermark passes
     their bucket; then the bucket is put in order and decided from the position that the one before left. So rows may come
-    in any order within the watermark's delay, and no more than a symbol's bucket is in memory at a time."""
+    in any order within the watermark's delay, and no more than a symbol's bucket, or HELD_ROWS rows on their way to their
+    buckets, is in memory at a time."""
 
     def __init__(self, entry: float, leave: float, seconds: int):
         self.entry, self.leave, self.width = entry, leave, 1000 * seconds
@@ -113,19 +114,40 @@ class Machine(StatefulProcessor):
         self.parts = handle.getMapState("parts", "bucket long", "n int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held, n, counts = [], 0, {}
         for batch in rows:
             at = batch.ts.astype("datetime64[us]").astype("int64").to_numpy()
-            packed = np.rec.fromarrays([at, batch.seq.to_numpy(np.int64), batch.z.to_numpy(float)], dtype=WAITING)
-            buckets = at // (1000 * self.width)
-            for bucket in np.unique(buckets).tolist():
-                n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
-                self.waiting.updateValue((bucket, n), (packed[buckets == bucket].tobytes(),))
-                self.parts.updateValue((bucket,), (n + 1,))
-                self.handle.registerTimer((bucket + 1) * self.width)
+            held.append(np.rec.fromarrays([at, batch.seq.to_numpy(np.int64), batch.z.to_numpy(float)], dtype=WAITING))
+            n += len(at)
+            if n >= HELD_ROWS:
+                self.keep(np.concatenate(held), counts)
+                held, n = [], 0
+        if held:
+            self.keep(np.concatenate(held), counts)
+        for bucket, parts in counts.items():
+            self.parts.updateValue((bucket,), (parts,))
         yield from ()  # nothing is decided before the watermark
 
+    def keep(self, rows: np.ndarray, counts: dict[int, int]) -> None:
+        """Rows into their buckets, one write of the state a bucket; counts has the parts of the buckets met so far."""
+        buckets = rows["at"] // (1000 * self.width)
+        order = np.argsort(buckets, kind="stable")
+        rows, buckets = rows[order], buckets[order]
+        starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]).tolist()
+        for start, stop in zip(starts, [*starts[1:], len(rows)], strict=True):
+            bucket = int(buckets[start])
+            if bucket not in counts:
+                counts[bucket] = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
+                if not counts[bucket]:
+                    self.handle.registerTimer((bucket + 1) * self.width)
+            self.waiting.updateValue((bucket, counts[bucket]), (rows[start:stop].tobytes(),))
+            counts[bucket] += 1
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         over = expiredTimerInfo.getExpiryTimeInMs() // self.width
+        if not self.parts.containsKey((over - 1,)):
+            return  # decided at another timer, with all that the watermark had passed
+        over = max(over, timerValues.getCurrentWatermarkInMs() // self.width)
         for bucket in sorted(b for (b,) in self.parts.keys() if b < over):
             n = self.parts.getValue((bucket,))[0]
             rows = np.concatenate([np.frombuffer(self.waiting.getValue((bucket, i))[0], WAITING) for i in range(n)])
@@ -142,6 +164,8 @@ class Machine(StatefulProcessor):
             yield pd.DataFrame({"symbol": pd.Series([key[0]] * len(rows), dtype=object), "ts": pd.Series(rows["at"].astype("datetime64[us]")), "seq": rows["seq"], "pos": pos.astype("int32")})
 
 
+#: Rows of a symbol that a task holds before it writes them to the state: some 24 MB.
+HELD_ROWS = 1_000_000
 #: Rows of a bucket as they wait: microseconds, seq, z.
 WAITING = np.dtype([("at", "i8"), ("seq", "i8"), ("z", "f8")])
 
